@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-MAX_UNITS_PER_CHUNK = 1_000_000
+MAX_UNITS_PER_CHUNK = 50_000  # hash tables of a chunk stay in the processor cache
 
 
 def _chunks(sizes: np.ndarray, limit: int = MAX_UNITS_PER_CHUNK) -> Iterator[slice]:

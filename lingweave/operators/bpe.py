@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,12 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lingweave.functions.arrays import SPECIAL_TOKENS
 from lingweave.functions.tokens import byte_characters, piece_symbols, pretokenize, symbol, symbol_ids
 from lingweave.operators.vocab import word_freq
-from lingweave.session import reliable_checkpoint
+from lingweave.session import stored
 
 FIRST_BYTE = len(SPECIAL_TOKENS)
 FIRST_MERGE = FIRST_BYTE + 256
 CANDIDATES = 512  # top pairs looked at per round; a round always merges at least one
-PENDING = 48  # merges applied on the fly before the word table is written again
+STORE_ROUNDS = 4  # rounds between writes of the state; longer chains of cached plans get slow
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,10 @@ class Merge:
     def merged(self) -> int:
         return FIRST_MERGE + self.rank
 
+    @property
+    def pair(self) -> str:
+        return symbol(self.left) + symbol(self.right)
+
 
 def piece_freq(df: DataFrame, text: Column) -> DataFrame:
     """Counts of byte-level pieces: ``word, freq``."""
@@ -44,45 +49,71 @@ def piece_freq(df: DataFrame, text: Column) -> DataFrame:
 
 
 def symbol_table(words: DataFrame) -> DataFrame:
-    """``symbols, freq`` of a ``word, freq`` table, split into byte symbols."""
-    return words.select(piece_symbols(F.col("word"), FIRST_BYTE).alias("symbols"), "freq")
+    """``symbols, freq`` of a ``word, freq`` table, split into byte symbols; one-byte words hold no pair.
+
+    The filter is on bytes: Catalyst moves it below the word count, where a filter
+    on symbols would translate every token of the corpus.
+    """
+    pairable = words.where(F.octet_length("word") > 1)
+    return pairable.select(piece_symbols(F.col("word"), FIRST_BYTE).alias("symbols"), "freq")
+
+
+def pairs_of(symbols: Column) -> Column:
+    """Adjacent symbol pairs of a word, overlapping."""
+    return F.regexp_extract_all(symbols, F.lit("(?s)(?=(..))."), 1)
 
 
 def pair_freqs(table: DataFrame) -> DataFrame:
     """``pair, freq`` of adjacent symbols, weighted by word counts."""
-    pairs = F.regexp_extract_all("symbols", F.lit("(?s)(?=(..))."), 1)
-    return table.select(F.explode(pairs).alias("pair"), "freq").groupBy("pair").agg(F.sum("freq").alias("freq"))
+    pairs = table.select(F.explode(pairs_of(F.col("symbols"))).alias("pair"), "freq")
+    return pairs.groupBy("pair").agg(F.sum("freq").alias("freq"))
+
+
+def pair_changes(table: DataFrame, merges: Sequence[Merge]) -> DataFrame:
+    """``pair, freq`` changes when ``merges`` are applied: only words that hold one count."""
+    holds = reduce(lambda a, b: a | b, [F.col("symbols").contains(m.pair) for m in merges])
+    versions = F.array(
+        F.struct(pairs_of(F.col("symbols")).alias("pairs"), (-F.col("freq")).alias("freq")),
+        F.struct(pairs_of(merge_pairs(F.col("symbols"), merges)).alias("pairs"), F.col("freq")),
+    )
+    both = table.where(holds).select(F.explode(versions).alias("v")).select("v.freq", F.explode("v.pairs").alias("pair"))
+    return both.select("pair", "freq")
 
 
-def best_pairs(table: DataFrame, n: int = CANDIDATES) -> list[tuple[str, int]]:
+def best_pairs(counts: DataFrame, n: int = CANDIDATES) -> list[tuple[str, int]]:
     """Top pairs by count, then by symbol ids; ``n`` rows come to the driver."""
-    top = pair_freqs(table).orderBy(F.desc("freq"), F.asc("pair")).limit(n)
+    top = counts.orderBy(F.desc("freq"), F.asc("pair")).limit(n)
     return [(r["pair"], r["freq"]) for r in top.collect()]
 
 
 def merge_pairs(symbols: Column, merges: Sequence[Merge]) -> Column:
     """Apply merges one after another."""
     for m in merges:
-        symbols = F.replace(symbols, F.lit(symbol(m.left) + symbol(m.right)), F.lit(symbol(m.merged)))
+        symbols = F.replace(symbols, F.lit(m.pair), F.lit(symbol(m.merged)))
     return symbols
 
 
 def independent_prefix(pairs: Sequence[tuple[str, int]], min_frequency: int) -> list[str]:
-    """The leading pairs that share no symbol, which one-by-one merging would take too.
+    """The leading pairs that one-by-one merging would take in the same order.
 
-    Merging a pair changes only counts of pairs holding one of its symbols. A new
-    pair counts at most as often as the old pair it comes from, which ranks below
-    the prefix, and its new symbol has the highest id, so it loses ties as well. A
-    pair of equal symbols may itself give a frequent pair, so it ends the prefix.
+    Two pairs touch the same text only where the right symbol of one is the left
+    symbol of the other; the first pair that does so ends the prefix. Merging (a, b)
+    then changes only pairs (x, a) and (b, y), which rank below the prefix. A new
+    pair counts at most as often as the one of those it comes from, and its new
+    symbol has the highest id, so it loses ties as well.
     """
-    used: set[str] = set()
+    lefts: set[str] = set()
+    rights: set[str] = set()
     taken: list[str] = []
     for pair, freq in pairs:
-        if freq < min_frequency or not used.isdisjoint(pair):
+        left, right = pair
+        if freq < min_frequency or left in rights or right in lefts:
             break
         taken.append(pair)
-        used.update(pair)
-        if pair[0] == pair[1]:
+        lefts.add(left)
+        rights.add(right)
+        if left == right:
+            # it may itself give a frequent pair
             break
     return taken
 
@@ -93,26 +124,55 @@ def train(
     """Learn up to ``merges`` merges from ``word, freq``; exact greedy order.
 
     ``known`` merges are applied first and kept, so training continues from them.
-    The word table is checkpointed every few dozen merges: lineage stays short and
-    a lost executor re-reads the shared folder instead of repeating rounds.
+    All pairs are counted once. A round then looks only at the words that hold a
+    pair it merges and adds the differences to the pair counts, one small table.
+    Both tables stay cached between rounds and are written to the shared folder
+    every few rounds, so a lost executor costs those rounds at most.
     """
     learnt = list(known)
-    table = reliable_checkpoint(symbol_table(words).where(F.char_length("symbols") > 1))
-    written = 0
+    state = _State(stored(symbol_table(words), "bpe-words"))
+    for start in range(0, len(learnt), STORE_ROUNDS):
+        state.keep(table=shrink(state.table, learnt[start : start + STORE_ROUNDS]))
+    state.keep(counts=pair_freqs(state.table))
     while len(learnt) < merges:
-        while len(learnt) - written >= PENDING:
-            step = learnt[written : written + PENDING]
-            table = reliable_checkpoint(shrink(table, step))
-            written += len(step)
-        current = shrink(table, learnt[written:])
-        taken = independent_prefix(best_pairs(current), min_frequency)[: merges - len(learnt)]
+        taken = independent_prefix(best_pairs(state.counts), min_frequency)[: merges - len(learnt)]
         if not taken:
             break
-        for pair in taken:
-            learnt.append(Merge(len(learnt), *symbol_ids(pair)))
+        step = [Merge(len(learnt) + i, *symbol_ids(pair)) for i, pair in enumerate(taken)]
+        learnt += step
+        if len(learnt) < merges:
+            total = state.counts.unionByName(pair_changes(state.table, step))
+            counts = total.groupBy("pair").agg(F.sum("freq").alias("freq")).where("freq > 0")
+            state.keep(table=shrink(state.table, step), counts=counts)
+    state.release()
     return learnt
 
 
+class _State:
+    """Cached word and pair tables; an old version is dropped once the next one is stored."""
+
+    def __init__(self, table: DataFrame):
+        self.table, self.counts = table, None
+        self._cached: list[DataFrame] = []
+        self._rounds = 0
+
+    def keep(self, **tables: DataFrame) -> None:
+        self._rounds += 1
+        store = self._rounds % STORE_ROUNDS == 0
+        fresh = {k: stored(df, f"bpe-{k}") if store else df.persist() for k, df in tables.items()}
+        if store:
+            self.release()
+        else:
+            self._cached += fresh.values()
+        for name, df in fresh.items():
+            setattr(self, name, df)
+
+    def release(self) -> None:
+        for df in self._cached:
+            df.unpersist()
+        self._cached = []
+
+
 def shrink(table: DataFrame, merges: Sequence[Merge]) -> DataFrame:
     """Apply merges and drop words that became one symbol: they hold no pair."""
     if not merges:

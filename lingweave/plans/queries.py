@@ -339,7 +339,7 @@ def bpe_pair_freqs(spark, sf):
 def bpe_merge_step(spark, sf):
     """Every word after the best character pair is merged once."""
     words = _chars(spark, sf)
-    best, _ = bpe.best_pairs(words, 1)[0]
+    best, _ = bpe.best_pairs(bpe.pair_freqs(words), 1)[0]
     merged = ""
     after = F.split(F.replace(F.col("symbols"), F.lit(best), F.lit(merged)), "")
     shown = F.replace(F.array_join(F.array_remove(after, ""), " "), F.lit(merged), F.lit(best))
@@ -398,6 +398,12 @@ def _encoded_pairs(spark, sf):
     return pairs, lookup
 
 
+def _batch_ids(df: DataFrame, row: str, *per: str) -> DataFrame:
+    """Batch of every row. Ids alone are ranged, since ranging samples its input first
+    and would compute encoded rows or row scores twice."""
+    return indexing.with_batches(indexing.row_index(df.select(row, *per), [row], per)).drop("row_index")
+
+
 def _shown(df: DataFrame, *arrays: str) -> list:
     return [A.joined(F.col(a)).alias(a) for a in arrays]
 
@@ -438,8 +444,7 @@ def special_mask(spark, sf):
 def pad_batch(spark, sf):
     pairs, lookup = _encoded_pairs(spark, sf)
     rows = encode.encode_text(pairs, "hi_en", lookup, mask=None, padded=False).select("row_id", "input_ids")
-    batched = indexing.with_batches(indexing.row_index(rows, ["row_id"])).drop("row_index")
-    padded = encode.pad_batch(batched, "input_ids")
+    padded = encode.pad_batch(rows.join(_batch_ids(pairs, "row_id"), "row_id"), "input_ids")
     return padded.select("row_id", "batch_id", *_shown(padded, "input_ids", "attention_mask"))
 
 
@@ -458,8 +463,7 @@ def _noise_input(spark, sf) -> tuple[DataFrame, denoise.Noise]:
     lookup = vocab.TokenLookup(word_vocab(spark, sf))
     docs = T.docs(spark, sf).select("doc_id", C.clean_text(F.col("text")).alias("text"))
     encoded = encode.encode_text(docs, "text", lookup, mask=None).select("doc_id", "input_ids")
-    batched = indexing.with_batches(indexing.row_index(encoded, ["doc_id"])).drop("row_index")
-    return batched, denoise.Noise(lookup.special_ids(), lookup.id_of(A.MASK_TOKEN), T.SEED)
+    return encoded.join(_batch_ids(docs, "doc_id"), "doc_id"), denoise.Noise(lookup.special_ids(), lookup.id_of(A.MASK_TOKEN), T.SEED)
 
 
 def _noise_output(df: DataFrame, *extra: str) -> DataFrame:
@@ -517,8 +521,9 @@ def chrf_by_source(spark, sf):
 
 @query
 def bleu_batch_mean(spark, sf):
-    stats = metrics.with_bleu_stats(T.evaluation(spark, sf), "hyp", "ref").drop("hyp", "ref")
-    batched = indexing.with_batches(indexing.row_index(stats, ["doc_id"], ["source"]))
+    rows = T.evaluation(spark, sf)
+    stats = metrics.with_bleu_stats(rows, "hyp", "ref").drop("hyp", "ref")
+    batched = stats.join(_batch_ids(rows, "doc_id", "source"), ["doc_id", "source"])
     return _rounded(metrics.batch_mean_bleu(batched, ["batch_id"], "source"), "score")
 
 
