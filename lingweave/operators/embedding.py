@@ -53,15 +53,23 @@ def vector_bytes(vectors: DataFrame) -> int:
     return int(vectors.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)) * 8).first()[0])
 
 
-def embedding_prf(hyp_ids: Column, ref_ids: Column, vectors: DataFrame) -> Column:
-    """Struct of scores; ids are positions of ``vectors(vec_id, embedding)`` from 0.
+def with_embedding_prf(
+    df: DataFrame, row: str, hyp_ids: str, ref_ids: str, vectors: DataFrame, limit: int = BROADCAST_VECTOR_BYTES
+) -> DataFrame:
+    """Add ``precision, recall, f1``; ids are positions of ``vectors(vec_id, embedding)`` from 0.
 
-    The table belongs to a vocabulary, so it does not grow with the corpus; its
-    size is still checked. Beyond the bound use :func:`embedding_prf_by_join`.
+    The vectors belong to a vocabulary, so they do not grow with the corpus. A
+    table up to ``limit`` bytes goes to the tasks, a larger one is joined.
     """
-    size = vector_bytes(vectors)
-    if size > BROADCAST_VECTOR_BYTES:
-        raise ValueError(f"{size} bytes of vectors: use embedding_prf_by_join")
+    if vector_bytes(vectors) <= limit:
+        scored = df.withColumn("_prf", embedding_prf(F.col(hyp_ids), F.col(ref_ids), vectors))
+        return scored.select(*df.columns, "_prf.*")
+    scores = embedding_prf_by_join(df, row, hyp_ids, ref_ids, vectors)
+    return df.join(scores, row, "left").fillna(0.0, ["precision", "recall", "f1"])
+
+
+def embedding_prf(hyp_ids: Column, ref_ids: Column, vectors: DataFrame) -> Column:
+    """Struct of scores with the whole vector table in every task; check its size first."""
     rows = vectors.select("vec_id", "embedding").orderBy("vec_id").toArrow()
     table = _unit(np.array(rows["embedding"].to_pylist(), np.float64))
     shared = vectors.sparkSession.sparkContext.broadcast(table)
@@ -84,7 +92,7 @@ def _lists(lists: pa.Array) -> list[np.ndarray]:
 
 
 def embedding_prf_by_join(df: DataFrame, row: str, hyp_ids: str, ref_ids: str, vectors: DataFrame) -> DataFrame:
-    """Same scores for vector tables of any size: ``row, precision, recall, f1``.
+    """Same scores for vector tables of any size: ``row, precision, recall, f1`` of rows with tokens.
 
     Distinct ids of each row are joined with the vectors and regrouped per row, so
     a task holds the vectors of one row at a time. AQE splits hot ids in the join.

@@ -10,6 +10,7 @@ from lingweave.functions.rng import digest
 from lingweave.session import estimated_bytes, reliable_checkpoint
 
 BATCH_SIZE = 32  # fixed value: rows per batch
+BROADCAST_OFFSETS = 1_000_000  # offset rows sent to every task; more are joined by shuffle
 
 
 def _range_partitions(df: DataFrame, bytes_per_partition: int = 32 << 20) -> int:
@@ -28,8 +29,8 @@ def row_index(
     """Add 0, 1, 2, ... in ``order`` within each ``per`` group.
 
     One range shuffle sorts the rows over all tasks; each row then knows its place
-    in its partition, and partition sizes (at most one row per partition and
-    group) give the offsets. The order must be total, so that a group or a key
+    in its partition, and partition sizes (at most partitions plus groups rows, so
+    small enough to send unless groups are counted by the million) give the offsets. The order must be total, so that a group or a key
     with a third of all rows still divides into ranges. The placed rows are
     checkpointed, since a place must not change when a task is run again: select
     the columns you need first.
@@ -49,8 +50,10 @@ def row_index(
         "_part",
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
+    if not per or sizes.count() <= BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
     return (
-        placed.join(F.broadcast(offsets), [*per, "_part"])
+        placed.join(offsets, [*per, "_part"])
         .withColumn(name, F.col("_slot") + F.col("_shift"))
         .drop("_slot", "_part", "_shift")
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lingweave.functions.ngrams import ngram_stats, stat_names
 from lingweave.functions.tokens import tokenize_13a
 from lingweave.functions.whitespace import drop_whitespace
-from lingweave.operators.embedding import embedding_prf
+from lingweave.operators.embedding import with_embedding_prf
 
 WORD_ORDER = 4
 CHAR_ORDER = 6
@@ -138,14 +138,14 @@ def report(
     ref_ids: str,
     vectors: DataFrame,
     by: str = "source",
+    row: str = "row_id",
 ) -> DataFrame:
     """BLEU, chrF and embedding match per group and overall (``by`` null) in one pass.
 
     BLEU and chrF score the forced hypothesis, the embedding match the generated
     one; pass the same column twice to score one hypothesis.
     """
-    df = df.withColumn("_prf", embedding_prf(F.col(generated_ids), F.col(ref_ids), vectors))
-    df = df.select(by, forced, ref, *[F.col(f"_prf.{c}").alias(c) for c in PRF])
+    df = with_embedding_prf(df, row, generated_ids, ref_ids, vectors).select(by, forced, ref, *PRF)
     stats = with_chrf_stats(with_bleu_stats(df, forced, ref), forced, ref)
     scored = stats.rollup(by).agg(*sums(BLEU), *sums(CHRF), *[F.avg(c).alias(c) for c in PRF])
     return scored.select(by, bleu_score().alias("bleu"), chrf_score().alias("chrf"), *PRF)

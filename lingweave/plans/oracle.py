@@ -317,12 +317,12 @@ steps AS (
   SELECT s.k + 1, s.piece, s.f_old, s.f_all,
          replace(s.w, b.pair, '<' || lpad(CAST(260 + s.k AS VARCHAR), 5, '0') || '>'), b.pair
   FROM steps s, (
-    SELECT pair FROM (
-      SELECT unnest(list_transform(range(0, length(w) // 7 - 1), lambda i: substr(w, i * 7 + 1, 14))) AS pair,
+    SELECT substr(w, i * 7 + 1, 14) AS pair FROM (
+      SELECT w, unnest(range(0, length(w) // 7 - 1)) AS i,
              CASE WHEN k < {merges} THEN f_old ELSE f_all END AS f FROM steps)
-    GROUP BY pair ORDER BY sum(f) DESC, pair LIMIT 1) b
+    GROUP BY 1 ORDER BY sum(f) DESC, 1 LIMIT 1) b
   WHERE s.k < {merges + more}),
-learnt AS (SELECT DISTINCT k - 1 AS rank, CAST(substr(pair, 2, 5) AS INT) AS l, CAST(substr(pair, 9, 5) AS INT) AS r
+learnt AS MATERIALIZED (SELECT DISTINCT k - 1 AS rank, CAST(substr(pair, 2, 5) AS INT) AS l, CAST(substr(pair, 9, 5) AS INT) AS r
            FROM steps WHERE k > 0)"""
 
 
@@ -607,10 +607,15 @@ v_ids AS (
   SELECT doc_id, side, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % (SELECT n FROM n_vectors) AS v, count(*) AS c
   FROM v_tokens GROUP BY ALL),
 unit AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x) AS e FROM embeddings),
-cosines AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM unit a, unit b),
+cosines AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM unit a, unit b),
+same AS (SELECT x.* FROM v_ids x JOIN v_ids y ON x.doc_id = y.doc_id AND x.side <> y.side AND x.v = y.v),
+other AS (SELECT x.* FROM v_ids x ANTI JOIN v_ids y ON x.doc_id = y.doc_id AND x.side <> y.side AND x.v = y.v),
+-- a vector found on both sides has cosine 1 with itself, which no other vector can beat
 matches AS (
+  SELECT doc_id, side, v, c, 1.0 AS s FROM same
+  UNION ALL
   SELECT x.doc_id, x.side, x.v, x.c, max(s) AS s
-  FROM v_ids x JOIN v_ids y ON x.doc_id = y.doc_id AND x.side <> y.side
+  FROM other x JOIN v_ids y ON x.doc_id = y.doc_id AND x.side <> y.side
   JOIN cosines ON a = x.v AND b = y.v GROUP BY ALL),
 pq AS (SELECT doc_id, sum(c * s) FILTER (side = 'h') / sum(c) FILTER (side = 'h') AS p,
               sum(c * s) FILTER (side = 'r') / sum(c) FILTER (side = 'r') AS r FROM matches GROUP BY doc_id),

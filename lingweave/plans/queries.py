@@ -10,7 +10,7 @@ from lingweave.functions import arrays as A, clean as C
 from lingweave.functions.tokens import pretokenize as pieces_of
 from lingweave.functions.whitespace import ws_tokens as tokens_of
 from lingweave.operators import bpe, cleaning, dedupe, denoise, encode, groups, indexing, infer, joins, metrics, vocab
-from lingweave.operators.embedding import embedding_prf
+from lingweave.operators.embedding import with_embedding_prf
 from lingweave.plans import tables as T
 from lingweave.session import scratch_path
 from lingweave.sources import corpus, pairs as P
@@ -536,16 +536,15 @@ def _with_vector_ids(df: DataFrame, vectors: DataFrame) -> DataFrame:
 def embedding_score(spark, sf):
     vectors = T.vectors(spark, sf)
     rows = _with_vector_ids(T.evaluation(spark, sf), vectors)
-    scored = rows.select("source", embedding_prf(F.col("hyp_ids"), F.col("ref_ids"), vectors).alias("s"))
-    means = [F.round(F.avg(f"s.{c}"), 6).alias(c) for c in metrics.PRF]
-    return scored.groupBy("source").agg(*means)
+    scored = with_embedding_prf(rows, "doc_id", "hyp_ids", "ref_ids", vectors)
+    return scored.groupBy("source").agg(*[F.round(F.avg(c), 6).alias(c) for c in metrics.PRF])
 
 
 @query
 def metrics_report(spark, sf):
     vectors = T.vectors(spark, sf)
     rows = _with_vector_ids(T.evaluation(spark, sf), vectors)
-    scores = metrics.report(rows, "hyp", "hyp", "ref", "hyp_ids", "ref_ids", vectors)
+    scores = metrics.report(rows, "hyp", "hyp", "ref", "hyp_ids", "ref_ids", vectors, row="doc_id")
     return _rounded(scores, "bleu", "chrf", *metrics.PRF)
 
 

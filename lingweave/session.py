@@ -34,11 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder.
     """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    key = "spark.checkpoint.dir"
+    base = spark.conf.get(key, None) or sc.getConf().get(key) or sc.getCheckpointDir()
     if not base:
         if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+            raise ValueError(f"set {key} to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="lingweave-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base
 

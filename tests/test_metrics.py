@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lingweave.functions.ngrams import match_counts
 from lingweave.functions.tokens import tokenize_13a
 from lingweave.operators import metrics as M
-from lingweave.operators.embedding import embedding_prf, embedding_prf_by_join
+from lingweave.operators.embedding import with_embedding_prf
 
 
 def frame(spark, rows):
@@ -161,16 +161,21 @@ def test_embedding_match(spark, vectors):
     rnd = random.Random(2)
     ids = lambda: [rnd.randrange(20) for _ in range(rnd.randint(1, 15))]
     rows = [(i, ids(), ids()) for i in range(40)]
-    df = spark.createDataFrame(rows, "row_id long, hyp array<int>, ref array<int>")
+    blank = [(40, [], [1]), (41, [], [])]
+    df = spark.createDataFrame(rows + blank, "row_id long, hyp array<int>, ref array<int>")
     table = {r["vec_id"]: np.array(r["embedding"]) for r in vectors.collect()}
     cos = lambda a, b: table[a] @ table[b] / np.linalg.norm(table[a]) / np.linalg.norm(table[b])
-    sent = df.select("row_id", embedding_prf(F.col("hyp"), F.col("ref"), vectors).alias("s")).select("row_id", "s.*")
-    joined = {r["row_id"]: r for r in embedding_prf_by_join(df, "row_id", "hyp", "ref", vectors).collect()}
-    for r, (_, hyp, ref) in zip(sent.orderBy("row_id").collect(), rows):
+    sent, joined = (
+        with_embedding_prf(df, "row_id", "hyp", "ref", vectors, limit).drop("hyp", "ref").orderBy("row_id").collect()
+        for limit in (1 << 20, 0)
+    )
+    assert len(sent) == len(joined) == len(rows) + 2
+    assert all(tuple(r)[1:] == (0, 0, 0) for r in [*sent[40:], *joined[40:]])
+    for r, j, (_, hyp, ref) in zip(sent, joined, rows):
         p = np.mean([max(cos(h, x) for x in ref) for h in hyp])
         q = np.mean([max(cos(h, x) for h in hyp) for x in ref])
         expected = pytest.approx((p, q, 2 * p * q / (p + q)))
-        assert tuple(r)[1:] == expected and tuple(joined[r["row_id"]])[1:] == expected
+        assert tuple(r)[1:] == expected and tuple(j)[1:] == expected
 
 
 def test_report_has_groups_and_overall(spark, vectors):
