@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lingweave.functions.arrays import SPECIAL_TOKENS
 from lingweave.functions.tokens import byte_characters, piece_symbols, pretokenize, symbol, symbol_ids
 from lingweave.operators.vocab import word_freq
-from lingweave.session import stored
+from lingweave.session import spread, stored
 
 FIRST_BYTE = len(SPECIAL_TOKENS)
 FIRST_MERGE = FIRST_BYTE + 256
@@ -130,7 +130,7 @@ def train(
     every few rounds, so a lost executor costs those rounds at most.
     """
     learnt = list(known)
-    state = _State(stored(symbol_table(words), "bpe-words"))
+    state = _State(stored(spread(symbol_table(words), "symbols"), "bpe-words"))
     for start in range(0, len(learnt), STORE_ROUNDS):
         state.keep(table=shrink(state.table, learnt[start : start + STORE_ROUNDS]))
     state.keep(counts=pair_freqs(state.table))
@@ -159,7 +159,9 @@ class _State:
     def keep(self, **tables: DataFrame) -> None:
         self._rounds += 1
         store = self._rounds % STORE_ROUNDS == 0
-        fresh = {k: stored(df, f"bpe-{k}") if store else df.persist() for k, df in tables.items()}
+        cores = self.table.sparkSession.sparkContext.defaultParallelism
+        # cached plans keep all shuffle partitions, far more than small tables need
+        fresh = {k: stored(df, f"bpe-{k}") if store else df.coalesce(cores).persist() for k, df in tables.items()}
         if store:
             self.release()
         else:

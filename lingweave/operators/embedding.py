@@ -70,7 +70,7 @@ def with_embedding_prf(
 
 def embedding_prf(hyp_ids: Column, ref_ids: Column, vectors: DataFrame) -> Column:
     """Struct of scores with the whole vector table in every task; check its size first."""
-    rows = vectors.select("vec_id", "embedding").orderBy("vec_id").toArrow()
+    rows = vectors.select("vec_id", "embedding").toArrow().sort_by("vec_id")
     table = _unit(np.array(rows["embedding"].to_pylist(), np.float64))
     shared = vectors.sparkSession.sparkContext.broadcast(table)
 

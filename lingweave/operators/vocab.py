@@ -50,23 +50,19 @@ def ranked_vocab(freq: DataFrame, size: int, mask: bool = True) -> DataFrame:
     ``size`` winners only. A word spelt like a special token is not added again.
     """
     fixed = [*SPECIAL_TOKENS, MASK_TOKEN]
-    order = [F.desc("freq"), F.asc("word")]
-    best = freq.where(~F.col("word").isin(fixed)).orderBy(*order).limit(size)
-    first = len(SPECIAL_TOKENS) - 1
-    words = best.select(
-        (F.row_number().over(Window.orderBy(*order)) + first).alias("id"), F.col("word").alias("token")
-    )
     spark = freq.sparkSession
-    vocab = spark.createDataFrame(list(enumerate(SPECIAL_TOKENS)), "id int, token string").unionByName(words)
-    return append_specials(vocab, [MASK_TOKEN]) if mask else vocab
+    best = freq.where(~F.col("word").isin(fixed)).orderBy(F.desc("freq"), "word").limit(size)
+    last = spark.createDataFrame([(MASK_TOKEN, -1)] if mask else [], "word string, freq long")
+    place = F.row_number().over(Window.orderBy(F.desc("freq"), "word")) + (len(SPECIAL_TOKENS) - 1)
+    words = best.unionByName(last).select(place.alias("id"), F.col("word").alias("token"))
+    return spark.createDataFrame(list(enumerate(SPECIAL_TOKENS)), "id int, token string").unionByName(words)
 
 
 def append_specials(vocab: DataFrame, tokens: Sequence[str]) -> DataFrame:
-    """Add tokens after the highest id."""
-    last = vocab.agg(F.max("id").alias("last"))
-    added = last.select(F.posexplode(F.array(*[F.lit(t) for t in tokens])), "last")
+    """Add a few fixed tokens after the highest id."""
+    first = vocab.agg(F.max("id")).first()[0] + 1
     return vocab.unionByName(
-        added.select((F.col("last") + F.col("pos") + 1).cast("int").alias("id"), F.col("col").alias("token"))
+        vocab.sparkSession.createDataFrame(list(enumerate(tokens, first)), "id int, token string")
     )
 
 
@@ -105,7 +101,7 @@ class TokenLookup:
     """
 
     def __init__(self, vocab: DataFrame, limit: int = BROADCAST_TOKENS):
-        rows = vocab.orderBy("id").limit(limit + 1).toArrow()
+        rows = vocab.select("id", "token").limit(limit + 1).toArrow().sort_by("id")
         if rows.num_rows > limit:
             raise ValueError(f"more than {limit} tokens: use ids_by_join")
         self.ids = rows["id"].to_pylist()

@@ -133,6 +133,8 @@ def test_word_vocab_styles(spark):
     base = vocab.ranked_vocab(freq, 3)
     tokens = lambda df: [r["token"] for r in df.orderBy("id").collect()]
     assert tokens(base) == [*A.SPECIAL_TOKENS, "c", "a", "b", A.MASK_TOKEN]
+    assert tokens(vocab.ranked_vocab(freq, 3, mask=False)) == [*A.SPECIAL_TOKENS, "c", "a", "b"]
+    assert tokens(vocab.append_specials(base, ["<x>", "<y>"]))[-3:] == [A.MASK_TOKEN, "<x>", "<y>"]
     trained = spark.createDataFrame([(0, "zz"), (1, "a"), (2, "aa")], "id int, token string")
     assert vocab.style_vocab("DEFAULT", base) is base
     assert vocab.style_vocab("SCRATCH", base, trained) is trained
