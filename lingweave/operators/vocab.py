@@ -12,6 +12,7 @@ from lingweave.functions.arrays import MASK_TOKEN, SPECIAL_TOKENS, UNK
 from lingweave.functions.tokens import byte_alphabet
 from lingweave.functions.whitespace import ws_tokens
 from lingweave.operators.indexing import row_index
+from lingweave.session import stored
 
 # A vocabulary above this many tokens is joined instead of sent to every task.
 BROADCAST_TOKENS = 1_000_000
@@ -67,8 +68,13 @@ def append_specials(vocab: DataFrame, tokens: Sequence[str]) -> DataFrame:
 
 
 def append_tokens(vocab: DataFrame, tokens: DataFrame, order: Sequence[str | Column] = ("token",)) -> DataFrame:
-    """Add the ``tokens`` the vocabulary lacks, numbered after its highest id."""
-    new = tokens.join(vocab.select("token"), "token", "left_anti")
+    """Add the ``tokens`` the vocabulary lacks, numbered after its highest id.
+
+    Both inputs are stored, since the plan reads them several times and would count
+    the words of a corpus again each time.
+    """
+    vocab = stored(vocab, "vocab")
+    new = stored(tokens.join(vocab.select("token"), "token", "left_anti"), "new-tokens")
     last = vocab.agg(F.max("id")).first()[0]
     numbered = row_index(new, order, name="_at")
     return vocab.unionByName(numbered.select((F.col("_at") + last + 1).cast("int").alias("id"), "token"))

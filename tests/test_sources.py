@@ -38,20 +38,20 @@ def test_ragged_tsv(spark, tmp_path):
         "missing\tnull\tx",
     ]
     path = write(tmp_path, "train.tsv", "\n".join(records) + "\n")
-    got = P.read_tsv_pairs(spark, [path], HEADER, "top").drop("ordinal").collect()
+    got = P.read_tsv_pairs(spark, [path], HEADER, "queries").drop("ordinal").collect()
     assert {tuple(r) for r in got} == {
-        ("b", "a", "top"),
-        ("fields", "two", "top"),
-        ("q2", "q\t1", "top"),
-        ("line", "first\nsecond", "top"),
-        ("z", 'say "hi"', "top"),
-        ("m", 'open "mid', "top"),
+        ("b", "a", "queries"),
+        ("fields", "two", "queries"),
+        ("q2", "q\t1", "queries"),
+        ("line", "first\nsecond", "queries"),
+        ("z", 'say "hi"', "queries"),
+        ("m", 'open "mid', "queries"),
     }
 
 
 def test_tsv_projection_does_not_hide_bad_rows(spark, tmp_path):
     path = write(tmp_path, "t.tsv", "en_query\tcs_query\tdomain\na\tb\tc\nw\tx\ty\tz\n")
-    df = P.read_tsv_pairs(spark, [path], HEADER, "top")
+    df = P.read_tsv_pairs(spark, [path], HEADER, "queries")
     assert df.count() == 1
     assert [r[0] for r in df.select("en").collect()] == ["a"]
 
@@ -61,20 +61,20 @@ def test_files_keep_their_order(spark, tmp_path):
         write(tmp_path, f"{name}.tsv", "en_query\tcs_query\tdomain\n" + "".join(f"{name}{i}\tx\ty\n" for i in range(3)))
         for name in ("z", "a")
     ]
-    got = P.read_tsv_pairs(spark, files, HEADER, "top").orderBy("ordinal").collect()
+    got = P.read_tsv_pairs(spark, files, HEADER, "queries").orderBy("ordinal").collect()
     assert [r["en"] for r in got] == ["z0", "z1", "z2", "a0", "a1", "a2"]
 
 
 def test_lines(spark, tmp_path):
     good = write(tmp_path, "dev.txt", "hello\tnamaste\nbye \t alvida\n")
-    got = P.load_splits(lambda f: P.read_line_pairs(spark, f, "linc"), {"validation": [good], "other": ["x"]})
+    got = P.load_splits(lambda f: P.read_line_pairs(spark, f, "lines"), {"validation": [good], "other": ["x"]})
     assert {tuple(r) for r in got.drop("ordinal").collect()} == {
-        ("namaste", "hello", "linc", "validation"),
-        (" alvida", "bye ", "linc", "validation"),
+        ("namaste", "hello", "lines", "validation"),
+        (" alvida", "bye ", "lines", "validation"),
     }
     bad = write(tmp_path, "bad.txt", "one\ttwo\tthree\n")
     with pytest.raises(Exception, match="exactly two fields"):
-        P.read_line_pairs(spark, [bad], "linc").collect()
+        P.read_line_pairs(spark, [bad], "lines").collect()
 
 
 def test_nested_struct_map_and_json(spark, tmp_path):
