@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -211,23 +212,28 @@ def load_merges(spark: SparkSession, path: str) -> list[Merge]:
 
 
 def _apply(word: str, ranks: dict[tuple[int, int], int]) -> list[int]:
-    """Merge the best-ranked pair of a word until none is left."""
-    ids = symbol_ids(word)
-    while len(ids) > 1:
-        best = min(zip(ids, ids[1:]), key=lambda pair: ranks.get(pair, len(ranks)))
-        rank = ranks.get(best)
-        if rank is None:
-            break
-        merged, i = [], 0
-        while i < len(ids):
-            if i + 1 < len(ids) and (ids[i], ids[i + 1]) == best:
-                merged.append(FIRST_MERGE + rank)
-                i += 2
-            else:
-                merged.append(ids[i])
-                i += 1
-        ids = merged
-    return ids
+    """Merge the best-ranked pair of a word, leftmost first, until none is left.
+
+    Candidates wait in a heap, so a very long word costs n log n.
+    """
+    ids: list[int | None] = symbol_ids(word)
+    size = len(ids)
+    after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+    heap = [(ranks[pair], i) for i, pair in enumerate(zip(ids, ids[1:])) if pair in ranks]
+    heapify(heap)
+    while heap:
+        rank, i = heappop(heap)
+        j = after[i]
+        if ids[i] is None or j >= size or ranks.get((ids[i], ids[j])) != rank:
+            continue  # one of the two has been merged since
+        ids[i], ids[j] = FIRST_MERGE + rank, None
+        after[i] = after[j]
+        if after[i] < size:
+            before[after[i]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right < size and (ids[left], ids[right]) in ranks:
+                heappush(heap, (ranks[ids[left], ids[right]], left))
+    return [x for x in ids if x is not None]
 
 
 def bpe_ids(text: Column, merges: Sequence[Merge], spark: SparkSession) -> Column:

@@ -64,6 +64,15 @@ def test_training_equals_the_library(spark, texts):
     assert {t: i for t, i in tok.get_vocab().items()} == {t: i for t, i in table.items() if t != A.MASK_TOKEN}
 
 
+def test_long_words_are_split_fast_and_right(spark, texts):
+    merges = bpe.train(bpe.piece_freq(texts, F.col("text")), 60)
+    tok = library(SENTENCES, 60)
+    long = ["ab" * 50_000, "a" * 99_999, "abababa" * 9_999]
+    df = spark.createDataFrame([(t,) for t in long], "text string")
+    for text, ids in df.select("text", bpe.bpe_ids(F.col("text"), merges, spark)).collect():
+        assert list(ids) == tok.encode(text).ids
+
+
 def bpe_vocab(spark, merges):
     return vocab.byte_vocab(bpe.token_texts(merges), spark)
 
