@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lingweave.llm import decontaminate as dc
+from lingweave.llm import decontaminate as dc, near
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,3 +35,9 @@ def op1_decontaminate(spark, sf):
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query
+def op9_near_duplicates(spark, sf):
+    """Component of near copies of every document."""
+    return near.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
