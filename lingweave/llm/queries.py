@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lingweave.llm import decontaminate as dc, near
+from lingweave.llm import decontaminate as dc, language, near, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,3 +41,18 @@ def op1_decontaminate(spark, sf):
 def op9_near_duplicates(spark, sf):
     """Component of near copies of every document."""
     return near.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op2_language(spark, sf):
+    """Predicted language of every document, learnt from three quarters of them."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs).withColumn("held_out", language.held_out(F.col("doc_id")))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op8_quality(spark, sf):
+    """Counts and verdict of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return quality.rate(docs, table(spark, sf, "labels")).drop("text")
