@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lingweave.llm import decontaminate as dc, language, near, quality
+from lingweave.llm import decontaminate as dc, language, lm, near, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,3 +56,12 @@ def op8_quality(spark, sf):
     """Counts and verdict of every document."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return quality.rate(docs, table(spark, sf, "labels")).drop("text")
+
+
+@query
+def op5_lm_score(spark, sf):
+    """Base score and lattice score of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held = lm.held_out(F.col("doc_id"))
+    found = lm.score(docs, ~held).withColumn("held_out", held)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
