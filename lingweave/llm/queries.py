@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lingweave.llm import decontaminate as dc, language, lm, near, quality
+from lingweave.llm import chat, decontaminate as dc, language, lm, near, quality, tokens, warc
+from lingweave.session import scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,3 +67,29 @@ def op5_lm_score(spark, sf):
     held = lm.held_out(F.col("doc_id"))
     found = lm.score(docs, ~held).withColumn("held_out", held)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op6_chat_format(spark, sf):
+    """Digests of all conversations, read back from their stored formatted turns."""
+    said = "\\### Assistant: </turn> ok"
+    messages = json.dumps({"messages": [{"role": role, "content": said} for role in ("user", "assistant")]})
+    extra = spark.createDataFrame([(-7, messages)], "conv_id bigint, record string")
+    records = chat.conversations(table(spark, sf, "conversations")).unionByName(extra)
+    formatted = stored(chat.format_turns(chat.canonical_turns(records)), "chat")
+    return chat.digests(formatted)
+
+
+@query
+def op7_token_counts(spark, sf):
+    """Tokens of every document and of each of its lines."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs).drop("text")
+
+
+@query
+def op10_warc(spark, sf):
+    """All pages archived, indexed and read back."""
+    folder = scratch_path(spark, "warc")
+    directory = warc.write_archives(table(spark, sf, "pages"), folder)
+    return warc.read_archives(directory, folder, payloads=False).drop("url", "payload")
