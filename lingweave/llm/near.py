@@ -191,23 +191,26 @@ def stars(entries: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str = "near-labels") -> DataFrame:
     """``node, label``: smallest node of the component of every node that has an edge.
 
-    Every round takes the smallest label among neighbours and then the label of that
-    label, so paths shorten twice as fast as their length would ask. Only aggregates
-    and equi-joins; each round is written to the shared folder.
+    Every round maps each node to its smallest neighbour and keeps the edges between
+    different images, so the graph shrinks until no edge is left; the smallest node of a
+    component always stays. Only aggregates and equi-joins; each round is written to the
+    shared folder.
     """
-    edges = stored(edges.select("node", "centre"), f"{name}-edges")
-    both = edges.unionByName(edges.select(F.col("centre").alias("node"), F.col("node").alias("centre")))
-    labels = stored(both.groupBy("node").agg(F.least("node", F.min("centre")).alias("label")), name)
+    edges = stored(edges.where("node <> centre").select("node", "centre"), f"{name}-edges")
+    labels = None
     while True:
-        seen = both.join(labels.select(F.col("node").alias("centre"), "label"), "centre").select("node", "label")
-        best = seen.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        jumped = best.join(up, "label", "left").select("node", F.least("label", "above").alias("label"))
-        after = stored(jumped, name)
-        changed = after.join(labels.withColumnRenamed("label", "before"), "node").where("label <> before")
-        if changed.isEmpty():
-            return after
-        labels = after
+        ends = edges.unionByName(edges.select(F.col("centre").alias("node"), F.col("node").alias("centre")))
+        step = stored(ends.groupBy("node").agg(F.least("node", F.min("centre")).alias("to")), f"{name}-step")
+        if labels is None:
+            labels = step.select("node", F.col("to").alias("label"))
+        else:
+            moved = labels.join(step.withColumnRenamed("node", "label"), "label", "left")
+            labels = stored(moved.select("node", F.coalesce("to", "label").alias("label")), name)
+        images = edges.join(step, "node").select(F.col("to").alias("first"), F.col("centre").alias("node"))
+        images = images.join(step, "node").select("first", "to").where("first <> to").distinct()
+        edges = stored(images.select(F.col("first").alias("node"), F.col("to").alias("centre")), f"{name}-edges")
+        if edges.isEmpty():
+            return labels
 
 
 def linked_groups(flat: np.ndarray, bounds: np.ndarray, similarity: int) -> np.ndarray:
