@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lingweave.llm import chat, decontaminate as dc, language, lm, near, quality, tokens, warc
+from lingweave.llm import chat, decontaminate as dc, extract, language, lm, near, quality, tokens, warc
 from lingweave.session import scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,9 @@ def op10_warc(spark, sf):
     folder = scratch_path(spark, "warc")
     directory = warc.write_archives(table(spark, sf, "pages"), folder)
     return warc.read_archives(directory, folder, payloads=False).drop("url", "payload")
+
+
+@query
+def op3_html_text(spark, sf):
+    """Main text of every page."""
+    return extract.extract(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
