@@ -1,26 +1,57 @@
-"""The corpus pipeline: documents through several training-data operators, stage by stage."""
+"""The corpus pipeline: documents through five training-data operators, stage by stage."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lingweave.llm import decontaminate as dc
+from lingweave.llm import decontaminate, language, near, pieces, quality
 from lingweave.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_SCORE = 0.4  # documents whose language is less certain go
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the fixed limits and that the classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.rate(docs.select(*COLUMNS), labels).where("kept").select(*COLUMNS)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learnt language; those without letters or with an uncertain language go."""
+    found = language.identify(docs.select(*COLUMNS))
+    certain = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return found.where(certain).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of every group of near copies: five words, similarity 0.8."""
+    return near.keep_one(docs.select(*COLUMNS), shingle=near.STAGE_SHINGLE, similarity=near.STAGE_SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
-    return dc.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, the pieces of the text, and whether they give the text back."""
+    found = pieces.decode(pieces.encode(docs.select("doc_id", "text")))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", pieces.same_text("text", "decoded").alias("round_trip"))
 
 
-STAGES: list[tuple[str, Stage]] = [("decontamination", decontamination)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("sentence_pieces", sentence_pieces),
+]
 
-# The stages train models and search text by hashes, which SQL does not express.
+# The first two stages train models and the last one reads a stored vocabulary: no SQL.
 ORACLE_SQL = None
 
 

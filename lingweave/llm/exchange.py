@@ -28,8 +28,14 @@ OWNER_BYTES = 16 << 20  # input per hash range
 
 
 def owners(df: DataFrame) -> int:
-    """Number of hash ranges: in proportion to the input, so that a range fits a task."""
-    return max(16, estimated_bytes(df) // OWNER_BYTES)
+    """Number of hash ranges: in proportion to the input, so that a range fits a task.
+
+    Rows that did not come from files have no size; the session's partitions stand in.
+    """
+    size = estimated_bytes(df)
+    if size >= 1 << 56:
+        return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(16, size // OWNER_BYTES)
 
 
 def batch_key(chunk: Chunk, number: int) -> int:
@@ -54,25 +60,32 @@ def strings(chunk: Chunk, which: np.ndarray) -> pa.Array:
 
 
 def tagged(df: DataFrame, text: str, lower: bool) -> DataFrame:
-    """Documents with the ``_batch`` they belong to."""
-    schema = StructType([*df.schema.fields, *StructType.fromDDL("_batch bigint").fields])
+    """``_batch, _docs``: every batch of documents as one compressed Arrow table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, low, number = word_table(WHITE), lower_table() if lower else None, 0
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
             for chunk in chunks(batch.column(batch.schema.get_field_index(text)), table, low, BATCH_BYTES):
-                part = batch.slice(chunk.first, chunk.rows)
-                keys = pa.array(np.full(chunk.rows, batch_key(chunk, number)))
-                yield pa.RecordBatch.from_arrays([*part.columns, keys], schema.names)
+                sink = pa.BufferOutputStream()
+                # a slice would keep the buffers of its whole batch
+                part = batch.take(pa.array(np.arange(chunk.first, chunk.first + chunk.rows)))
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as stream:
+                    stream.write_batch(part)
+                key = batch_key(chunk, number)
                 number += 1
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["_batch", "_docs"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, "_batch bigint, _docs binary")
 
 
-def words_by_owner(df: DataFrame, text: str, lower: bool, count: int, learn: str | None = None) -> DataFrame:
+def words_by_owner(
+    df: DataFrame, text: str, lower: bool, count: int, learn: str | None = None, adjust: Callable[[Chunk], Chunk] = lambda c: c
+) -> DataFrame:
     """``owner, batch, words, times``: the distinct words of every batch and range.
 
-    ``times`` counts the words of rows whose ``learn`` column is true.
+    ``times`` counts the words of rows whose ``learn`` column is true. ``adjust`` may move
+    the borders of words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +94,7 @@ def words_by_owner(df: DataFrame, text: str, lower: bool, count: int, learn: str
             for chunk in chunks(batch.column(batch.schema.get_field_index(text)), table, low, BATCH_BYTES):
                 key = batch_key(chunk, number)
                 number += 1
+                chunk = adjust(chunk)
                 hashes, first, place = distinct_words(chunk, hasher)
                 if learn:
                     own = batch.column(batch.schema.get_field_index(learn)).slice(chunk.first, chunk.rows)
@@ -115,13 +129,21 @@ def hash_strings(words: pa.Array, hasher: Hasher) -> np.ndarray:
 
 
 def answered(
-    df: DataFrame, text: str, lower: bool, answers: DataFrame, ddl: str, make: Callable[[], Callable], drop: tuple[str, ...] = ()
+    df: DataFrame,
+    text: str,
+    lower: bool,
+    answers: DataFrame,
+    ddl: str,
+    make: Callable[[], Callable],
+    drop: tuple[str, ...] = (),
+    adjust: Callable[[Chunk], Chunk] = lambda c: c,
 ) -> DataFrame:
     """Documents with columns computed from the answers to their words.
 
-    ``answers`` has ``batch, owner`` and array columns in the order of the words sent.
-    ``make()(chunk, place, arrays, rows)`` gets the words of a batch, the place of each
-    word's answer, and the answer arrays by name; it returns the new columns.
+    ``answers`` has ``batch, owner`` and array columns in the order of the words sent; the
+    first one has one entry per word. ``make()(chunk, place, arrays, rows)`` gets the words
+    of a batch, the place of each word's answer, and the answer arrays by name; it returns the
+    new columns.
     """
     kept = [f for f in df.schema.fields if f.name not in drop]
     schema = StructType([*[StructField(f.name, f.dataType) for f in kept], *StructType.fromDDL(ddl).fields])
@@ -129,19 +151,25 @@ def answered(
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         columns, hasher = make(), Hasher()
-        left, right = left.combine_chunks(), right.sort_by("owner").combine_chunks()
-        column = left[text].combine_chunks() if left.num_rows else pa.array([], pa.string())
+        right = right.sort_by("owner").combine_chunks()
         arrays = {n: (right[n].combine_chunks().flatten() if right.num_rows else pa.array([])) for n in names}
         parts = []
-        for chunk in chunks(column, word_table(WHITE), lower_table() if lower else None, 1 << 40):
-            hashes, _, place = distinct_words(chunk, hasher)
-            for name, values in arrays.items():
-                if len(values) != len(hashes):
-                    raise ValueError(f"{len(values)} {name} for {len(hashes)} words: the input changed between two reads; store it first")
-            rows = left.slice(chunk.first, chunk.rows)
-            made = columns(chunk, place, arrays, rows)
-            parts.append(pa.table([*[rows[f.name] for f in kept], *made], schema.names))
-        return pa.concat_tables(parts)
+        for docs in left["_docs"]:
+            rows = pa.ipc.open_stream(docs.as_buffer()).read_all().combine_chunks()
+            for chunk in chunks(rows[text].combine_chunks(), word_table(WHITE), lower_table() if lower else None, 1 << 40):
+                chunk = adjust(chunk)
+                hashes, _, place = distinct_words(chunk, hasher)
+                if len(arrays[names[0]]) != len(hashes):
+                    raise ValueError(f"{len(arrays[names[0]])} answers for {len(hashes)} words: the input changed between two reads; store it first")
+                parts.append(pa.table([*[rows[f.name] for f in kept], *columns(chunk, place, arrays, rows)], schema.names))
+        return pa.concat_tables(parts) if parts else schema_table(schema)
 
     both = tagged(df, text, lower).groupBy("_batch").cogroup(answers.withColumnRenamed("batch", "_batch").groupBy("_batch"))
     return both.applyInArrow(run, schema)
+
+
+def schema_table(schema: StructType) -> pa.Table:
+    """No rows of a schema."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema).empty_table()

@@ -31,7 +31,8 @@ from lingweave.session import stored
 
 SHINGLE = 3
 SIMILARITY = 85  # per cent of the union
-BANDS, ROWS = 40, 6  # a pair at the threshold shares no bucket with probability 6e-9
+BANDS, ROWS = 40, 6  # a pair at 0.85 shares no bucket with probability 6e-9, one at 0.80 with 5e-6
+STAGE_SHINGLE, STAGE_SIMILARITY = 5, 80  # near copies where nothing else is said
 WALK = 256  # steps of the walk that fills an empty bin
 GROUP_SHINGLES = 8 << 20  # shingles searched in one task; 64 MB of hashes
 
@@ -390,7 +391,8 @@ def class_roots(links: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", **names) -> DataFrame:
-    """One document of every group: that with the smallest id; rows with a repeated id stay together."""
-    kept = near_duplicates(docs, doc_id, **names).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(F.col("_kept")), "left_semi")
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """One document of every group: that with the smallest id, once if rows repeat its id and text."""
+    kept = near_duplicates(docs, doc_id, text, **settings).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    # the join deals rows by id, so that dropping repeated rows needs no other shuffle
+    return docs.join(kept, docs[doc_id].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([doc_id, text])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lingweave.llm import chat, decontaminate as dc, extract, language, lm, near, quality, tokens, warc
+from lingweave.llm import chat, decontaminate as dc, extract, language, lm, near, pieces, quality, tokens, warc
 from lingweave.session import scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,12 @@ def op10_warc(spark, sf):
 def op3_html_text(spark, sf):
     """Main text of every page."""
     return extract.extract(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op4_pieces(spark, sf):
+    """Pieces of every document, and whether they give its text back."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = pieces.decode(pieces.encode(docs))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), ids.alias("ids_sha256"), pieces.same_text("text", "decoded").alias("round_trip"))
