@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
+from lingweave.llm.text import map_arrow
+
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 METADATA = ("id", "conv_id", "turn", "source", "lang", "meta")
 
@@ -135,7 +137,7 @@ def canonical_turns(df: DataFrame, record: str = "record", layouts: tuple[Layout
             types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([*taken, *(pa.array(c, t) for c, t in zip(out, types))], names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def escape(text: str) -> str:
@@ -179,7 +181,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             columns = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def digests(formatted: DataFrame, conversation: str = "conv_id") -> DataFrame:

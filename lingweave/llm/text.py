@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
+from lingweave.session import estimated_bytes
+
 CHUNK_BYTES = 4 << 20
 
 # ASCII bytes outside a word of digits and letters, and ASCII white space.
@@ -63,7 +65,7 @@ class Hasher:
             up[0] = down[0] = 1
             self._up, self._down = np.cumprod(up), np.cumprod(down)
 
-    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
         """Hash of every ``data[start:end]``; spans are in order and do not overlap."""
         out = np.empty(len(starts), np.uint64)
         first = 0
@@ -157,6 +159,22 @@ def sums_by_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Catalyst's estimate of the input; ``None`` for rows that did not come from files."""
+    size = estimated_bytes(df)
+    return None if size >= 1 << 56 else size
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` that also takes column names with dots, which Spark would read as paths."""
+    names, own = df.columns, [f"_{i}" for i in range(len(df.columns))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
+
+    return df.toDF(*own).mapInArrow(renamed, schema)
+
+
 def add_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
     """Append columns that ``make()(batch)`` computes in each task.
 
@@ -172,4 +190,4 @@ def add_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordB
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns(batch)], names)
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)

@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lingweave.session import estimated_bytes
+from lingweave.llm.text import input_bytes
 
 DATE = "2000-01-01T00:00:00Z"  # the pages carry no capture time
 LEAST_REVISIT = 0  # bytes of a payload that may be a revisit
@@ -160,7 +160,7 @@ def write_archives(
     files.create_dir(base, recursive=True)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("payload"))
     typed = record_types(rows, "page_id", "payload", least).withColumn("_key", url_key(F.col("url")))
-    parts = max(spark.sparkContext.defaultParallelism, estimated_bytes(pages) // ARCHIVE_BYTES)
+    parts = max(spark.sparkContext.defaultParallelism, (input_bytes(pages) or 0) // ARCHIVE_BYTES)
     ranged = typed.select("_key", "page_id", "url", "payload", "_refers_to").repartitionByRange(parts, "_key", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
