@@ -20,10 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
-from lingweave.llm.text import WHITE, Chunk, Hasher, chunks, lower_table, word_table
-from lingweave.session import estimated_bytes
+from lingweave.llm.text import WHITE, Chunk, Hasher, chunks, input_bytes, lower_table, map_arrow, word_table
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 OWNER_BYTES = 16 << 20  # input per hash range
 
 
@@ -32,10 +31,8 @@ def owners(df: DataFrame) -> int:
 
     Rows that did not come from files have no size; the session's partitions stand in.
     """
-    size = estimated_bytes(df)
-    if size >= 1 << 56:
-        return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return max(16, size // OWNER_BYTES)
+    size = input_bytes(df)
+    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if size is None else size // OWNER_BYTES)
 
 
 def batch_key(chunk: Chunk, number: int) -> int:
@@ -76,7 +73,7 @@ def tagged(df: DataFrame, text: str, lower: bool) -> DataFrame:
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["_batch", "_docs"])
 
-    return df.mapInArrow(run, "_batch bigint, _docs binary")
+    return map_arrow(df, run, StructType.fromDDL("_batch bigint, _docs binary"))
 
 
 def words_by_owner(
@@ -117,7 +114,7 @@ def words_by_owner(
                         ["owner", "batch", "words", "times"],
                     )
 
-    return df.mapInArrow(run, "owner bigint, batch bigint, words array<string>, times array<bigint>")
+    return map_arrow(df, run, StructType.fromDDL("owner bigint, batch bigint, words array<string>, times array<bigint>"))
 
 
 def hash_strings(words: pa.Array, hasher: Hasher) -> np.ndarray:

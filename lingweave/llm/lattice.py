@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MARK = "▁"  # fixed value: stands for the blank before a word
-BLOCK = 1 << 18  # characters worked on at once
+BLOCK = 1 << 16  # characters worked on at once
 LONG = 64  # words with more characters are taken one by one
 SLOT_BITS = 18
 
