@@ -24,7 +24,7 @@ def pack(at: np.ndarray, counts: np.ndarray) -> bytes:
 def unpack(data: bytes) -> Sparse:
     both = np.frombuffer(data, np.uint32)
     half = len(both) // 2
-    return both[:half].astype(np.int64), both[half:].astype(np.float64)
+    return both[:half].astype(np.int32), both[half:].astype(np.float32)
 
 
 def unit(values: np.ndarray) -> np.ndarray:

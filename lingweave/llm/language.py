@@ -25,7 +25,7 @@ from lingweave.llm.features import in_order, nonzero, pack, sample, softmax, uni
 from lingweave.llm.text import add_columns
 
 BUCKETS = 1 << 15
-SAMPLE_ROWS = 6000  # labelled rows that the classifier is fitted on, about
+SAMPLE_ROWS = 3000  # labelled rows that the classifier is fitted on, about
 UNKNOWN = "und"
 CALIBRATION_PART = 5  # one sampled row in this many sets the temperature
 

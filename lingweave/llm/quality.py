@@ -30,7 +30,7 @@ WINDOW = 5
 MOST_REPEATED = 20
 
 BUCKETS = 1 << 16
-SAMPLE_ROWS = 8000  # labelled rows that the classifier is fitted on, about
+SAMPLE_ROWS = 3000  # labelled rows that the classifier is fitted on, about
 CALIBRATION_PART = 4  # one sampled row in this many calibrates
 REJECT = 0.5  # texts of at least this probability of low quality go
 
@@ -123,8 +123,8 @@ class Model:
 def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int, l2: float = 1e-4, steps: int = 150, rate: float = 1.0) -> tuple[np.ndarray, float]:
     """Logistic regression on unit vectors by full-batch AdaGrad; both classes weigh the same."""
     at = np.concatenate([r[0] for r in rows])
-    x = np.concatenate([r[1] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    x = np.concatenate([r[1] for r in rows]).astype(np.float32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     y = np.array([r[2] for r in rows], np.float64)
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, b = np.zeros(buckets), 0.0
@@ -183,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if len({low for *_, low in fitted}) < 2:
         return None
     w, b = fit_logistic([(at, unit(np.log1p(c)), low) for at, c, low in fitted], buckets)
+    del fitted, vectors
     model = Model(w, b, 1.0, 0.0)
     model.slope, model.shift = fit_calibration(np.array([model.logit(at, c) for at, c, _ in held]), np.array([low for *_, low in held]))
     return model
