@@ -44,55 +44,60 @@ def piece_table(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def edges(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``owner, unit, start, end, id, score``: every substring that is a piece, and every character."""
+    """``owner, key, end, start, id, score``: every substring that is a piece, and every character."""
+    # a substring is cut from the next few characters, so its cost does not depend on where it begins
     size = F.char_length("unit")
-    starts = units.withColumn("chars", F.when(size > SHORT, F.split("unit", ""))).select(
-        "owner", "unit", "chars", F.explode(F.sequence(F.lit(1), size)).alias("start")
-    )
-    room = F.least(F.lit(longest), F.char_length("unit") - F.col("start") + 1)
-    spans = starts.select("owner", "unit", "chars", "start", F.explode(F.sequence(F.lit(1), room)).alias("size"))
-    cut = F.when(F.col("chars").isNull(), F.substring("unit", F.col("start"), F.col("size"))).otherwise(
-        F.array_join(F.slice("chars", F.col("start"), F.col("size")), "")
+    long_unit = F.when(size > SHORT, F.split("unit", ""))
+    starts = units.select("owner", "key", "unit", long_unit.alias("chars"), F.explode(F.sequence(F.lit(1), size)).alias("start"))
+    ahead = F.when(F.col("chars").isNull(), F.substring("unit", F.col("start"), F.lit(longest))).otherwise(
+        F.array_join(F.slice("chars", F.col("start"), F.lit(longest)), "")
     )
+    starts = starts.select("owner", "key", "start", ahead.alias("ahead"))
+    spans = starts.select("owner", "key", "start", "ahead", F.explode(F.sequence(F.lit(1), F.char_length("ahead"))).alias("size"))
+    cut = spans.select("owner", "key", "start", "size", F.substring("ahead", F.lit(1), F.col("size")).alias("piece"))
     # the piece table is a vocabulary: tens of thousands of rows, whatever the corpus
-    found = spans.select("owner", "unit", "start", "size", cut.alias("piece")).join(F.broadcast(pieces), "piece", "left")
-    kept = found.where(F.col("id").isNotNull() | (F.col("size") == 1))
-    return kept.select(
+    found = cut.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
+    return found.select(
         "owner",
-        "unit",
-        (F.col("start") - 1).alias("start"),
+        "key",
         (F.col("start") + F.col("size") - 1).alias("end"),
+        (F.col("start") - 1).alias("start"),
         F.coalesce("id", F.lit(-1)).alias("id"),
         F.coalesce("score", F.lit(UNKNOWN_SCORE)).alias("score"),
     )
 
 
-def viterbi(matches: Column) -> Column:
-    """Best segmentation as ``array<struct<start,id>>``, from ``array<struct<end,start,id,score>>`` sorted by end and start.
-
-    The fold keeps the best score, piece and start for every end reached so far; the path
-    is then followed back from the last end.
-    """
+def best_scores(matches: Column) -> Column:
+    """Best ``struct<score,start,id>`` of every end, from ``array<struct<end,start,id,score>>`` sorted by end and start."""
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("start"), F.lit(-1).alias("id")))
 
     def step(best: Column, m: Column) -> Column:
-        reached = F.struct((F.get(best, m["start"])["score"] + m["score"]).alias("score"), m["start"].alias("start"), m["id"].alias("id"))
-        known = F.get(best, m["end"])
+        score = F.get(best, m["start"])["score"] + m["score"]
+        reached = F.array(F.struct(score.alias("score"), m["start"].alias("start"), m["id"].alias("id")))
         return (
-            F.when(known.isNull(), F.concat(best, F.array(reached)))
-            .when(reached["score"] > known["score"], F.concat(F.slice(best, F.lit(1), m["end"]), F.array(reached)))
+            F.when(F.size(best) == m["end"], F.concat(best, reached))
+            .when(score > F.get(best, m["end"])["score"], F.concat(F.slice(best, F.lit(1), m["end"]), reached))
             .otherwise(best)
         )
 
-    best = F.aggregate(matches, first, step)
-    begin = F.struct(F.array().cast("array<struct<start:int,id:int>>").alias("path"), (F.size(best) - 1).alias("at"))
+    return F.aggregate(matches, first, step)
+
+
+def best_path(best: Column) -> Column:
+    """The segmentation as ``array<struct<start,id>>``, followed back from the last end.
 
-    def back(state: Column, _: Column) -> Column:
-        node = F.get(best, state["at"])
-        more = F.struct(F.concat(F.array(F.struct(node["start"].alias("start"), node["id"].alias("id"))), state["path"]).alias("path"), node["start"].alias("at"))
-        return F.when(state["at"] > 0, more).otherwise(state)
+    ``best`` must be a stored column: inside a fold an expression would be computed at every step.
+    """
+    path = F.struct(F.array().cast("array<struct<start:int,id:int>>").alias("path"), (F.size(best) - 1).alias("at"))
+
+    def back(state: Column, node: Column) -> Column:
+        more = F.struct(
+            F.concat(F.array(F.struct(node["start"].alias("start"), node["id"].alias("id"))), state["path"]).alias("path"), node["start"].alias("at")
+        )
+        return F.when(node["end"] == state["at"], more).otherwise(state)
 
-    return F.aggregate(matches, begin, back, lambda s: s["path"])
+    ends = F.transform(best, lambda b, i: F.struct(i.alias("end"), b["start"].alias("start"), b["id"].alias("id")))
+    return F.aggregate(F.reverse(F.slice(ends, F.lit(2), F.size(best))), path, back, lambda s: s["path"])
 
 
 def byte_ids(character: Column, first_byte: int) -> Column:
@@ -104,16 +109,20 @@ def byte_ids(character: Column, first_byte: int) -> Column:
 
 
 def segment(units: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``owner, unit, ids`` of distinct ``owner, unit`` rows; stays in the partitions of ``owner``."""
+    """``owner, key, path`` of distinct ``owner, key, unit`` rows; stays in the partitions of ``owner``."""
     texts, _, kinds = load_pieces(vocabulary)
     longest = max((len(t) for t, k in zip(texts, kinds) if k == "piece"), default=1)
-    first_byte = kinds.index("byte")
     found = edges(units, piece_table(units.sparkSession, vocabulary), longest)
     match = F.struct("end", "start", "id", "score")
-    grouped = found.groupBy("owner", "unit").agg(F.array_sort(F.collect_list(match)).alias("matches"))
-    path = grouped.select("owner", "unit", viterbi(F.col("matches")).alias("path"))
-    ids = F.transform("path", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(byte_ids(F.substring("unit", p["start"] + 1, F.lit(1)), first_byte)))
-    return path.select("owner", "unit", F.flatten(ids).alias("ids"))
+    grouped = found.groupBy("owner", "key").agg(F.sort_array(F.collect_list(match)).alias("matches"))
+    best = grouped.select("owner", "key", best_scores(F.col("matches")).alias("best"))
+    return best.select("owner", "key", best_path(F.col("best")).alias("path"))
+
+
+def path_ids(unit: Column, path: Column, first_byte: int) -> Column:
+    """Piece ids of a segmentation; a character without a piece gives its bytes."""
+    spelt = F.transform(path, lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(byte_ids(F.substring(unit, p["start"] + 1, F.lit(1)), first_byte)))
+    return F.when(F.exists(path, lambda p: p["id"] < 0), F.flatten(spelt)).otherwise(F.transform(path, lambda p: p["id"]))
 
 
 def with_blank(chunk: Chunk) -> Chunk:
@@ -135,14 +144,15 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) ->
     count = X.owners(docs) * 4
     tasks = max(spark.sparkContext.defaultParallelism * 2, count * X.OWNER_BYTES // 4 // WORK_BYTES)
     sent = X.words_by_owner(blanked, "_blanked", False, count, adjust=with_blank)
-    # everything up to the answers stays in the partitions of the owners
-    asked = sent.repartition(tasks, "owner").select("owner", "batch", F.posexplode("words").alias("place", "word"))
+    # everything up to the answers stays in the partitions of the owners; within an owner,
+    # which is a range of one hash, a unit goes by another hash
     unit = F.translate("word", " ", MARK)
-    by_unit = asked.select("owner", unit.alias("unit"), F.struct("batch", "place").alias("ask")).groupBy("owner", "unit").agg(F.collect_list("ask").alias("asks"))
-    segmented = segment(by_unit.select("owner", "unit"), vocabulary)
-    answers = by_unit.join(segmented, ["owner", "unit"]).select("owner", F.explode("asks").alias("ask"), "ids")
-    pair = F.sort_array(F.collect_list(F.struct(F.col("ask.place").alias("place"), "ids")))
-    listed = answers.groupBy("owner", F.col("ask.batch").alias("batch")).agg(pair.alias("pairs"))
+    asked = sent.repartition(tasks, "owner").select("owner", "batch", F.posexplode("words").alias("place", "word"))
+    asked = asked.select("owner", F.xxhash64("word").alias("key"), unit.alias("unit"), "batch", "place")
+    segmented = segment(asked.select("owner", "key", "unit").distinct(), vocabulary)
+    ids = path_ids(F.col("unit"), F.col("path"), first_byte)
+    answers = asked.join(segmented, ["owner", "key"]).select("owner", "batch", F.struct("place", ids.alias("ids")).alias("pair"))
+    listed = answers.groupBy("owner", "batch").agg(F.sort_array(F.collect_list("pair")).alias("pairs"))
     answers = listed.select(
         "batch",
         "owner",
