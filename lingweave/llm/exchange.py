@@ -12,7 +12,7 @@ does; a batch whose answers do not fit its words stops the job.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +56,11 @@ def strings(chunk: Chunk, which: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(which), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(chunk.data[at].tobytes()))
 
 
-def tagged(df: DataFrame, text: str, lower: bool) -> DataFrame:
+def tagged(df: DataFrame, text: str, lower: bool, outside: Sequence[int] = WHITE) -> DataFrame:
     """``_batch, _docs``: every batch of documents as one compressed Arrow table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, low, number = word_table(WHITE), lower_table() if lower else None, 0
+        table, low, number = word_table(outside), lower_table() if lower else None, 0
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
             for chunk in chunks(batch.column(batch.schema.get_field_index(text)), table, low, BATCH_BYTES):
@@ -77,16 +77,22 @@ def tagged(df: DataFrame, text: str, lower: bool) -> DataFrame:
 
 
 def words_by_owner(
-    df: DataFrame, text: str, lower: bool, count: int, learn: str | None = None, adjust: Callable[[Chunk], Chunk] = lambda c: c
+    df: DataFrame,
+    text: str,
+    lower: bool,
+    count: int,
+    learn: str | None = None,
+    outside: Sequence[int] = WHITE,
+    adjust: Callable[[Chunk], Chunk] = lambda c: c,
 ) -> DataFrame:
     """``owner, batch, words, times``: the distinct words of every batch and range.
 
-    ``times`` counts the words of rows whose ``learn`` column is true. ``adjust`` may move
-    the borders of words.
+    ``times`` counts the words of rows whose ``learn`` column is true. ``outside`` are the
+    bytes that separate words; ``adjust`` may move the borders of words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, low, number, hasher = word_table(WHITE), lower_table() if lower else None, 0, Hasher()
+        table, low, number, hasher = word_table(outside), lower_table() if lower else None, 0, Hasher()
         for batch in batches:
             for chunk in chunks(batch.column(batch.schema.get_field_index(text)), table, low, BATCH_BYTES):
                 key = batch_key(chunk, number)
@@ -133,6 +139,7 @@ def answered(
     ddl: str,
     make: Callable[[], Callable],
     drop: tuple[str, ...] = (),
+    outside: Sequence[int] = WHITE,
     adjust: Callable[[Chunk], Chunk] = lambda c: c,
 ) -> DataFrame:
     """Documents with columns computed from the answers to their words.
@@ -153,7 +160,7 @@ def answered(
         parts = []
         for docs in left["_docs"]:
             rows = pa.ipc.open_stream(docs.as_buffer()).read_all().combine_chunks()
-            for chunk in chunks(rows[text].combine_chunks(), word_table(WHITE), lower_table() if lower else None, 1 << 40):
+            for chunk in chunks(rows[text].combine_chunks(), word_table(outside), lower_table() if lower else None, 1 << 40):
                 chunk = adjust(chunk)
                 hashes, _, place = distinct_words(chunk, hasher)
                 if len(arrays[names[0]]) != len(hashes):
@@ -161,7 +168,7 @@ def answered(
                 parts.append(pa.table([*[rows[f.name] for f in kept], *columns(chunk, place, arrays, rows)], schema.names))
         return pa.concat_tables(parts) if parts else schema_table(schema)
 
-    both = tagged(df, text, lower).groupBy("_batch").cogroup(answers.withColumnRenamed("batch", "_batch").groupBy("_batch"))
+    both = tagged(df, text, lower, outside).groupBy("_batch").cogroup(answers.withColumnRenamed("batch", "_batch").groupBy("_batch"))
     return both.applyInArrow(run, schema)
 
 

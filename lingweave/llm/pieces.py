@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-A text gets a blank in front and its blanks become word marks, so a unit is a word with the
-mark of the blank before it, and no piece of the vocabulary crosses units. Distinct units go to the task
+A text gets a blank in front and its blanks become word marks. A unit is a word with the blanks
+before it; no piece of the vocabulary has a mark after another character, so none crosses units,
+and white space that is in no piece stands between units. Distinct units go to the task
 that owns their hash range (see ``exchange``). There, substrings of bounded length are
 exploded and equi-joined to the piece table, the matches are grouped by unit, and a higher-order
 ``aggregate`` folds them, sorted by their end, into the best segmentation (Viterbi with the
 scores stored in the vocabulary). Each unit is segmented once for the whole corpus, its ids go
-back to the batches of documents, and white space between units is filled in. A character without a
-piece becomes its UTF-8 byte pieces.
+back to the batches of documents, and the white space between units is filled in. A character without a
+piece scores 10 below the lowest piece and becomes its UTF-8 byte pieces.
 
 Decoding joins the bytes of pieces, marks as blanks, and drops the first blank, which gives
 the text back, except that a word mark in the text itself comes back as a blank.
@@ -27,10 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lingweave.llm import exchange as X
 from lingweave.llm.lattice import MARK, load_pieces
-from lingweave.llm.text import Chunk, add_columns
+from lingweave.llm.text import WHITE, Chunk, add_columns
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-UNKNOWN_SCORE = -1e7  # below any path of stored pieces
+UNKNOWN_PENALTY = 10.0  # fixed value: a character without a piece scores this much below the lowest piece
 SHORT = 256  # characters up to which substrings are cut from the string itself
 WORK_BYTES = 4 << 20  # input per task of the lattice
 
@@ -43,7 +44,13 @@ def piece_table(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
-def edges(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+def separators(vocabulary: str = VOCABULARY) -> list[int]:
+    """White space, other than the blank, that is in no piece."""
+    used = {c for t, k in zip(*load_pieces(vocabulary)[::2]) if k == "piece" for c in t.encode()}
+    return [c for c in WHITE if c != 0x20 and c not in used]
+
+
+def edges(units: DataFrame, pieces: DataFrame, longest: int, unknown: float) -> DataFrame:
     """``owner, key, end, start, id, score``: every substring that is a piece, and every character."""
     # a substring is cut from the next few characters, so its cost does not depend on where it begins
     size = F.char_length("unit")
@@ -63,7 +70,7 @@ def edges(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
         (F.col("start") + F.col("size") - 1).alias("end"),
         (F.col("start") - 1).alias("start"),
         F.coalesce("id", F.lit(-1)).alias("id"),
-        F.coalesce("score", F.lit(UNKNOWN_SCORE)).alias("score"),
+        F.coalesce("score", F.lit(unknown)).alias("score"),
     )
 
 
@@ -110,9 +117,10 @@ def byte_ids(character: Column, first_byte: int) -> Column:
 
 def segment(units: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``owner, key, path`` of distinct ``owner, key, unit`` rows; stays in the partitions of ``owner``."""
-    texts, _, kinds = load_pieces(vocabulary)
+    texts, scores, kinds = load_pieces(vocabulary)
     longest = max((len(t) for t, k in zip(texts, kinds) if k == "piece"), default=1)
-    found = edges(units, piece_table(units.sparkSession, vocabulary), longest)
+    unknown = min((s for s, k in zip(scores, kinds) if k == "piece"), default=0.0) - UNKNOWN_PENALTY
+    found = edges(units, piece_table(units.sparkSession, vocabulary), longest, unknown)
     match = F.struct("end", "start", "id", "score")
     grouped = found.groupBy("owner", "key").agg(F.sort_array(F.collect_list(match)).alias("matches"))
     best = grouped.select("owner", "key", best_scores(F.col("matches")).alias("best"))
@@ -125,25 +133,31 @@ def path_ids(unit: Column, path: Column, first_byte: int) -> Column:
     return F.when(F.exists(path, lambda p: p["id"] < 0), F.flatten(spelt)).otherwise(F.transform(path, lambda p: p["id"]))
 
 
-def with_blank(chunk: Chunk) -> Chunk:
-    """Words take the blank before them."""
-    before = np.maximum(chunk.starts - 1, 0)
-    blank = (chunk.starts > chunk.offsets[chunk.text]) & (chunk.data[before] == 0x20) if len(chunk.starts) else np.zeros(0, bool)
-    return Chunk(chunk.first, chunk.data, chunk.offsets, chunk.starts - blank, chunk.ends, chunk.text)
+def split_at_blanks(chunk: Chunk) -> Chunk:
+    """Words that hold blanks become units: blanks and the word after them."""
+    if len(chunk.data) < 2:
+        return chunk
+    blank = chunk.data == 0x20
+    at = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    word = np.searchsorted(chunk.starts, at, "right") - 1
+    # only inside a word; a word's own first byte is a start already
+    at = at[(word >= 0) & (at < chunk.ends[np.maximum(word, 0)]) & (at > chunk.starts[np.maximum(word, 0)])] if len(chunk.starts) else at[:0]
+    starts, ends = np.union1d(chunk.starts, at), np.union1d(chunk.ends, at)
+    return Chunk(chunk.first, chunk.data, chunk.offsets, starts, ends, np.searchsorted(chunk.offsets, starts, "right") - 1)
 
 
 def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Add ``ids``, the pieces of the text."""
     spark = docs.sparkSession
-    texts, _, kinds = load_pieces(vocabulary)
-    mark, first_byte = texts.index(MARK), kinds.index("byte")
+    kinds = load_pieces(vocabulary)[2]
+    first_byte, outside = kinds.index("byte"), separators(vocabulary)
     whole = F.col(f"`{text}`")
     blanked = docs.select(*[f"`{c}`" for c in docs.columns if c != "ids"]).withColumn(
         "_blanked", F.when(F.length(whole) > 0, F.concat(F.lit(" "), whole)).otherwise("")
     )
     count = X.owners(docs) * 4
     tasks = max(spark.sparkContext.defaultParallelism * 2, count * X.OWNER_BYTES // 4 // WORK_BYTES)
-    sent = X.words_by_owner(blanked, "_blanked", False, count, adjust=with_blank)
+    sent = X.words_by_owner(blanked, "_blanked", False, count, outside=outside, adjust=split_at_blanks)
     # everything up to the answers stays in the partitions of the owners; within an owner,
     # which is a range of one hash, a unit goes by another hash
     unit = F.translate("word", " ", MARK)
@@ -172,8 +186,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) ->
             order = np.argsort(position, kind="stable")
             first = np.concatenate([(np.cumsum(sizes) - sizes)[place] if len(place) else np.zeros(0, np.int64), len(ids) + np.arange(len(free))])[order]
             size = np.concatenate([sizes[place] if len(place) else np.zeros(0, np.int64), np.ones(len(free), np.int64)])[order]
-            white = chunk.data[free].astype(np.int64)
-            values = np.concatenate([ids, np.where(white == 0x20, mark, white + first_byte)])
+            values = np.concatenate([ids, chunk.data[free].astype(np.int64) + first_byte])
             ends = np.cumsum(size)
             flat = values[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - first, size)]
             per_text = np.searchsorted(position[order], chunk.offsets)
@@ -182,7 +195,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) ->
 
         return columns
 
-    return X.answered(blanked, "_blanked", False, answers, ADDED, make, drop=("_blanked",), adjust=with_blank)
+    return X.answered(blanked, "_blanked", False, answers, ADDED, make, drop=("_blanked",), outside=outside, adjust=split_at_blanks)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
