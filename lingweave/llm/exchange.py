@@ -16,8 +16,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from lingweave.llm.text import WHITE, Chunk, Hasher, chunks, input_bytes, lower_table, map_arrow, word_table
@@ -35,6 +37,18 @@ def owners(df: DataFrame) -> int:
     return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if size is None else size // OWNER_BYTES)
 
 
+def packed(table: pa.Table | pa.RecordBatch) -> bytes:
+    """A table as one compressed value; rows of words shrink to a quarter of Spark's own form."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(value: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(value.as_buffer()).read_all().combine_chunks()
+
+
 def batch_key(chunk: Chunk, number: int) -> int:
     """Names a batch by its place and contents, so a batch that changed finds no answer."""
     place = f"{TaskContext.get().partitionId()}:{number}:{chunk.rows}:".encode()
@@ -56,22 +70,25 @@ def strings(chunk: Chunk, which: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(which), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(chunk.data[at].tobytes()))
 
 
-def tagged(df: DataFrame, text: str, lower: bool, outside: Sequence[int] = WHITE) -> DataFrame:
+def text_of(column: pa.Array, blank: bool) -> pa.Array:
+    """The texts; ``blank`` puts one in front of those that are not empty."""
+    if not blank:
+        return column
+    column = column.fill_null("")
+    return pc.if_else(pc.equal(column, ""), column, pc.binary_join_element_wise(" ", column, ""))
+
+
+def tagged(df: DataFrame, text: str, lower: bool, outside: Sequence[int] = WHITE, blank: bool = False) -> DataFrame:
     """``_batch, _docs``: every batch of documents as one compressed Arrow table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, low, number = word_table(outside), lower_table() if lower else None, 0
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            for chunk in chunks(batch.column(batch.schema.get_field_index(text)), table, low, BATCH_BYTES):
-                sink = pa.BufferOutputStream()
-                # a slice would keep the buffers of its whole batch
-                part = batch.take(pa.array(np.arange(chunk.first, chunk.first + chunk.rows)))
-                with pa.ipc.new_stream(sink, batch.schema, options=options) as stream:
-                    stream.write_batch(part)
+            for chunk in chunks(text_of(batch.column(batch.schema.get_field_index(text)), blank), table, low, BATCH_BYTES):
+                docs = packed(batch.slice(chunk.first, chunk.rows))
                 key = batch_key(chunk, number)
                 number += 1
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["_batch", "_docs"])
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([docs], pa.binary())], ["_batch", "_docs"])
 
     return map_arrow(df, run, StructType.fromDDL("_batch bigint, _docs binary"))
 
@@ -84,8 +101,9 @@ def words_by_owner(
     learn: str | None = None,
     outside: Sequence[int] = WHITE,
     adjust: Callable[[Chunk], Chunk] = lambda c: c,
+    blank: bool = False,
 ) -> DataFrame:
-    """``owner, batch, words, times``: the distinct words of every batch and range.
+    """``owner, batch, asked``: the distinct words of every batch and range, packed, with ``times``.
 
     ``times`` counts the words of rows whose ``learn`` column is true. ``outside`` are the
     bytes that separate words; ``adjust`` may move the borders of words.
@@ -94,7 +112,7 @@ def words_by_owner(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, low, number, hasher = word_table(outside), lower_table() if lower else None, 0, Hasher()
         for batch in batches:
-            for chunk in chunks(batch.column(batch.schema.get_field_index(text)), table, low, BATCH_BYTES):
+            for chunk in chunks(text_of(batch.column(batch.schema.get_field_index(text)), blank), table, low, BATCH_BYTES):
                 key = batch_key(chunk, number)
                 number += 1
                 chunk = adjust(chunk)
@@ -108,19 +126,54 @@ def words_by_owner(
                 owner = ((hashes >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
                 cuts = np.searchsorted(owner, np.arange(count + 1))
                 full = np.flatnonzero(np.diff(cuts))
-                if len(full):
-                    offsets = pa.array(np.append(cuts[full], len(hashes)), pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(full),
-                            pa.array(np.full(len(full), key)),
-                            pa.ListArray.from_arrays(offsets, strings(chunk, first)),
-                            pa.ListArray.from_arrays(offsets, pa.array(times)),
-                        ],
-                        ["owner", "batch", "words", "times"],
-                    )
+                whole = pa.table({"words": strings(chunk, first), "times": times})
+                asked = [packed(whole.slice(cuts[o], cuts[o + 1] - cuts[o])) for o in full]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full, pa.int64()), pa.array(np.full(len(full), key), pa.int64()), pa.array(asked, pa.binary())],
+                    ["owner", "batch", "asked"],
+                )
+
+    return map_arrow(df, run, StructType.fromDDL("owner bigint, batch bigint, asked binary"))
+
+
+OWNED = "owner bigint, batch bigint, words array<string>, times array<bigint>, place binary"
+
 
-    return map_arrow(df, run, StructType.fromDDL("owner bigint, batch bigint, words array<string>, times array<bigint>"))
+def owned(sent: DataFrame) -> DataFrame:
+    """Per hash range: one row without batch holds all distinct words and their ``times``; the
+    others hold, packed, the place of every word that a batch asked for."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [unpacked(x) for x in table["asked"]]
+        flat = pa.concat_arrays([p["words"].combine_chunks() for p in parts])
+        asked = np.concatenate([p["times"].to_numpy() for p in parts])
+        hashes, first, place = np.unique(hash_strings(flat, Hasher()), return_index=True, return_inverse=True)
+        times = np.bincount(place, asked, len(hashes)).astype(np.int64)
+        ends = np.cumsum([len(p) for p in parts])
+        packs = [packed(pa.table({"place": place[e - len(p) : e].astype(np.int32)})) for p, e in zip(parts, ends)]
+        one = lambda values: pa.array([values], pa.list_(values.type))
+        n, owner = table.num_rows, table["owner"][0].as_py()
+        return pa.table(
+            {
+                "owner": pa.array([owner] * (n + 1), pa.int64()),
+                "batch": pa.concat_arrays([pa.nulls(1, pa.int64()), table["batch"].combine_chunks()]),
+                "words": pa.concat_arrays([one(flat.take(pa.array(first))), pa.nulls(n, pa.list_(pa.string()))]),
+                "times": pa.concat_arrays([one(pa.array(times)), pa.nulls(n, pa.list_(pa.int64()))]),
+                "place": pa.array([None, *packs], pa.binary()),
+            }
+        )
+
+    return sent.groupBy("owner").applyInArrow(run, OWNED)
+
+
+def answer_rows(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """``batch, owner, answer`` for the batches of a range, from one answer per distinct word."""
+    asked = table.filter(pc.is_valid(table["batch"])).combine_chunks()
+    packs = [packed(answers.take(unpacked(p)["place"])) for p in asked["place"]]
+    return pa.table({"batch": asked["batch"], "owner": asked["owner"], "answer": pa.array(packs, pa.binary())})
+
+
+ANSWER = "batch bigint, owner bigint, answer binary"
 
 
 def hash_strings(words: pa.Array, hasher: Hasher) -> np.ndarray:
@@ -141,39 +194,32 @@ def answered(
     drop: tuple[str, ...] = (),
     outside: Sequence[int] = WHITE,
     adjust: Callable[[Chunk], Chunk] = lambda c: c,
+    blank: bool = False,
 ) -> DataFrame:
     """Documents with columns computed from the answers to their words.
 
-    ``answers`` has ``batch, owner`` and array columns in the order of the words sent; the
-    first one has one entry per word. ``make()(chunk, place, arrays, rows)`` gets the words
-    of a batch, the place of each word's answer, and the answer arrays by name; it returns the
-    new columns.
+    ``answers`` are rows of :func:`answer_rows`. ``make()(chunk, place, answers, rows)`` gets
+    the words of a batch, the place of each word's answer, the table of answers, and the
+    documents; it returns the new columns.
     """
     kept = [f for f in df.schema.fields if f.name not in drop]
     schema = StructType([*[StructField(f.name, f.dataType) for f in kept], *StructType.fromDDL(ddl).fields])
-    names = [c for c in answers.columns if c not in ("batch", "owner")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         columns, hasher = make(), Hasher()
-        right = right.sort_by("owner").combine_chunks()
-        arrays = {n: (right[n].combine_chunks().flatten() if right.num_rows else pa.array([])) for n in names}
-        parts = []
+        parts = [unpacked(x) for x in right.sort_by("owner")["answer"]]
+        answers = pa.concat_tables(parts).combine_chunks() if parts else None
+        made = []
         for docs in left["_docs"]:
-            rows = pa.ipc.open_stream(docs.as_buffer()).read_all().combine_chunks()
-            for chunk in chunks(rows[text].combine_chunks(), word_table(outside), lower_table() if lower else None, 1 << 40):
+            rows = unpacked(docs)
+            texts = text_of(rows[text].combine_chunks(), blank)
+            for chunk in chunks(texts, word_table(outside), lower_table() if lower else None, 1 << 40):
                 chunk = adjust(chunk)
                 hashes, _, place = distinct_words(chunk, hasher)
-                if len(arrays[names[0]]) != len(hashes):
-                    raise ValueError(f"{len(arrays[names[0]])} answers for {len(hashes)} words: the input changed between two reads; store it first")
-                parts.append(pa.table([*[rows[f.name] for f in kept], *columns(chunk, place, arrays, rows)], schema.names))
-        return pa.concat_tables(parts) if parts else schema_table(schema)
+                if (len(answers) if answers else 0) != len(hashes):
+                    raise ValueError(f"answers do not fit the {len(hashes)} words of a batch: the input changed between two reads; store it first")
+                made.append(pa.table([*[rows[f.name] for f in kept], *columns(chunk, place, answers, rows)], schema.names))
+        return pa.concat_tables(made) if made else to_arrow_schema(schema).empty_table()
 
-    both = tagged(df, text, lower, outside).groupBy("_batch").cogroup(answers.withColumnRenamed("batch", "_batch").groupBy("_batch"))
+    both = tagged(df, text, lower, outside, blank).groupBy("_batch").cogroup(answers.withColumnRenamed("batch", "_batch").groupBy("_batch"))
     return both.applyInArrow(run, schema)
-
-
-def schema_table(schema: StructType) -> pa.Table:
-    """No rows of a schema."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema).empty_table()

@@ -25,11 +25,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lingweave.llm import exchange as X
 from lingweave.llm.lattice import Pieces, Weights, expected_counts, load_pieces, log_probabilities
-from lingweave.llm.text import Hasher, sums_by_text
+from lingweave.llm.text import sums_by_text
 from lingweave.session import stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -61,36 +62,6 @@ def _log(p: np.ndarray) -> np.ndarray:
         return np.log(p)
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Words of one hash range: all distinct ones with their counts, and the place of every batch's words."""
-    table = table.combine_chunks()
-    words = table["words"].combine_chunks()
-    flat = words.flatten()
-    hashes, first, place = np.unique(X.hash_strings(flat, Hasher()), return_index=True, return_inverse=True)
-    times = np.bincount(place, table["times"].combine_chunks().flatten().to_numpy(zero_copy_only=False), len(hashes)).astype(np.int64)
-    none = pa.nulls(table.num_rows, pa.list_(pa.int64()))
-    asked = pa.table(
-        {
-            "owner": table["owner"],
-            "batch": table["batch"],
-            "words": pa.nulls(table.num_rows, pa.list_(pa.string())),
-            "times": none,
-            "place": pa.ListArray.from_arrays(words.offsets, pa.array(place, pa.int32())),
-        }
-    )
-    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    known = pa.table(
-        {
-            "owner": table["owner"].slice(0, 1),
-            "batch": pa.nulls(1, pa.int64()),
-            "words": one(flat.take(pa.array(first))),
-            "times": one(pa.array(times)),
-            "place": pa.nulls(1, pa.list_(pa.int32())),
-        }
-    )
-    return pa.concat_tables([known, asked])
-
-
 def _expectation(owned: DataFrame, pieces, log_p: np.ndarray) -> np.ndarray:
     """Expected uses of every piece in the training words; one row per piece reaches the driver."""
     size = len(log_p)
@@ -123,22 +94,12 @@ def _answers(pieces, log_p: np.ndarray, total: int, new: float) -> Callable:
     """Counts and log probabilities of the words of one hash range, for every batch that asked."""
 
     def run(table: pa.Table) -> pa.Table:
-        known = table.filter(pa.compute.is_null(table["batch"])).combine_chunks()
-        asked = table.filter(pa.compute.is_valid(table["batch"])).combine_chunks()
+        known = table.filter(pc.is_null(table["batch"])).combine_chunks()
         vocabulary = Pieces(*pieces.value)
         log_word = log_probabilities(known["words"].combine_chunks().flatten(), vocabulary, Weights.of(vocabulary, log_p))
         times = known["times"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        log_word = with_word_edges(log_word, times, total, new)
-        places = asked["place"].combine_chunks()
-        at = places.flatten().to_numpy(zero_copy_only=False)
-        return pa.table(
-            {
-                "batch": asked["batch"],
-                "owner": asked["owner"],
-                "times": pa.ListArray.from_arrays(places.offsets, pa.array(times[at])),
-                "log_word": pa.ListArray.from_arrays(places.offsets, pa.array(log_word[at])),
-            }
-        )
+        answers = pa.table({"times": times, "log_word": with_word_edges(log_word, times, total, new)})
+        return X.answer_rows(table, answers)
 
     return run
 
@@ -159,8 +120,7 @@ def score(
     ends = docs.where("_learn").count()
 
     sent = X.words_by_owner(docs, text, True, X.owners(docs), "_learn")
-    schema = "owner bigint, batch bigint, words array<string>, times array<bigint>, place array<int>"
-    owned = stored(sent.groupBy("owner").applyInArrow(_merge, schema), "lm-words")
+    owned = stored(X.owned(sent), "lm-words")
     times = F.col("times")
     summed = owned.where("batch is null").agg(
         F.sum(F.aggregate(times, F.lit(0).cast("long"), lambda a, t: a + t)).alias("tokens"),
@@ -183,14 +143,13 @@ def score(
         p = (uses + weight * first) / (uses.sum() + weight)
     log_p = _log(p)
 
-    answers = owned.groupBy("owner").applyInArrow(_answers(pieces, log_p, n, new), "batch bigint, owner bigint, times array<bigint>, log_word array<double>")
+    answers = owned.groupBy("owner").applyInArrow(_answers(pieces, log_p, n, new), X.ANSWER)
     below = np.log10(SMOOTH * (v + 1) + n)
     log_end = float(with_word_edges(log_p[[texts.index(END)]], np.array([ends]), n, new)[0])
 
     def make() -> Callable:
-        def columns(chunk, place: np.ndarray, arrays: dict, rows: pa.Table) -> list[pa.Array]:
-            times = arrays["times"].to_numpy(zero_copy_only=False).astype(np.float64)
-            log_word = arrays["log_word"].to_numpy(zero_copy_only=False).astype(np.float64)
+        def columns(chunk, place: np.ndarray, answers: pa.Table | None, rows: pa.Table) -> list[pa.Array]:
+            times, log_word = (answers[c].to_numpy().astype(np.float64) if answers else np.zeros(0) for c in ("times", "log_word"))
             bounds = chunk.bounds()
             base = sums_by_text((np.log10(times + SMOOTH) - below)[place] if len(place) else np.zeros(0), bounds)
             marginal = sums_by_text(log_word[place] if len(place) else np.zeros(0), bounds)

@@ -24,11 +24,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lingweave.llm import exchange as X
 from lingweave.llm.lattice import MARK, load_pieces
 from lingweave.llm.text import WHITE, Chunk, add_columns
+from lingweave.session import stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0  # fixed value: a character without a piece scores this much below the lowest piece
@@ -51,22 +53,22 @@ def separators(vocabulary: str = VOCABULARY) -> list[int]:
 
 
 def edges(units: DataFrame, pieces: DataFrame, longest: int, unknown: float) -> DataFrame:
-    """``owner, key, end, start, id, score``: every substring that is a piece, and every character."""
+    """``owner, no, end, start, id, score``: every substring that is a piece, and every character."""
     # a substring is cut from the next few characters, so its cost does not depend on where it begins
     size = F.char_length("unit")
     long_unit = F.when(size > SHORT, F.split("unit", ""))
-    starts = units.select("owner", "key", "unit", long_unit.alias("chars"), F.explode(F.sequence(F.lit(1), size)).alias("start"))
+    starts = units.select("owner", "no", "unit", long_unit.alias("chars"), F.explode(F.sequence(F.lit(1), size)).alias("start"))
     ahead = F.when(F.col("chars").isNull(), F.substring("unit", F.col("start"), F.lit(longest))).otherwise(
         F.array_join(F.slice("chars", F.col("start"), F.lit(longest)), "")
     )
-    starts = starts.select("owner", "key", "start", ahead.alias("ahead"))
-    spans = starts.select("owner", "key", "start", "ahead", F.explode(F.sequence(F.lit(1), F.char_length("ahead"))).alias("size"))
-    cut = spans.select("owner", "key", "start", "size", F.substring("ahead", F.lit(1), F.col("size")).alias("piece"))
+    starts = starts.select("owner", "no", "start", ahead.alias("ahead"))
+    spans = starts.select("owner", "no", "start", "ahead", F.explode(F.sequence(F.lit(1), F.char_length("ahead"))).alias("size"))
+    cut = spans.select("owner", "no", "start", "size", F.substring("ahead", F.lit(1), F.col("size")).alias("piece"))
     # the piece table is a vocabulary: tens of thousands of rows, whatever the corpus
     found = cut.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
     return found.select(
         "owner",
-        "key",
+        "no",
         (F.col("start") + F.col("size") - 1).alias("end"),
         (F.col("start") - 1).alias("start"),
         F.coalesce("id", F.lit(-1)).alias("id"),
@@ -107,30 +109,36 @@ def best_path(best: Column) -> Column:
     return F.aggregate(F.reverse(F.slice(ends, F.lit(2), F.size(best))), path, back, lambda s: s["path"])
 
 
-def byte_ids(character: Column, first_byte: int) -> Column:
-    """Ids of the byte pieces of a character."""
-    code = F.hex(F.encode(character, "utf-8"))
-    return F.transform(
-        F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int") + first_byte
-    )
-
-
 def segment(units: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``owner, key, path`` of distinct ``owner, key, unit`` rows; stays in the partitions of ``owner``."""
+    """``owner, no, path`` of distinct ``owner, no, unit`` rows; stays in the partitions of ``owner``."""
     texts, scores, kinds = load_pieces(vocabulary)
     longest = max((len(t) for t, k in zip(texts, kinds) if k == "piece"), default=1)
     unknown = min((s for s, k in zip(scores, kinds) if k == "piece"), default=0.0) - UNKNOWN_PENALTY
     found = edges(units, piece_table(units.sparkSession, vocabulary), longest, unknown)
     match = F.struct("end", "start", "id", "score")
-    grouped = found.groupBy("owner", "key").agg(F.sort_array(F.collect_list(match)).alias("matches"))
-    best = grouped.select("owner", "key", best_scores(F.col("matches")).alias("best"))
-    return best.select("owner", "key", best_path(F.col("best")).alias("path"))
-
-
-def path_ids(unit: Column, path: Column, first_byte: int) -> Column:
-    """Piece ids of a segmentation; a character without a piece gives its bytes."""
-    spelt = F.transform(path, lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(byte_ids(F.substring(unit, p["start"] + 1, F.lit(1)), first_byte)))
-    return F.when(F.exists(path, lambda p: p["id"] < 0), F.flatten(spelt)).otherwise(F.transform(path, lambda p: p["id"]))
+    grouped = found.groupBy("owner", "no").agg(F.sort_array(F.collect_list(match)).alias("matches"))
+    best = grouped.select("owner", "no", best_scores(F.col("matches")).alias("best"))
+    return best.select("owner", "no", best_path(F.col("best")).alias("path"))
+
+
+def path_ids(units: pa.Array, paths: pa.Array, first_byte: int) -> pa.Array:
+    """Piece ids of the units' segmentations; a character without a piece gives its bytes."""
+    steps = paths.flatten()
+    ids, offsets = steps.field("id").to_numpy(zero_copy_only=False), paths.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    unknown = np.flatnonzero(ids < 0)
+    if not len(unknown):
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+    starts = steps.field("start").to_numpy(zero_copy_only=False)
+    unit = np.searchsorted(offsets, unknown, "right") - 1
+    spelt = {int(i): [b + first_byte for b in units[int(u)].as_py()[starts[i]].encode()] for i, u in zip(unknown, unit)}
+    size = np.ones(len(ids), np.int64)
+    size[unknown] = [len(spelt[int(i)]) for i in unknown]
+    ends = np.cumsum(size)
+    flat = np.repeat(ids, size)
+    for i, values in spelt.items():
+        flat[ends[i] - len(values) : ends[i]] = values
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends])[offsets], pa.int32()), pa.array(flat, pa.int32()))
 
 
 def split_at_blanks(chunk: Chunk) -> Chunk:
@@ -151,33 +159,28 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) ->
     spark = docs.sparkSession
     kinds = load_pieces(vocabulary)[2]
     first_byte, outside = kinds.index("byte"), separators(vocabulary)
-    whole = F.col(f"`{text}`")
-    blanked = docs.select(*[f"`{c}`" for c in docs.columns if c != "ids"]).withColumn(
-        "_blanked", F.when(F.length(whole) > 0, F.concat(F.lit(" "), whole)).otherwise("")
-    )
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c != "ids"])
     count = X.owners(docs) * 4
     tasks = max(spark.sparkContext.defaultParallelism * 2, count * X.OWNER_BYTES // 4 // WORK_BYTES)
-    sent = X.words_by_owner(blanked, "_blanked", False, count, outside=outside, adjust=split_at_blanks)
-    # everything up to the answers stays in the partitions of the owners; within an owner,
-    # which is a range of one hash, a unit goes by another hash
-    unit = F.translate("word", " ", MARK)
-    asked = sent.repartition(tasks, "owner").select("owner", "batch", F.posexplode("words").alias("place", "word"))
-    asked = asked.select("owner", F.xxhash64("word").alias("key"), unit.alias("unit"), "batch", "place")
-    segmented = segment(asked.select("owner", "key", "unit").distinct(), vocabulary)
-    ids = path_ids(F.col("unit"), F.col("path"), first_byte)
-    answers = asked.join(segmented, ["owner", "key"]).select("owner", "batch", F.struct("place", ids.alias("ids")).alias("pair"))
-    listed = answers.groupBy("owner", "batch").agg(F.sort_array(F.collect_list("pair")).alias("pairs"))
-    answers = listed.select(
-        "batch",
-        "owner",
-        F.transform("pairs", lambda p: F.size(p["ids"])).alias("n"),
-        F.flatten(F.transform("pairs", lambda p: p["ids"])).alias("ids"),
-    )
+    sent = X.words_by_owner(docs, text, False, count, outside=outside, adjust=split_at_blanks, blank=True)
+    owned = stored(X.owned(sent), "pieces-units")
+
+    # one exchange by owner; the lattice and the grouping of its edges stay in those partitions
+    words = owned.where("batch is null").select("owner", "words").repartition(tasks, "owner")
+    units = words.select("owner", F.posexplode("words").alias("no", "word"))
+    segmented = segment(units.select("owner", "no", F.translate("word", " ", MARK).alias("unit")), vocabulary)
+
+    def respond(asked: pa.Table, paths: pa.Table) -> pa.Table:
+        known = asked.filter(pc.is_null(asked["batch"]))["words"].combine_chunks().flatten()
+        return X.answer_rows(asked, pa.table({"ids": path_ids(known, paths.sort_by("no")["path"].combine_chunks(), first_byte)}))
+
+    segmented = segmented.select(F.col("owner").alias("_owner"), "no", "path")
+    answers = owned.drop("times").groupBy("owner").cogroup(segmented.groupBy("_owner")).applyInArrow(respond, X.ANSWER)
 
     def make() -> Callable:
-        def columns(chunk: Chunk, place: np.ndarray, arrays: dict, rows: pa.Table) -> list[pa.Array]:
-            sizes = arrays["n"].to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = arrays["ids"].to_numpy(zero_copy_only=False).astype(np.int64)
+        def columns(chunk: Chunk, place: np.ndarray, answers: pa.Table | None, rows: pa.Table) -> list[pa.Array]:
+            lists = answers["ids"].combine_chunks() if answers else pa.array([], pa.list_(pa.int32()))
+            sizes, ids = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             covered = np.zeros(len(chunk.data) + 1, np.int8)
             covered[chunk.starts] += 1
             np.add.at(covered, chunk.ends, -1)
@@ -195,7 +198,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) ->
 
         return columns
 
-    return X.answered(blanked, "_blanked", False, answers, ADDED, make, drop=("_blanked",), outside=outside, adjust=split_at_blanks)
+    return X.answered(docs, text, False, answers, ADDED, make, outside=outside, adjust=split_at_blanks, blank=True)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
