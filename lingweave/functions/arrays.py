@@ -64,14 +64,6 @@ def pad_positions(ids: Column) -> Column:
     return F.filter(where, lambda i: i >= 0)
 
 
-def window_starts(start: Column, end: Column, size: Column) -> Column:
-    """Starts ``start .. end - size``, both included; empty when none fits."""
-    last = end - size
-    return F.when(last >= start, F.sequence(start, F.greatest(last, start))).otherwise(
-        F.array().cast("array<int>")
-    )
-
-
 def argmax(values: Column) -> Column:
     """0-based position of the first maximum."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")

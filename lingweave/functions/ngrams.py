@@ -95,3 +95,28 @@ def ngram_stats(hyp: Column, ref: Column, max_order: int, words: bool, prefix: s
             yield pd.DataFrame(counts, columns=names)
 
     return stats(hyp, ref)
+
+
+def word_and_character_stats(words: tuple[Column, Column], characters: tuple[Column, Column], orders: tuple[int, int], prefixes: tuple[str, str]) -> Column:
+    """Struct of word and character n-gram counts of a pair (hypothesis, reference) in one Arrow step."""
+    names = [*stat_names(prefixes[0], orders[0]), *stat_names(prefixes[1], orders[1])]
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in names])
+
+    @F.pandas_udf(schema)
+    def stats(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            hyp, ref, hyp_chars, ref_chars = (c.fillna("") for c in columns)
+            sizes = (hyp.str.len() + ref.str.len()).to_numpy()
+            parts = [
+                np.hstack(
+                    [
+                        match_counts(hyp[rows].tolist(), ref[rows].tolist(), orders[0], True),
+                        match_counts(hyp_chars[rows].tolist(), ref_chars[rows].tolist(), orders[1], False),
+                    ]
+                )
+                for rows in _chunks(sizes)
+            ]
+            counts = np.concatenate(parts) if parts else np.zeros((0, len(names)), np.int64)
+            yield pd.DataFrame(counts, columns=names)
+
+    return stats(*words, *characters)

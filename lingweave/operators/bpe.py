@@ -10,20 +10,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lingweave.functions.arrays import SPECIAL_TOKENS
-from lingweave.functions.tokens import byte_characters, piece_symbols, pretokenize, symbol, symbol_ids
-from lingweave.operators.vocab import word_freq
-from lingweave.session import spread, stored
+from lingweave.functions.arrays import MASK_TOKEN, SPECIAL_TOKENS
+from lingweave.functions.tokens import byte_alphabet, byte_characters, piece_symbols, pretokenize, symbol, symbol_ids
+from lingweave.operators.vocab import byte_vocab, word_freq
+from lingweave.session import spread, stored, temporary_tables
 
 FIRST_BYTE = len(SPECIAL_TOKENS)
 FIRST_MERGE = FIRST_BYTE + 256
 CANDIDATES = 512  # top pairs looked at per round; a round always merges at least one
+NATIVE_MERGES = 16  # merges of a round up to which native replacements are nested
+REMEMBERED = 500_000  # pieces whose ids a task keeps
 STORE_ROUNDS = 4  # rounds between writes of the state; longer chains of cached plans get slow
 
 
@@ -70,14 +74,13 @@ def pair_freqs(table: DataFrame) -> DataFrame:
     return pairs.groupBy("pair").agg(F.sum("freq").alias("freq"))
 
 
-def pair_changes(table: DataFrame, merges: Sequence[Merge]) -> DataFrame:
-    """``pair, freq`` changes when ``merges`` are applied: only words that hold one count."""
-    holds = reduce(lambda a, b: a | b, [F.col("symbols").contains(m.pair) for m in merges])
+def pair_changes(changed: DataFrame) -> DataFrame:
+    """``pair, freq`` changes of words that a round merged: ``symbols, merged, freq``."""
     versions = F.array(
         F.struct(pairs_of(F.col("symbols")).alias("pairs"), (-F.col("freq")).alias("freq")),
-        F.struct(pairs_of(merge_pairs(F.col("symbols"), merges)).alias("pairs"), F.col("freq")),
+        F.struct(pairs_of(F.col("merged")).alias("pairs"), F.col("freq")),
     )
-    both = table.where(holds).select(F.explode(versions).alias("v")).select("v.freq", F.explode("v.pairs").alias("pair"))
+    both = changed.select(F.explode(versions).alias("v")).select("v.freq", F.explode("v.pairs").alias("pair"))
     return both.select("pair", "freq")
 
 
@@ -88,10 +91,42 @@ def best_pairs(counts: DataFrame, n: int = CANDIDATES) -> list[tuple[str, int]]:
 
 
 def merge_pairs(symbols: Column, merges: Sequence[Merge]) -> Column:
-    """Apply merges one after another."""
-    for m in merges:
-        symbols = F.replace(symbols, F.lit(m.pair), F.lit(symbol(m.merged)))
-    return symbols
+    """Apply merges one after another.
+
+    A few merges are native replacements. Many run in an Arrow kernel, so that the depth of
+    the expression does not grow with their number.
+    """
+    steps = [(m.pair, symbol(m.merged)) for m in merges]
+    if len(steps) <= NATIVE_MERGES:
+        for pair, merged in steps:
+            symbols = F.replace(symbols, F.lit(pair), F.lit(merged))
+        return symbols
+
+    @F.arrow_udf("string")
+    def replace(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for pair, merged in steps:
+                batch = pc.replace_substring(batch, pair, merged)
+            yield batch
+
+    return replace(symbols)
+
+
+def replay(symbols: Column, merges: Sequence[Merge], spark: SparkSession) -> Column:
+    """Apply known merges, any number of them, in one pass: each word by its own best pairs."""
+    ranks = spark.sparkContext.broadcast(_ranks(merges))
+
+    @F.arrow_udf("string")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if w is None else "".join(map(symbol, _apply(symbol_ids(w), ranks.value))) for w in batch.to_pylist()], pa.string())
+
+    return apply(symbols)
+
+
+def _ranks(merges: Sequence[Merge]) -> dict[tuple[int, int], int]:
+    """Rank of every pair; merges are bounded by the vocabulary, which the driver holds."""
+    return {(m.left, m.right): m.rank for m in merges}
 
 
 def independent_prefix(pairs: Sequence[tuple[str, int]], min_frequency: int) -> list[str]:
@@ -124,36 +159,41 @@ def train(
 ) -> list[Merge]:
     """Learn up to ``merges`` merges from ``word, freq``; exact greedy order.
 
-    ``known`` merges are applied first and kept, so training continues from them.
-    All pairs are counted once. A round then looks only at the words that hold a
-    pair it merges and adds the differences to the pair counts, one small table.
-    Both tables stay cached between rounds and are written to the shared folder
-    every few rounds, so a lost executor costs those rounds at most.
+    ``known`` merges are applied first, in one pass, and kept, so training continues from
+    them. All pairs are counted once. A round then looks only at the words that hold a
+    pair it merges and adds the differences to the pair counts, one small table. Both
+    tables are cached between rounds and written to the shared folder every few rounds, so
+    a lost executor costs those rounds at most; what was written is deleted at the end.
     """
+    spark = words.sparkSession
     learnt = list(known)
-    state = _State(stored(spread(symbol_table(words), "symbols"), "bpe-words"))
-    for start in range(0, len(learnt), STORE_ROUNDS):
-        state.keep(table=shrink(state.table, learnt[start : start + STORE_ROUNDS]))
-    state.keep(counts=pair_freqs(state.table))
-    while len(learnt) < merges:
-        taken = independent_prefix(best_pairs(state.counts), min_frequency)[: merges - len(learnt)]
-        if not taken:
-            break
-        step = [Merge(len(learnt) + i, *symbol_ids(pair)) for i, pair in enumerate(taken)]
-        learnt += step
-        if len(learnt) < merges:
-            total = state.counts.unionByName(pair_changes(state.table, step))
-            counts = total.groupBy("pair").agg(F.sum("freq").alias("freq")).where("freq > 0")
-            state.keep(table=shrink(state.table, step), counts=counts)
-    state.release()
+    with temporary_tables(spark, "bpe") as folder:
+        table = spread(symbol_table(words), "symbols")
+        if learnt:
+            table = table.select(replay(F.col("symbols"), learnt, spark).alias("symbols"), "freq").where(F.char_length("symbols") > 1)
+        state = _State(stored(table, "words", folder), folder)
+        state.keep(counts=pair_freqs(state.table))
+        while len(learnt) < merges:
+            taken = independent_prefix(best_pairs(state.counts), min_frequency)[: merges - len(learnt)]
+            if not taken:
+                break
+            step = [Merge(len(learnt) + i, *symbol_ids(pair)) for i, pair in enumerate(taken)]
+            learnt += step
+            if len(learnt) < merges:
+                both = state.table.select("symbols", merge_pairs(F.col("symbols"), step).alias("merged"), "freq")
+                total = state.counts.unionByName(pair_changes(both.where("symbols <> merged")))
+                counts = total.groupBy("pair").agg(F.sum("freq").alias("freq")).where("freq > 0")
+                after = both.where(F.char_length("merged") > 1).select(F.col("merged").alias("symbols"), "freq")
+                state.keep(table=after, counts=counts)
+        state.release()
     return learnt
 
 
 class _State:
     """Cached word and pair tables; an old version is dropped once the next one is stored."""
 
-    def __init__(self, table: DataFrame):
-        self.table, self.counts = table, None
+    def __init__(self, table: DataFrame, folder: str):
+        self.table, self.counts, self._folder = table, None, folder
         self._cached: list[DataFrame] = []
         self._rounds = 0
 
@@ -162,7 +202,7 @@ class _State:
         store = self._rounds % STORE_ROUNDS == 0
         cores = self.table.sparkSession.sparkContext.defaultParallelism
         # cached plans keep all shuffle partitions, far more than small tables need
-        fresh = {k: stored(df, f"bpe-{k}") if store else df.coalesce(cores).persist() for k, df in tables.items()}
+        fresh = {k: stored(df, k, self._folder) if store else df.coalesce(cores).persist() for k, df in tables.items()}
         if store:
             self.release()
         else:
@@ -176,14 +216,6 @@ class _State:
         self._cached = []
 
 
-def shrink(table: DataFrame, merges: Sequence[Merge]) -> DataFrame:
-    """Apply merges and drop words that became one symbol: they hold no pair."""
-    if not merges:
-        return table
-    merged = table.select(merge_pairs(F.col("symbols"), merges).alias("symbols"), "freq")
-    return merged.where(F.char_length("symbols") > 1)
-
-
 def token_texts(merges: Sequence[Merge]) -> list[str]:
     """Byte-level text of every merge, in rank order."""
     texts = sorted(byte_characters())
@@ -211,12 +243,12 @@ def load_merges(spark: SparkSession, path: str) -> list[Merge]:
     return [Merge(*r) for r in spark.read.parquet(path).orderBy("rank").collect()]
 
 
-def _apply(word: str, ranks: dict[tuple[int, int], int]) -> list[int]:
+def _apply(word: Sequence[int], ranks: dict[tuple[int, int], int]) -> list[int]:
     """Merge the best-ranked pair of a word, leftmost first, until none is left.
 
     Candidates wait in a heap, so a very long word costs n log n.
     """
-    ids: list[int | None] = symbol_ids(word)
+    ids: list[int | None] = list(word)
     size = len(ids)
     after, before = list(range(1, size + 1)), list(range(-1, size - 1))
     heap = [(ranks[pair], i) for i, pair in enumerate(zip(ids, ids[1:])) if pair in ranks]
@@ -239,27 +271,90 @@ def _apply(word: str, ranks: dict[tuple[int, int], int]) -> list[int]:
 def bpe_ids(text: Column, merges: Sequence[Merge], spark: SparkSession) -> Column:
     """Token ids of a text as ``array<int>``.
 
-    Splitting and byte mapping run in the JVM. Tasks get the merges (at most one
-    vocabulary) and remember the words they met, so frequent words are split once
-    and no word is shuffled.
+    Splitting runs in the JVM. Tasks get the merges (at most one vocabulary), merge each
+    distinct piece of a batch once and remember it, and put texts together by place.
     """
-    ranks = spark.sparkContext.broadcast({(m.left, m.right): m.rank for m in merges})
+    ranks = spark.sparkContext.broadcast(_ranks(merges))
+    alphabet = byte_alphabet(FIRST_BYTE)
+    byte_ids = [alphabet[ch] for ch in byte_characters()]
 
     @F.arrow_udf("array<int>")
     def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen: dict[str, list[int]] = {}
         for batch in batches:
-            out = []
-            for words in batch.to_pylist():
-                ids: list[int] = []
-                for word in words or ():
-                    known = seen.get(word)
-                    if known is None:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        known = seen[word] = _apply(word, ranks.value)
-                    ids += known
-                out.append(ids)
-            yield pa.array(out, pa.list_(pa.int32()))
-
-    return split(F.transform(pretokenize(text), lambda w: piece_symbols(w, FIRST_BYTE)))
+            pieces = batch.flatten().dictionary_encode()
+            known = []
+            for piece in pieces.dictionary.to_pylist():
+                ids = seen.get(piece)
+                if ids is None:
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                    ids = seen[piece] = _apply([byte_ids[b] for b in piece.encode()], ranks.value)
+                known.append(ids)
+            size = np.array([len(k) for k in known], np.int64)
+            flat = np.fromiter(chain.from_iterable(known), np.int32, size.sum())
+            place = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            own = size[place]
+            ends = np.cumsum(own)
+            at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - own - (np.cumsum(size) - size)[place], own)
+            per_text = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)))
+            offsets = np.append(0, ends)[per_text]
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[at], pa.int32()))
+
+    return split(pretokenize(text))
+
+
+class BpeTokenizer:
+    """Encodes and decodes with trained merges: specials, bytes, merges, then the mask token."""
+
+    def __init__(self, merges: Sequence[Merge], spark: SparkSession):
+        self.merges, self.spark = list(merges), spark
+        self.mask_id = FIRST_MERGE + len(self.merges)
+
+    def special_ids(self) -> list[int]:
+        return [*range(FIRST_BYTE), self.mask_id]
+
+    def id_of(self, token: str) -> int:
+        return self.mask_id if token == MASK_TOKEN else SPECIAL_TOKENS.index(token)
+
+    def encoded(self, df: DataFrame, text: str, out: str, most: int | None = None) -> DataFrame:
+        """Add the (first ``most``) token ids of a text; a null text has none."""
+        ids = bpe_ids(F.coalesce(F.col(text), F.lit("")), self.merges, self.spark)
+        return df.withColumn(out, ids if most is None else F.slice(ids, 1, most))
+
+    def decoded(self, df: DataFrame, ids: str, out: str) -> DataFrame:
+        """Add the text of ids; special and unknown ids have none, cut characters become U+FFFD."""
+        value = {ch: b for b, ch in enumerate(byte_characters())}
+        texts = sorted(byte_characters()) + token_texts(self.merges)
+        shared = self.spark.sparkContext.broadcast([bytes(value[c] for c in t) for t in texts])
+
+        @F.arrow_udf("string")
+        def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            table = shared.value
+            for batch in batches:
+                yield pa.array(
+                    [
+                        None if row is None else b"".join(table[i - FIRST_BYTE] for i in row if FIRST_BYTE <= i < FIRST_BYTE + len(table)).decode("utf-8", "replace")
+                        for row in batch.to_pylist()
+                    ],
+                    pa.string(),
+                )
+
+        return df.withColumn(out, join(F.col(ids)))
+
+    def count(self, text: Column) -> Column:
+        """Number of tokens of a text, for :func:`lingweave.operators.vocab.token_totals`."""
+        return F.size(bpe_ids(F.coalesce(text, F.lit("")), self.merges, self.spark))
+
+    def vocabulary(self) -> DataFrame:
+        """``id, token`` of all tokens."""
+        return byte_vocab(token_texts(self.merges), self.spark)
+
+
+def save_vocabulary(vocab: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store ``id, token``, sorted, as one file: a vocabulary is small."""
+    vocab.coalesce(1).sortWithinPartitions("id").write.mode(mode).parquet(path)
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id int, token string").parquet(path)

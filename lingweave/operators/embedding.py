@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lingweave.session import stored
+
 # A vector table above this size is joined to the rows instead of sent to tasks.
 BROADCAST_VECTOR_BYTES = 512 << 20
 BLOCK = 4096
@@ -54,31 +56,41 @@ def vector_bytes(vectors: DataFrame) -> int:
 
 
 def with_embedding_prf(
-    df: DataFrame, row: str, hyp_ids: str, ref_ids: str, vectors: DataFrame, limit: int = BROADCAST_VECTOR_BYTES
+    df: DataFrame, hyp_ids: str, ref_ids: str, vectors: DataFrame, limit: int = BROADCAST_VECTOR_BYTES
 ) -> DataFrame:
-    """Add ``precision, recall, f1``; ids are positions of ``vectors(vec_id, embedding)`` from 0.
+    """Add ``precision, recall, f1``; ids are ``vec_id`` values of ``vectors(vec_id, embedding)``.
 
-    The vectors belong to a vocabulary, so they do not grow with the corpus. A
-    table up to ``limit`` bytes goes to the tasks, a larger one is joined.
+    Ids without a vector do not count. The vectors belong to a vocabulary, so they do not
+    grow with the corpus. A table up to ``limit`` bytes goes to the tasks, a larger one is
+    joined, with equal scores.
     """
     if vector_bytes(vectors) <= limit:
         scored = df.withColumn("_prf", embedding_prf(F.col(hyp_ids), F.col(ref_ids), vectors))
         return scored.select(*df.columns, "_prf.*")
-    scores = embedding_prf_by_join(df, row, hyp_ids, ref_ids, vectors)
-    return df.join(scores, row, "left").fillna(0.0, ["precision", "recall", "f1"])
+    # rows need not be unique: each gets a number, which must not change between the two reads
+    numbered = stored(df.withColumn("_row", F.monotonically_increasing_id()), "embedding-rows")
+    scores = embedding_prf_by_join(numbered, "_row", hyp_ids, ref_ids, vectors)
+    return numbered.join(scores, "_row", "left").drop("_row").fillna(0.0, ["precision", "recall", "f1"])
 
 
 def embedding_prf(hyp_ids: Column, ref_ids: Column, vectors: DataFrame) -> Column:
     """Struct of scores with the whole vector table in every task; check its size first."""
-    rows = vectors.select("vec_id", "embedding").toArrow().sort_by("vec_id")
-    table = _unit(np.array(rows["embedding"].to_pylist(), np.float64))
-    shared = vectors.sparkSession.sparkContext.broadcast(table)
+    rows = vectors.select("vec_id", "embedding").toArrow().sort_by("vec_id").combine_chunks()
+    ids = rows["vec_id"].to_numpy()
+    flat = rows["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, flat.reshape(len(ids), -1)))
 
     @F.arrow_udf(PRF_TYPE)
     def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        table = shared.value
+        ids, flat = shared.value
+        table = _unit(flat.astype(np.float64))
+
+        def places(wanted: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(ids, wanted), max(len(ids) - 1, 0))
+            return at[ids[at] == wanted] if len(ids) else at[:0]
+
         for hyp, ref in batches:
-            rows = [_score(h, r, table) for h, r in zip(_lists(hyp), _lists(ref))]
+            rows = [_score(places(h), places(r), table) for h, r in zip(_lists(hyp), _lists(ref))]
             p, r, f = (pa.array([row[k] for row in rows], pa.float64()) for k in range(3))
             yield pa.StructArray.from_arrays([p, r, f], ["precision", "recall", "f1"])
 

@@ -2,57 +2,78 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lingweave.functions import arrays as A
-from lingweave.functions.whitespace import ws_tokens
-from lingweave.operators.vocab import TokenLookup
+from lingweave.operators.infer import require_columns
 
 
-def word_tokens(text: Column, max_length: int = A.MAX_LENGTH) -> Column:
-    """The whitespace tokens that fit; splitting stops once the rest would be cut off."""
-    return A.truncate(ws_tokens(text, max_length), max_length)
+class Tokenizer(Protocol):
+    """Words (:class:`TokenLookup`) or byte pairs (:class:`lingweave.operators.bpe.BpeTokenizer`)."""
+
+    def special_ids(self) -> list[int]: ...
+
+    def encoded(self, df: DataFrame, text: str, out: str, most: int | None = None) -> DataFrame: ...
+
+    def decoded(self, df: DataFrame, ids: str, out: str) -> DataFrame: ...
 
 
 def encode_text(
     df: DataFrame,
     text: str,
-    lookup: TokenLookup,
+    tokenizer: Tokenizer,
     ids: str = "input_ids",
     mask: str | None = "attention_mask",
     max_length: int = A.MAX_LENGTH,
     padded: bool = True,
-    tokens=word_tokens,
 ) -> DataFrame:
     """Add framed, truncated ids of ``text`` and their attention mask."""
-    framed = A.frame(lookup.to_ids(tokens(F.col(text), max_length)))
-    df = df.withColumn("_framed", framed)
+    require_columns(df, text)
+    df = tokenizer.encoded(df, text, "_ids", max_length - 2).withColumn("_framed", A.frame(F.col("_ids"))).drop("_ids")
+    return _padded(df, ids, mask, max_length, padded)
+
+
+def _padded(df: DataFrame, ids: str, mask: str | None, max_length: int, padded: bool) -> DataFrame:
     if mask:
         df = df.withColumn(mask, A.attention_mask(F.col("_framed"), max_length) if padded else A.repeat(1, F.size("_framed")))
     value = A.pad(F.col("_framed"), max_length) if padded else F.col("_framed")
     return df.withColumn(ids, value).drop("_framed")
 
 
-def encode_pairs(df: DataFrame, src: str, tgt: str, source_lookup: TokenLookup, target_lookup: TokenLookup) -> DataFrame:
+def encode_windows(
+    df: DataFrame, text: str, tokenizer: Tokenizer, ids: str = "input_ids", window: str = "part", max_length: int = A.MAX_LENGTH
+) -> DataFrame:
+    """One row per run of ``max_length - 2`` tokens: the whole text, numbered by ``window`` from 0.
+
+    A text without tokens is one window of borders and pads.
+    """
+    size = max_length - 2
+    whole = tokenizer.encoded(df, text, "_ids").drop(text)
+    last = F.greatest(F.ceil(F.size("_ids") / size) - 1, F.lit(0))
+    rows = whole.withColumn(window, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    cut = F.slice("_ids", (F.col(window) * size + 1).cast("int"), F.lit(size))
+    return _padded(rows.withColumn("_framed", A.frame(cut)).drop("_ids"), ids, None, max_length, True)
+
+
+def encode_pairs(df: DataFrame, src: str, tgt: str, source: Tokenizer, target: Tokenizer) -> DataFrame:
     """``input_ids, attention_mask, labels`` of a pair; padded labels are ignored."""
-    df = encode_text(df, src, source_lookup)
-    df = encode_text(df, tgt, target_lookup, ids="labels", mask=None)
+    df = encode_text(df, src, source)
+    df = encode_text(df, tgt, target, ids="labels", mask=None)
     return df.withColumn("labels", A.ignore_pads(F.col("labels")))
 
 
-def encode_batch(df: DataFrame, src: str, tgt: str, source_lookup: TokenLookup, target_lookup: TokenLookup) -> DataFrame:
+def encode_batch(df: DataFrame, src: str, tgt: str, source: Tokenizer, target: Tokenizer) -> DataFrame:
     """Raw text beside ids and masks of both sides; labels keep their pad ids."""
-    df = encode_text(df, src, source_lookup, "src_tokenized", "src_attention_mask")
-    return encode_text(df, tgt, target_lookup, "tgt_tokenized", "tgt_attention_mask")
+    df = encode_text(df, src, source, "src_tokenized", "src_attention_mask")
+    return encode_text(df, tgt, target, "tgt_tokenized", "tgt_attention_mask")
 
 
-def decode_ids(ids: Column, lookup: TokenLookup, skip: Sequence[str] | None = None) -> Column:
-    """Ids to text: ignored labels become end tokens, special tokens are skipped."""
-    special = lookup.special_ids() if skip is None else [lookup.id_of(t) for t in skip]
-    kept = F.filter(A.restore_ignored(ids), lambda x: ~x.isin(*special))
-    return F.array_join(lookup.to_tokens(kept), " ")
+def decode_ids(df: DataFrame, ids: str, tokenizer: Tokenizer, out: str = "text") -> DataFrame:
+    """Add the text of ids: ignored labels become end tokens, special tokens are skipped."""
+    kept = F.filter(A.restore_ignored(F.col(ids)), lambda x: ~x.isin(*tokenizer.special_ids()))
+    return tokenizer.decoded(df.withColumn("_kept", kept), "_kept", out).drop("_kept")
 
 
 def pad_batch(df: DataFrame, ids: str, batch: str = "batch_id") -> DataFrame:

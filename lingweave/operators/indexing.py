@@ -25,6 +25,7 @@ def row_index(
     order: Sequence[str | Column],
     per: Sequence[str] = (),
     name: str = "row_index",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add 0, 1, 2, ... in ``order`` within each ``per`` group.
 
@@ -32,13 +33,13 @@ def row_index(
     in its partition, and partition sizes (at most partitions plus groups rows, so
     small enough to send unless groups are counted by the million) give the offsets. The order must be total, so that a group or a key
     with a third of all rows still divides into ranges. The placed rows are
-    checkpointed, since a place must not change when a task is run again: select
-    the columns you need first.
+    checkpointed, since a place must not change when a task is run again: name the
+    columns to ``keep``, so that long sort keys end with the sort.
     """
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
     ranged = df.repartitionByRange(_range_partitions(df), *per, *keys)
     placed = reliable_checkpoint(
-        ranged.sortWithinPartitions(*per, *keys).withColumn("_slot", F.monotonically_increasing_id())
+        ranged.sortWithinPartitions(*per, *keys).select(*(keep or df.columns), F.monotonically_increasing_id().alias("_slot"))
     )
     placed = placed.withColumn("_part", F.shiftright("_slot", 33))
     sizes = placed.groupBy(*per, "_part").agg(F.min("_slot").alias("_first"), F.count("*").alias("_n"))

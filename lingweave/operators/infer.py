@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from lingweave.operators.joins import pending_rows
 
 Translator = Callable[[list[str]], list[str]]
-# Fixed value: the instruction sent along when a remote service translates.
-SYSTEM_PROMPT = "Translate the following sentences from Hindi-English (Hinglish) to English"
 
 
 def require_columns(df: DataFrame, *columns: str) -> None:
@@ -24,10 +22,11 @@ def require_columns(df: DataFrame, *columns: str) -> None:
 def translate(
     df: DataFrame, make_translator: Callable[[], Translator], src: str, out: str = "translations", batch: int = 32
 ) -> DataFrame:
-    """Add the translations of ``src``.
+    """Add the translations of ``src``; a null text stays null and is not sent.
 
     ``make_translator`` runs once per task (load a model, open a client there) and
-    returns a function from a list of texts to a list of translations.
+    returns a function from a list of texts to a list of translations. The result counts as
+    not deterministic, so no filter on it makes Spark call the translator twice for a row.
     """
     require_columns(df, src)
 
@@ -35,20 +34,21 @@ def translate(
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         translator = make_translator()
         for texts in series:
+            sent = texts[texts.notna()]
             done: list[str] = []
-            for start in range(0, len(texts), batch):
-                part = texts.iloc[start : start + batch].tolist()
+            for start in range(0, len(sent), batch):
+                part = sent.iloc[start : start + batch].tolist()
                 answers = translator(part)
                 if len(answers) != len(part):
                     raise ValueError("a translator must return one answer per text")
                 done += answers
-            yield pd.Series(done, dtype=object)
+            yield pd.Series(done, index=sent.index, dtype=object).reindex(texts.index, fill_value=None)
 
-    return df.withColumn(out, run(F.col(src)))
+    return df.withColumn(out, run.asNondeterministic()(F.col(src)))
 
 
 def remote_translator(
-    connect: Callable[[], Callable[[str, str], str]], prompt: str = SYSTEM_PROMPT
+    connect: Callable[[], Callable[[str, str], str]], prompt: str
 ) -> Callable[[], Translator]:
     """A translator that sends one row at a time with a fixed instruction.
 

@@ -13,10 +13,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lingweave.functions.ngrams import ngram_stats, stat_names
+from lingweave.functions.ngrams import ngram_stats, stat_names, word_and_character_stats
 from lingweave.functions.tokens import tokenize_13a
 from lingweave.functions.whitespace import drop_whitespace
 from lingweave.operators.embedding import with_embedding_prf
+from lingweave.operators.infer import require_columns
 
 WORD_ORDER = 4
 CHAR_ORDER = 6
@@ -45,11 +46,20 @@ def with_plain_stats(df: DataFrame, hyp: str, ref: str) -> DataFrame:
 def with_chrf_stats(df: DataFrame, hyp: str, ref: str) -> DataFrame:
     """Add character n-gram counts; hypothesis grams count only where the reference has grams."""
     bare = [drop_whitespace(F.col(c)) for c in (hyp, ref)]
-    df = _expand(df, ngram_stats(*bare, CHAR_ORDER, False, "chrf"))
-    for n in range(1, CHAR_ORDER + 1):
-        counted = F.when(F.col(f"chrf_ref{n}") > 0, F.col(f"chrf_hyp{n}")).otherwise(F.lit(0))
-        df = df.withColumn(f"chrf_hyp{n}", counted)
-    return df
+    return counted(_expand(df, ngram_stats(*bare, CHAR_ORDER, False, "chrf")))
+
+
+def pair_stats(hyp: str, ref: str) -> Column:
+    """Struct of the BLEU and chrF counts of a pair, from one Arrow step; see :func:`counted`."""
+    words = tuple(tokenize_13a(F.col(c)) for c in (hyp, ref))
+    bare = tuple(drop_whitespace(F.col(c)) for c in (hyp, ref))
+    return word_and_character_stats(words, bare, (WORD_ORDER, CHAR_ORDER), ("bleu", "chrf"))
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """Hypothesis character grams count only where the reference has grams."""
+    columns = {f"chrf_hyp{n}": F.when(F.col(f"chrf_ref{n}") > 0, F.col(f"chrf_hyp{n}")).otherwise(F.lit(0)) for n in range(1, CHAR_ORDER + 1)}
+    return df.withColumns(columns)
 
 
 def sums(names: Sequence[str]) -> list[Column]:
@@ -129,6 +139,19 @@ def batch_mean_bleu(stats: DataFrame, batch: Sequence[str], *by: str) -> DataFra
     return per_batch.groupBy(*by).agg(F.avg("score").alias("score"))
 
 
+def compare_systems(df: DataFrame, systems: Sequence[str], ref: str, by: str = "source") -> DataFrame:
+    """``system, by, bleu, chrf`` of several hypothesis columns against one reference column.
+
+    A reference is prepared once for all systems; only counts are spread into rows.
+    """
+    require_columns(df, *systems, ref, by)
+    stats = df.select(by, *[pair_stats(s, ref).alias(s) for s in systems])
+    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), F.col(s).alias("_stats")) for s in systems]))
+    long = counted(stats.select(by, rows.alias("_row")).select("_row.system", by, "_row._stats.*"))
+    scored = long.groupBy("system", by).agg(*sums(BLEU), *sums(CHRF))
+    return scored.select("system", by, bleu_score().alias("bleu"), chrf_score().alias("chrf"))
+
+
 def report(
     df: DataFrame,
     forced: str,
@@ -138,14 +161,14 @@ def report(
     ref_ids: str,
     vectors: DataFrame,
     by: str = "source",
-    row: str = "row_id",
 ) -> DataFrame:
     """BLEU, chrF and embedding match per group and overall (``by`` null) in one pass.
 
     BLEU and chrF score the forced hypothesis, the embedding match the generated
     one; pass the same column twice to score one hypothesis.
     """
-    df = with_embedding_prf(df, row, generated_ids, ref_ids, vectors).select(by, forced, ref, *PRF)
-    stats = with_chrf_stats(with_bleu_stats(df, forced, ref), forced, ref)
+    require_columns(df, forced, generated, ref, generated_ids, ref_ids, by)
+    df = with_embedding_prf(df, generated_ids, ref_ids, vectors)
+    stats = counted(df.select(by, *PRF, pair_stats(forced, ref).alias("_stats")).select(by, *PRF, "_stats.*"))
     scored = stats.rollup(by).agg(*sums(BLEU), *sums(CHRF), *[F.avg(c).alias(c) for c in PRF])
     return scored.select(by, bleu_score().alias("bleu"), chrf_score().alias("chrf"), *PRF)

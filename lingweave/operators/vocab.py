@@ -59,14 +59,6 @@ def ranked_vocab(freq: DataFrame, size: int, mask: bool = True) -> DataFrame:
     return spark.createDataFrame(list(enumerate(SPECIAL_TOKENS)), "id int, token string").unionByName(words)
 
 
-def append_specials(vocab: DataFrame, tokens: Sequence[str]) -> DataFrame:
-    """Add a few fixed tokens after the highest id."""
-    first = vocab.agg(F.max("id")).first()[0] + 1
-    return vocab.unionByName(
-        vocab.sparkSession.createDataFrame(list(enumerate(tokens, first)), "id int, token string")
-    )
-
-
 def append_tokens(vocab: DataFrame, tokens: DataFrame, order: Sequence[str | Column] = ("token",)) -> DataFrame:
     """Add the ``tokens`` the vocabulary lacks, numbered after its highest id.
 
@@ -100,28 +92,52 @@ def byte_vocab(merged: Sequence[str], spark) -> DataFrame:
 
 
 class TokenLookup:
-    """Token to id and back for vocabularies of a checked size.
+    """Token to id and back, with equal results for vocabularies of any size.
 
-    At most ``BROADCAST_TOKENS`` tokens go to the tasks, where Arrow's hash kernel
-    looks up a whole batch at once. A larger vocabulary takes :func:`ids_by_join`.
+    At most ``limit`` tokens go to the tasks, where Arrow's hash kernel looks up a whole
+    batch at once. A larger vocabulary is joined.
     """
 
     def __init__(self, vocab: DataFrame, limit: int = BROADCAST_TOKENS):
-        rows = vocab.select("id", "token").limit(limit + 1).toArrow().sort_by("id")
-        if rows.num_rows > limit:
-            raise ValueError(f"more than {limit} tokens: use ids_by_join")
-        self.ids = rows["id"].to_pylist()
-        self.tokens = rows["token"].to_pylist()
-        self._shared = vocab.sparkSession.sparkContext.broadcast((self.ids, self.tokens))
-
-    def special_ids(self, extra: Sequence[str] = (MASK_TOKEN,)) -> list[int]:
-        names = {*SPECIAL_TOKENS, *extra}
-        return [i for i, t in zip(self.ids, self.tokens) if t in names]
+        rows = vocab.select("id", "token").limit(limit + 1).toArrow()
+        self.vocab = vocab.select("id", "token")
+        self._shared = None
+        if rows.num_rows <= limit:
+            rows = rows.sort_by("id")
+            self._shared = vocab.sparkSession.sparkContext.broadcast((rows["id"].to_pylist(), rows["token"].to_pylist()))
+        names = self.vocab.where(F.col("token").isin([*SPECIAL_TOKENS, MASK_TOKEN]))
+        self._special = {r.token: r.id for r in names.collect()}  # at most five rows
+
+    def special_ids(self) -> list[int]:
+        return sorted(self._special.values())
 
     def id_of(self, token: str) -> int:
-        return self.ids[self.tokens.index(token)]
-
-    def to_ids(self, tokens: Column, unknown: int = UNK) -> Column:
+        """Id of a special token."""
+        return self._special[token]
+
+    def encoded(self, df: DataFrame, text: str, out: str, most: int | None = None) -> DataFrame:
+        """Add the ids of the (first ``most``) words of a text."""
+        whole = F.coalesce(F.col(text), F.lit(""))
+        # splitting stops once the rest would be cut off
+        return self.with_ids(df, ws_tokens(whole) if most is None else F.slice(ws_tokens(whole, most + 2), 1, most), out)
+
+    def decoded(self, df: DataFrame, ids: str, out: str) -> DataFrame:
+        """Add the text of ids: words joined by blanks."""
+        return self.with_tokens(df, F.col(ids), "_words").withColumn(out, F.array_join("_words", " ")).drop("_words")
+
+    def with_ids(self, df: DataFrame, tokens: Column, out: str, unknown: int = UNK) -> DataFrame:
+        """Add the ids of an array of tokens."""
+        if self._shared:
+            return df.withColumn(out, self._to_ids(tokens, unknown))
+        return _by_join(df, tokens, self.vocab.select(F.col("token").alias("_key"), F.col("id").alias("_value")), out, F.lit(unknown))
+
+    def with_tokens(self, df: DataFrame, ids: Column, out: str) -> DataFrame:
+        """Add the tokens of an array of ids; an unknown id has a null token."""
+        if self._shared:
+            return df.withColumn(out, self._to_tokens(ids))
+        return _by_join(df, ids, self.vocab.select(F.col("id").alias("_key"), F.col("token").alias("_value")), out, F.lit(None))
+
+    def _to_ids(self, tokens: Column, unknown: int) -> Column:
         shared = self._shared
 
         @F.arrow_udf("array<int>")
@@ -134,7 +150,7 @@ class TokenLookup:
 
         return lookup(tokens)
 
-    def to_tokens(self, ids: Column) -> Column:
+    def _to_tokens(self, ids: Column) -> Column:
         shared = self._shared
 
         @F.arrow_udf("array<string>")
@@ -154,14 +170,18 @@ def _like(lists: pa.Array, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, values)
 
 
-def ids_by_join(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str, unknown: int = UNK) -> DataFrame:
-    """Lookup for vocabularies too large to send: explode, join, regroup per row."""
-    long = df.select(key, F.posexplode(tokens).alias("_pos", "token"))
-    found = long.join(vocab, "token", "left").groupBy(key).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(unknown)).alias("id")))),
-            lambda s: s["id"],
-        ).alias(out)
+def _by_join(df: DataFrame, keys: Column, table: DataFrame, out: str, missing: Column) -> DataFrame:
+    """Replace an array of keys by the values of a ``_key, _value`` table too large to send.
+
+    Elements are exploded, joined and put together per row. The other columns travel with
+    the first element only.
+    """
+    kept = [c for c in df.columns if c != out]
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_all"), keys.alias("_keys"))
+    long = rows.select("_row", "_all", F.posexplode_outer("_keys").alias("_pos", "_key"))
+    long = long.withColumn("_all", F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_all")))
+    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_value", missing).alias("value")))
+    found = long.join(table, "_key", "left").groupBy("_row").agg(
+        F.first("_all", ignorenulls=True).alias("_all"), F.sort_array(F.collect_list(item)).alias("_items")
     )
-    empty = F.array().cast("array<int>")
-    return df.join(found, key, "left").withColumn(out, F.coalesce(out, empty))
+    return found.select("_all.*", F.transform("_items", lambda s: s["value"]).alias(out))

@@ -12,6 +12,7 @@ from lingweave.functions.tokens import byte_alphabet, byte_characters
 from lingweave.functions.whitespace import WS
 from lingweave.plans.queries import MERGES, MORE_MERGES
 from lingweave.plans.tables import SEED, VOCAB_SIZE
+from lingweave.sources.pairs import NA_TEXTS
 
 ORACLE: dict[str, str] = {}
 
@@ -103,7 +104,7 @@ DOCS = """docs AS (
 
 PAIRS = """pairs AS (
   SELECT row_id, hi_en, en, source FROM (
-    SELECT conv_id * 1000 + turn AS row_id, text AS hi_en, role, 'c' || (conv_id % 4) AS source,
+    SELECT conv_id || '-' || turn AS row_id, text AS hi_en, role, 'c' || (conv_id % 4) AS source,
            lead(text) OVER w AS en, lead(role) OVER w AS next_role
     FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user' AND next_role = 'assistant')"""
@@ -160,9 +161,11 @@ FROM (SELECT lang, text, count(*) AS n FROM documents GROUP BY lang, text) GROUP
 
 # ---- sources and sinks ---------------------------------------------------------------
 
-ORACLE["scan_tsv_pairs"] = (
-    f"WITH {PAIRS}, {PAIR_SPLITS} SELECT hi_en, en, 'tsv' AS source, split FROM pair_splits"
-)
+MISSING = ", ".join(f"'{t}'" for t in NA_TEXTS)
+ORACLE["scan_tsv_pairs"] = f"""
+WITH {PAIRS}, {PAIR_SPLITS},
+cleaned AS (SELECT {clean('hi_en')} AS hi_en, {clean('en')} AS en, split FROM pair_splits)
+SELECT hi_en, en, 'tsv' AS source, split FROM cleaned WHERE hi_en NOT IN ({MISSING}) AND en NOT IN ({MISSING})"""
 
 ORACLE["scan_line_pairs"] = f"""
 WITH {PAIRS}, {PAIR_SPLITS}
@@ -177,6 +180,7 @@ ORACLE["corpus_roundtrip"] = f"WITH {DOCS}, {KEPT} SELECT doc_id, text, lang, so
 
 REVERSED = show(f"list_reverse({toks('hi_en')})")
 ORACLE["translate_batch"] = f"WITH {PAIRS} SELECT row_id, {REVERSED} AS translations FROM pairs"
+ORACLE["translate_resume"] = f"WITH {PAIRS} SELECT hi_en AS src, {REVERSED} AS translation FROM pairs"
 ORACLE["response_log"] = (
     f"WITH {PAIRS} SELECT row_id, " + strip("replace(en, chr(10), '')") + " AS line FROM pairs"
 )
@@ -291,19 +295,22 @@ ORACLE["bpe_pair_freqs"] = (
     f'WITH {CHAR_PAIRS} SELECT l AS "left", r AS "right", CAST(freq AS BIGINT) AS freq FROM char_pairs'
 )
 ORACLE["bpe_merge_step"] = f"""
-WITH {CHAR_PAIRS}, best AS (SELECT l, r FROM char_pairs ORDER BY freq DESC, l, r LIMIT 1)
-SELECT word, trim(replace(array_to_string(list_transform(
-         string_split(replace(word, l || r, chr(57344)), ''), lambda c: c), ' '), chr(57344), l || r)) AS merged
-FROM words, best"""
+WITH {CHAR_PAIRS}, pair AS (SELECT (SELECT l || r FROM char_pairs ORDER BY freq DESC, l, r LIMIT 1) AS p)
+SELECT word, replace(trim(regexp_replace(replace(word, (SELECT p FROM pair), chr(57344)), '(.)', '\1 ', 'g')),
+         chr(57344), (SELECT p FROM pair)) AS merged
+FROM words"""
+
 
+def _training(merges: int, more: int = 0, also: bool = False) -> str:
+    """Greedy merges one at a time; a symbol is its id as ``<0071>``.
 
-def _training(merges: int, more: int = 0) -> str:
-    """Greedy merges one at a time; a symbol is its id as ``<0071>``."""
+    ``also`` splits the pieces of the conversations too, without learning from them.
+    """
     ids = byte_alphabet(4)
     names = [f"<{ids[ch]:05d}>" for ch in byte_characters()]
     names_list = "[" + ", ".join(f"'{n}'" for n in names) + "]"
     new = "SELECT unnest(" + pieces("text") + ") AS piece, 0 AS old FROM conversations"
-    union = f" UNION ALL {new}" if more else ""
+    union = f" UNION ALL {new}" if more or also else ""
     return f"""
 pieces AS (SELECT unnest({pieces('text')}) AS piece, 1 AS old FROM documents{union}),
 words AS (
@@ -348,6 +355,43 @@ placed AS (SELECT doc_id, unnest({pieces('text')}) AS piece FROM documents)
 SELECT d.doc_id, CAST(coalesce(sum(n), 0) AS INT) AS n_tokens
 FROM documents d LEFT JOIN placed p ON p.doc_id = d.doc_id LEFT JOIN sizes s ON s.piece = p.piece GROUP BY d.doc_id"""
 
+PIECE_IDS = f"""
+piece_ids AS (SELECT piece, list_transform(regexp_extract_all(w, '<(\\d+)>', 1), lambda x: CAST(x AS INT)) AS ids
+              FROM steps WHERE k = {MERGES})"""
+
+
+def bpe_of(name: str, table: str, key: str, text: str) -> str:
+    """All byte-pair ids of every row of a table."""
+    return f"""
+{name}_s AS (SELECT {key}, {pieces(text)} AS p FROM {table}),
+{name}_p AS (SELECT {key}, unnest(p) AS piece, unnest(range(0, len(p))) AS i FROM {name}_s),
+{name}_l AS (SELECT {key}, flatten(list(ids ORDER BY i)) AS ids FROM {name}_p JOIN piece_ids USING (piece) GROUP BY {key}),
+{name} AS (SELECT {key}, coalesce(ids, CAST([] AS INT[])) AS ids FROM {name}_s LEFT JOIN {name}_l USING ({key}))"""
+
+
+def framed30(ids: str) -> str:
+    return f"list_concat(list_concat([0], list_slice({ids}, 1, 28)), [2])"
+
+
+def padded30(ids: str, pad: int) -> str:
+    return f"list_concat({ids}, list_transform(range(0, 30 - len({ids})), lambda i: {pad}))"
+
+
+ORACLE["bpe_encode_pairs"] = f"""
+WITH RECURSIVE {_training(MERGES, also=True)}, {PIECE_IDS}, {PAIRS},
+{bpe_of('s', 'pairs', 'row_id', 'hi_en')}, {bpe_of('t', 'pairs', 'row_id', 'en')},
+both_sides AS (SELECT row_id, {framed30('s.ids')} AS a, {framed30('t.ids')} AS b FROM s JOIN t USING (row_id))
+SELECT row_id, {show(padded30('a', 1))} AS input_ids,
+       {show("list_transform(range(0, 30), lambda i: CASE WHEN i < len(a) THEN 1 ELSE 0 END)")} AS attention_mask,
+       {show(padded30('b', -100))} AS labels
+FROM both_sides"""
+ORACLE["bpe_decode"] = "SELECT doc_id, text FROM documents"
+ORACLE["bpe_token_totals"] = f"""
+WITH RECURSIVE {_training(MERGES)}, {DOCS},
+sizes AS (SELECT piece, length(w) // 7 AS n FROM steps WHERE k = {MERGES}),
+placed AS (SELECT split, unnest({pieces('text')}) AS piece FROM docs)
+SELECT split, 'text' AS "column", CAST(sum(n) AS BIGINT) AS tokens FROM placed JOIN sizes USING (piece) GROUP BY split"""
+
 VOCAB = f"""
 train_words AS (
   SELECT word, count(*) AS freq FROM (
@@ -361,6 +405,19 @@ vocab AS (
 MASKED_VOCAB = f"""{VOCAB},
 full_vocab AS (SELECT * FROM vocab UNION ALL SELECT max(id) + 1, '<mask>' FROM vocab)"""
 
+ORACLE["bpe_vocab_styles"] = f"""
+WITH RECURSIVE {_merge_table(MERGES).split("WITH RECURSIVE", 1)[1].rsplit("SELECT rank", 1)[0]},
+{DOCS}, {MASKED_VOCAB},
+trained AS (
+  SELECT CAST(3 + i AS INT) AS id, t AS token FROM (
+    SELECT unnest(texts) AS t, unnest(range(1, len(texts) + 1)) AS i FROM spelt WHERE rank = {MERGES - 1})
+  UNION ALL SELECT * FROM (VALUES (0, '<s>'), (1, '<pad>'), (2, '</s>'), (3, '<unk>'), ({260 + MERGES}, '<mask>'))),
+lacking AS (SELECT token, row_number() OVER (ORDER BY id) AS i FROM trained WHERE token NOT IN (SELECT token FROM full_vocab))
+SELECT 'DEFAULT' AS style, id, token FROM full_vocab
+UNION ALL SELECT 'SCRATCH', id, token FROM trained
+UNION ALL SELECT 'APPEND', id, token FROM full_vocab
+UNION ALL SELECT 'APPEND', CAST((SELECT max(id) FROM full_vocab) + i AS INT), token FROM lacking"""
+
 ORACLE["vocab_append"] = f"""
 WITH {DOCS}, {MASKED_VOCAB},
 new_words AS (
@@ -441,44 +498,61 @@ SELECT vec_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY step) AS token_ids F
 
 
 def _window(tag: str, p: float, most: int, least: int, name: str) -> str:
-    """Start ``s`` and size ``z`` of every document's window; size 0 for none."""
+    """Start ``s`` and size ``z`` of the span of every window of ids; size 0 for none."""
     return f"""
 {tag}_span AS (
-  SELECT doc_id, min(pos) FILTER (free) AS a, max(pos) FILTER (free) AS b, count(*) FILTER (free) AS n
-  FROM cells GROUP BY doc_id),
+  SELECT win, min(pos) FILTER (free) AS a, max(pos) FILTER (free) AS b, count(*) FILTER (free) AS n
+  FROM cells GROUP BY win),
 {tag}_size AS (
-  SELECT *, CASE WHEN {u(tag + '-row', 'doc_id')} < {p} AND n > 1 THEN greatest({least},
-    CAST(floor({u(tag + '-size', 'doc_id')} * (least({most}, b - a + 1) + 1)) AS INT)) ELSE 0 END AS z0
+  SELECT *, CASE WHEN {u(tag + '-row', 'win')} < {p} AND n > 1 THEN greatest({least},
+    CAST(floor({u(tag + '-size', 'win')} * (least({most}, b - a + 1) + 1)) AS INT)) ELSE 0 END AS z0
   FROM {tag}_span),
 {name} AS (
-  SELECT doc_id, CASE WHEN z0 > 0 AND b - z0 >= a THEN z0 ELSE 0 END AS z,
+  SELECT win, CASE WHEN z0 > 0 AND b - z0 >= a THEN z0 ELSE 0 END AS z,
          CASE WHEN z0 > 0 AND b - z0 >= a
-              THEN a + CAST(floor({u(tag + '-start', 'doc_id')} * (b - z0 - a + 1)) AS INT) ELSE 0 END AS s
+              THEN a + CAST(floor({u(tag + '-start', 'win')} * (b - z0 - a + 1)) AS INT) ELSE 0 END AS s
   FROM {tag}_size)"""
 
 
-NOISE = f"""{DOCS}, {MASKED_VOCAB}, {encoded('e', 'docs', 'doc_id', clean('text'))},
-batched AS (SELECT doc_id, ids, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch_id FROM e),
-raw_cells AS (SELECT doc_id, batch_id, unnest(ids) AS x, unnest(range(0, 30)) AS pos FROM batched),
-cells AS (SELECT *, NOT ({SPECIAL}) AS free FROM raw_cells),
+WORD_IDS = f"""{DOCS}, {MASKED_VOCAB},
+e_t AS (SELECT doc_id, {toks(clean('text'))} AS t FROM docs),
+e_p AS (SELECT doc_id, unnest(t) AS token, unnest(range(0, len(t))) AS i FROM e_t),
+e_l AS (SELECT doc_id, list(coalesce(id, 3) ORDER BY i) AS ids FROM e_p LEFT JOIN full_vocab USING (token) GROUP BY doc_id),
+e AS (SELECT doc_id, coalesce(ids, CAST([] AS INT[])) AS ids FROM e_t LEFT JOIN e_l USING (doc_id))"""
+
+
+def noise(mask_id: str) -> str:
+    """Masks and permutations of all windows of 28 ids of ``e(doc_id, ids)``."""
+    return f"""
+parts AS (SELECT doc_id, ids, unnest(range(0, greatest(1, CAST(ceil(len(ids) / 28.0) AS BIGINT)))) AS part FROM e),
+windows AS (
+  SELECT doc_id, part, doc_id || ':' || part AS win, list_concat(list_concat([0], list_slice(ids, part * 28 + 1, part * 28 + 28)), [2]) AS f
+  FROM parts),
+batched AS (SELECT doc_id, part, win, {padded30('f', 1)} AS ids, (row_number() OVER (ORDER BY doc_id, part) - 1) // 32 AS batch_id FROM windows),
+raw_cells AS (SELECT doc_id, part, win, batch_id, unnest(ids) AS x, unnest(range(0, 30)) AS pos FROM batched),
+cells AS (SELECT *, NOT (x IN (0, 1, 2, 3) OR x = {mask_id}) AS free FROM raw_cells),
 {_window('group', 0.15, 5, 0, 'spans')}, {_window('permute', 0.5, 5, 2, 'permute')},
 unit_cells AS (
-  SELECT c.*, CASE WHEN free AND {u('unit', 'doc_id', 'pos')} < 0.15 THEN 1 ELSE 0 END AS unit,
+  SELECT c.*, CASE WHEN free AND {u('unit', 'win', 'pos')} < 0.15 THEN 1 ELSE 0 END AS unit,
          CASE WHEN pos >= g.s AND pos < g.s + g.z THEN 1 ELSE 0 END AS grp,
          CASE WHEN pos >= p.s AND pos < p.s + p.z THEN 1 ELSE 0 END AS per
-  FROM cells c JOIN spans g USING (doc_id) JOIN permute p USING (doc_id)),
-mlm AS (
-  SELECT doc_id, batch_id, pos, x, CASE WHEN {u('style', 'batch_id')} < 0.15 THEN grp ELSE unit END AS m FROM unit_cells),
-mlm_out AS (SELECT doc_id, batch_id, pos, x, m, CASE WHEN m = 1 THEN {MASK_ID} ELSE x END AS d FROM mlm),
+  FROM cells c JOIN spans g USING (win) JOIN permute p USING (win)),
+styles AS (SELECT DISTINCT batch_id, {u('style', 'batch_id')} < 0.15 AS spanned, {u('task', 'batch_id')} < 0.5 AS masks FROM batched),
+mlm_out AS (
+  SELECT doc_id, part, batch_id, pos, x, m, CASE WHEN m = 1 THEN {mask_id} ELSE x END AS d
+  FROM (SELECT *, CASE WHEN spanned THEN grp ELSE unit END AS m FROM unit_cells JOIN styles USING (batch_id))),
 sources AS (
-  SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY {u('permute-place', 'doc_id', 'pos')}, pos) AS place
+  SELECT win, x, row_number() OVER (PARTITION BY win ORDER BY {u('permute-place', 'win', 'pos')}, pos) AS place
   FROM unit_cells WHERE per = 1),
 targets AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM unit_cells WHERE per = 1),
-moved AS (SELECT t.doc_id, t.pos, s.x AS y FROM targets t JOIN sources s USING (doc_id, place)),
+  SELECT win, pos, row_number() OVER (PARTITION BY win ORDER BY pos) AS place FROM unit_cells WHERE per = 1),
+moved AS (SELECT t.win, t.pos, s.x AS y FROM targets t JOIN sources s USING (win, place)),
 plm_out AS (
-  SELECT c.doc_id, c.batch_id, c.pos, c.x, c.per AS m, coalesce(y, c.x) AS d
-  FROM unit_cells c LEFT JOIN moved USING (doc_id, pos))"""
+  SELECT c.doc_id, c.part, c.batch_id, c.pos, c.x, c.per AS m, coalesce(y, c.x) AS d
+  FROM unit_cells c LEFT JOIN moved USING (win, pos))"""
+
+
+NOISE = f"{WORD_IDS}, {noise(MASK_ID)}"
 
 
 def _lists(x: str) -> str:
@@ -486,24 +560,27 @@ def _lists(x: str) -> str:
 
 
 def _noise_rows(table: str, extra: str = "", group: str = "") -> str:
-    return f"""SELECT doc_id, batch_id{extra}, {_lists('x')} AS input_ids, {_lists('d')} AS denoised, {_lists('m')} AS mask,
+    return f"""SELECT doc_id, part, batch_id{extra}, {_lists('x')} AS input_ids, {_lists('d')} AS denoised, {_lists('m')} AS mask,
        {_lists('CASE WHEN m = 1 THEN x ELSE -100 END')} AS mask_labels
-FROM {table} GROUP BY doc_id, batch_id{group}"""
+FROM {table} GROUP BY doc_id, part, batch_id{group}"""
 
 
 ORACLE["denoise_mlm"] = f"WITH {NOISE} {_noise_rows('mlm_out')}"
 ORACLE["denoise_plm"] = f"WITH {NOISE} {_noise_rows('plm_out')}"
 ORACLE["group_mask"] = f"""
-WITH {NOISE} SELECT doc_id, batch_id, {_lists('x')} AS input_ids, {_lists('grp')} AS mask
-FROM unit_cells GROUP BY doc_id, batch_id"""
+WITH {NOISE} SELECT doc_id, part, batch_id, {_lists('x')} AS input_ids, {_lists('grp')} AS mask
+FROM unit_cells GROUP BY doc_id, part, batch_id"""
 ORACLE["denoise_mixed"] = f"""
 WITH {NOISE}, chosen AS (
-  SELECT *, 'mask' AS task FROM mlm_out WHERE {u('task', 'batch_id')} < 0.5
-  UNION ALL SELECT *, 'permute' FROM plm_out WHERE NOT {u('task', 'batch_id')} < 0.5)
+  SELECT m.*, 'mask' AS task FROM mlm_out m JOIN styles USING (batch_id) WHERE masks
+  UNION ALL SELECT p.*, 'permute' FROM plm_out p JOIN styles USING (batch_id) WHERE NOT masks)
 {_noise_rows('chosen', ', task', ', task')}"""
 ORACLE["denoise_off"] = f"""
-WITH {NOISE}, quiet AS (SELECT doc_id, batch_id, pos, x, x AS d, 0 AS m FROM cells)
+WITH {NOISE}, quiet AS (SELECT doc_id, part, batch_id, pos, x, x AS d, 0 AS m FROM cells)
 {_noise_rows('quiet')}"""
+ORACLE["bpe_denoise"] = f"""
+WITH RECURSIVE {_training(MERGES)}, {PIECE_IDS}, {bpe_of('e', 'documents', 'doc_id', 'text')}, {noise(str(260 + MERGES))}
+{_noise_rows('mlm_out')}"""
 
 # ---- evaluation ----------------------------------------------------------------------
 
@@ -625,7 +702,7 @@ MEANS = "round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(f)
 ORACLE["embedding_score"] = f"WITH {EVAL}, {PRF} SELECT source, {MEANS} FROM prf GROUP BY source"
 
 ORACLE["metrics_report"] = f"""
-WITH {EVAL}, {PRF},
+WITH {EVAL.replace('AS hyp FROM', 'AS hyp, text AS generated FROM')}, {PRF.replace(toks('hyp'), toks('generated'))},
 {ngram_counts('b', 'ev', 'doc_id', 'source', 4, words_13a)},
 {ngram_counts('k', 'ev', 'doc_id', 'source', 6, chars)},
 bo_n AS (SELECT source, n, m, h, r FROM b_n UNION ALL SELECT NULL, n, sum(m), sum(h), sum(r) FROM b_n GROUP BY n),

@@ -12,7 +12,7 @@ from lingweave.functions.whitespace import ws_tokens as tokens_of
 from lingweave.operators import bpe, cleaning, dedupe, denoise, encode, groups, indexing, infer, joins, metrics, vocab
 from lingweave.operators.embedding import with_embedding_prf
 from lingweave.plans import tables as T
-from lingweave.session import scratch_path
+from lingweave.session import scratch_path, stored
 from lingweave.sources import corpus, pairs as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,15 +87,23 @@ def _write_by_split(df: DataFrame, path: str, write) -> dict[str, list[str]]:
 
 @query
 def scan_tsv_pairs(spark, sf):
-    """The pairs written as TSV with a header and a third column, read back by split."""
-    rows = _pair_splits(spark, sf).select(
-        F.col("en").alias("en_query"), F.col("hi_en").alias("cs_query"), F.col("source").alias("domain"), "split"
+    """The cleaned pairs as TSV with a header and a third column, read back by split.
+
+    Beside every good record stand one that is short, one with too many fields and one
+    without its first text; all three go.
+    """
+    cleaned = cleaning.clean_columns(_pair_splits(spark, sf), ["hi_en", "en"])
+    rows = cleaned.select(
+        F.col("en").alias("en_query"), F.col("hi_en").alias("cs_query"), F.col("source").alias("domain"), "split", "row_id"
     )
+    ragged = [[F.col("row_id")], [F.col("row_id")] * 5, [F.lit(""), F.col("row_id"), F.lit("x")]]
 
     def write(part: DataFrame, path: str) -> None:
-        part.drop("split").write.csv(
+        part.drop("split", "row_id").write.csv(
             path, sep="\t", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
         )
+        lines = F.explode(F.array(*[F.concat_ws("\t", *fields) for fields in ragged]))
+        part.select(lines).write.mode("append").text(path)
 
     files = _write_by_split(rows, scratch_path(spark, "tsv"), write)
     read = P.load_splits(
@@ -106,11 +114,11 @@ def scan_tsv_pairs(spark, sf):
 
 @query
 def scan_line_pairs(spark, sf):
-    """The cleaned pairs written as tab-separated lines, read back by split."""
+    """The cleaned pairs as tab-separated lines, each beside a short line that goes, read back by split."""
     rows = cleaning.clean_columns(_pair_splits(spark, sf), ["hi_en", "en"])
 
     def write(part: DataFrame, path: str) -> None:
-        part.select(F.concat_ws("\t", "en", "hi_en")).write.text(path)
+        part.select(F.explode(F.array(F.concat_ws("\t", "en", "hi_en"), F.col("row_id")))).write.text(path)
 
     files = _write_by_split(rows, scratch_path(spark, "lines"), write)
     return P.load_splits(lambda paths: P.read_line_pairs(spark, paths, "lines"), files).select(
@@ -165,14 +173,35 @@ def response_log(spark, sf):
     return corpus.read_answers(spark, path)
 
 
+@query
+def translate_resume(spark, sf):
+    """A stopped translation goes on: logged answers stay, pending rows are translated, the
+    predictions are attached, written as CSV and read back."""
+    pairs = T.pairs(spark, sf)
+    path = scratch_path(spark, "log")
+    first = infer.translate(pairs.where("source < 'c2'"), lambda: reversed_words(), "hi_en")
+    corpus.append_answers(first, path, "translations")
+    answered = corpus.read_answers(spark, path)
+    rest = infer.translate_pending(pairs, answered, lambda: reversed_words(), "hi_en")
+    corpus.append_answers(rest, path, "translations")
+    answers = corpus.read_answers(spark, path).select("row_id", F.col("line").alias("preds"))
+    predictions = scratch_path(spark, "predictions")
+    corpus.write_predictions(joins.attach_predictions(pairs.select("row_id", "hi_en"), answers), predictions)
+    schema = "row_id string, hi_en string, preds string"
+    back = spark.read.schema(schema).options(header=True, escape='"', multiLine=True).csv(predictions)
+    return infer.source_target(back, "hi_en", "preds")
+
+
 # ---- projections and cleaning -------------------------------------------------------
 
 
 @query
 def pair_view(spark, sf):
+    """Both modes of the mode table over the pairs."""
     pairs = T.pairs(spark, sf)
-    modes = [P.pair_view(pairs, denoise=d).withColumn("mode", F.lit(m)) for m, d in (("translate", False), ("denoise", True))]
-    return modes[0].unionByName(modes[1])
+    modes = {"translate": {"src": "hi_en", "tgt": "en"}, "denoise": {"src": "hi_en", "tgt": "hi_en"}}
+    views = [P.mode_view(pairs, m, modes).withColumn("mode", F.lit(m)) for m in modes]
+    return views[0].unionByName(views[1])
 
 
 @query
@@ -275,7 +304,7 @@ def char_vocab(spark, sf):
 def row_index(spark, sf):
     """Index of the rows sorted by text, as after a key-sorted merge."""
     rows = T.docs(spark, sf).select("doc_id", "split", "text")
-    return indexing.row_index(rows, ["text", "doc_id"], ["split"]).select("doc_id", "split", "row_index")
+    return indexing.row_index(rows, ["text", "doc_id"], ["split"], keep=["doc_id", "split"])
 
 
 def _doc_batches(spark, sf) -> DataFrame:
@@ -338,7 +367,7 @@ def bpe_pair_freqs(spark, sf):
 @query
 def bpe_merge_step(spark, sf):
     """Every word after the best character pair is merged once."""
-    words = _chars(spark, sf)
+    words = stored(_chars(spark, sf), "words")
     best, _ = bpe.best_pairs(bpe.pair_freqs(words), 1)[0]
     merged = ""
     after = F.split(F.replace(F.col("symbols"), F.lit(best), F.lit(merged)), "")
@@ -375,6 +404,51 @@ def bpe_tokenize(spark, sf):
     return docs.select("doc_id", F.size(bpe.bpe_ids(F.col("text"), learnt, spark)).alias("n_tokens"))
 
 
+def _bpe(spark, sf) -> bpe.BpeTokenizer:
+    """A tokenizer with merges learnt from the documents."""
+    return bpe.BpeTokenizer(bpe.train(bpe.piece_freq(_train_text(spark, sf), F.col("text")), MERGES), spark)
+
+
+@query
+def bpe_encode_pairs(spark, sf):
+    """Pairs as byte-pair ids of fixed length."""
+    tokenizer = _bpe(spark, sf)
+    rows = encode.encode_pairs(T.pairs(spark, sf), "hi_en", "en", tokenizer, tokenizer)
+    return rows.select("row_id", *_shown(rows, "input_ids", "attention_mask", "labels"))
+
+
+@query
+def bpe_decode(spark, sf):
+    """Whole documents to ids and back."""
+    tokenizer = _bpe(spark, sf)
+    ids = tokenizer.encoded(_train_text(spark, sf), "text", "ids")
+    return encode.decode_ids(ids, "ids", tokenizer).select("doc_id", "text")
+
+
+@query
+def bpe_token_totals(spark, sf):
+    """Tokens per split, by the tokenizer."""
+    docs = T.docs(spark, sf).select("split", "text")
+    return vocab.token_totals(docs, "split", ["text"], _bpe(spark, sf).count)
+
+
+@query
+def bpe_denoise(spark, sf):
+    """Masked windows of byte-pair ids over all documents."""
+    rows, noise = _noise_windows(spark, sf, _bpe(spark, sf), prepare=lambda text: text)
+    return _noise_output(denoise.mask_tokens(rows, "input_ids", "window", "batch_id", noise))
+
+
+@query
+def bpe_vocab_styles(spark, sf):
+    """The three vocabulary styles over a stored trained vocabulary: base, trained, base plus trained."""
+    path = scratch_path(spark, "vocab")
+    bpe.save_vocabulary(_bpe(spark, sf).vocabulary(), path)
+    trained, base = bpe.load_vocabulary(spark, path), stored(word_vocab(spark, sf), "vocab")
+    styles = [vocab.style_vocab(s, base, trained).withColumn("style", F.lit(s)) for s in ("DEFAULT", "SCRATCH", "APPEND")]
+    return styles[0].unionByName(styles[1]).unionByName(styles[2])
+
+
 def word_vocab(spark, sf) -> DataFrame:
     """Commonest words of the cleaned training text, between the specials and the mask."""
     train = T.docs(spark, sf).where("split = 'train'").select(C.clean_text(F.col("text")).alias("text"))
@@ -427,7 +501,7 @@ def encode_batch(spark, sf):
 def decode_ids(spark, sf):
     pairs, lookup = _encoded_pairs(spark, sf)
     rows = encode.encode_pairs(pairs, "hi_en", "en", lookup, lookup)
-    return rows.select("row_id", encode.decode_ids(F.col("labels"), lookup).alias("text"))
+    return encode.decode_ids(rows, "labels", lookup).select("row_id", "text")
 
 
 @query
@@ -459,46 +533,51 @@ def argmax_decode(spark, sf):
 
 
 def _noise_input(spark, sf) -> tuple[DataFrame, denoise.Noise]:
-    """Encoded documents in batches of consecutive rows, and the noise settings."""
-    lookup = vocab.TokenLookup(word_vocab(spark, sf))
-    docs = T.docs(spark, sf).select("doc_id", C.clean_text(F.col("text")).alias("text"))
-    encoded = encode.encode_text(docs, "text", lookup, mask=None).select("doc_id", "input_ids")
-    return encoded.join(_batch_ids(docs, "doc_id"), "doc_id"), denoise.Noise(lookup.special_ids(), lookup.id_of(A.MASK_TOKEN), T.SEED)
+    """Whole documents as windows of ids, in batches of consecutive windows, and the noise settings."""
+    return _noise_windows(spark, sf, vocab.TokenLookup(word_vocab(spark, sf)))
+
+
+def _noise_windows(spark, sf, tokenizer, prepare=C.clean_text) -> tuple[DataFrame, denoise.Noise]:
+    docs = T.docs(spark, sf).select("doc_id", prepare(F.col("text")).alias("text"))
+    windows = stored(encode.encode_windows(docs, "text", tokenizer), "windows")
+    batches = indexing.with_batches(indexing.row_index(windows.select("doc_id", "part"), ["doc_id", "part"])).drop("row_index")
+    rows = windows.join(batches, ["doc_id", "part"]).withColumn("window", F.concat_ws(":", "doc_id", "part"))
+    return rows, denoise.Noise(tokenizer.special_ids(), tokenizer.id_of(A.MASK_TOKEN), T.SEED)
 
 
 def _noise_output(df: DataFrame, *extra: str) -> DataFrame:
-    return df.select("doc_id", "batch_id", *extra, *_shown(df, "input_ids", "denoised", "mask", "mask_labels"))
+    return df.select("doc_id", "part", "batch_id", *extra, *_shown(df, "input_ids", "denoised", "mask", "mask_labels"))
 
 
 @query
 def denoise_mlm(spark, sf):
     rows, noise = _noise_input(spark, sf)
-    return _noise_output(denoise.mask_tokens(rows, "input_ids", "doc_id", "batch_id", noise))
+    return _noise_output(denoise.mask_tokens(rows, "input_ids", "window", "batch_id", noise))
 
 
 @query
 def group_mask(spark, sf):
     rows, noise = _noise_input(spark, sf)
-    masked = denoise.group_mask(rows, "input_ids", "doc_id", noise)
-    return masked.select("doc_id", "batch_id", *_shown(masked, "input_ids", "mask"))
+    masked = denoise.group_mask(rows, "input_ids", "window", noise)
+    return masked.select("doc_id", "part", "batch_id", *_shown(masked, "input_ids", "mask"))
 
 
 @query
 def denoise_plm(spark, sf):
     rows, noise = _noise_input(spark, sf)
-    return _noise_output(denoise.permute_tokens(rows, "input_ids", "doc_id", noise))
+    return _noise_output(denoise.permute_tokens(rows, "input_ids", "window", noise))
 
 
 @query
 def denoise_mixed(spark, sf):
     rows, noise = _noise_input(spark, sf)
-    return _noise_output(denoise.denoise_mixed(rows, "input_ids", "doc_id", "batch_id", noise), "task")
+    return _noise_output(denoise.denoise_mixed(rows, "input_ids", "window", "batch_id", noise), "task")
 
 
 @query
 def denoise_off(spark, sf):
     rows, noise = _noise_input(spark, sf)
-    return _noise_output(denoise.mask_tokens(rows, "input_ids", "doc_id", "batch_id", noise, enabled=False))
+    return _noise_output(denoise.mask_tokens(rows, "input_ids", "window", "batch_id", noise, enabled=False))
 
 
 # ---- evaluation ---------------------------------------------------------------------
@@ -529,29 +608,27 @@ def bleu_batch_mean(spark, sf):
 
 def _with_vector_ids(df: DataFrame, vectors: DataFrame) -> DataFrame:
     count = vectors.count()
-    return df.withColumns({f"{c}_ids": T.vector_ids(tokens_of(F.col(c)), count) for c in ("hyp", "ref")})
+    texts = [c for c in ("hyp", "ref", "generated") if c in df.columns]
+    return df.withColumns({f"{c}_ids": T.vector_ids(tokens_of(F.col(c)), count) for c in texts})
 
 
 @query
 def embedding_score(spark, sf):
     vectors = T.vectors(spark, sf)
     rows = _with_vector_ids(T.evaluation(spark, sf), vectors)
-    scored = with_embedding_prf(rows, "doc_id", "hyp_ids", "ref_ids", vectors)
+    scored = with_embedding_prf(rows, "hyp_ids", "ref_ids", vectors)
     return scored.groupBy("source").agg(*[F.round(F.avg(c), 6).alias(c) for c in metrics.PRF])
 
 
 @query
 def metrics_report(spark, sf):
+    """Two hypotheses: BLEU and chrF of the letters-only text, embedding match of the raw one."""
     vectors = T.vectors(spark, sf)
-    rows = _with_vector_ids(T.evaluation(spark, sf), vectors)
-    scores = metrics.report(rows, "hyp", "hyp", "ref", "hyp_ids", "ref_ids", vectors, row="doc_id")
+    rows = _with_vector_ids(T.systems(spark, sf).select("source", "ref", F.col("letters").alias("hyp"), F.col("raw").alias("generated")), vectors)
+    scores = metrics.report(rows, "hyp", "generated", "ref", "generated_ids", "ref_ids", vectors)
     return _rounded(scores, "bleu", "chrf", *metrics.PRF)
 
 
 @query
 def system_compare(spark, sf):
-    rows = T.systems(spark, sf)
-    stats = metrics.with_chrf_stats(metrics.with_bleu_stats(rows, "hyp", "ref"), "hyp", "ref")
-    scored = stats.groupBy("system", "source").agg(*metrics.sums(metrics.BLEU), *metrics.sums(metrics.CHRF))
-    scored = scored.select("system", "source", metrics.bleu_score().alias("bleu"), metrics.chrf_score().alias("chrf"))
-    return _rounded(scored, "bleu", "chrf")
+    return _rounded(metrics.compare_systems(T.systems(spark, sf), ["letters", "raw"], "ref"), "bleu", "chrf")

@@ -39,7 +39,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
     answer = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("next"), F.col("text").alias("en"))
     return asked.join(answer, ["conv_id", "next"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
+        F.concat_ws("-", "conv_id", "turn").alias("row_id"),
         "hi_en",
         "en",
         F.concat(F.lit("c"), F.col("conv_id") % 4).alias("source"),
@@ -77,11 +77,11 @@ def evaluation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def systems(spark: SparkSession, sf: str) -> DataFrame:
-    """``system, doc_id, source, ref, hyp`` of two systems in one scan."""
+    """``doc_id, source, ref, letters, raw``: one reference and the texts of two systems."""
     text = F.col("text")
-    ref = clean_text(text)
-    hyps = F.create_map(F.lit("letters"), clean_text_alpha(text), F.lit("raw"), text)
-    return docs(spark, sf).select("doc_id", "source", ref.alias("ref"), F.explode(hyps).alias("system", "hyp"))
+    return docs(spark, sf).select(
+        "doc_id", "source", clean_text(text).alias("ref"), clean_text_alpha(text).alias("letters"), text.alias("raw")
+    )
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
-    """A local session for tests and benchmarks; clusters bring their own."""
+def build_session(cores: str = "*", partitions: int = 8, shared: str | None = None, **conf: str) -> SparkSession:
+    """A local session for tests and benchmarks; clusters bring their own.
+
+    ``shared`` is the folder for stored tables and checkpoints.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("lingweave")
@@ -21,6 +25,8 @@ def build_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -29,17 +35,12 @@ def build_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, named by ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder.
-    """
+    """The folder all executors see, named by ``spark.checkpoint.dir``."""
     sc = spark.sparkContext
     key = "spark.checkpoint.dir"
     base = spark.conf.get(key, None) or sc.getConf().get(key) or sc.getCheckpointDir()
     if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError(f"set {key} to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="lingweave-")
+        raise ValueError(f"set {key} to a folder all executors can reach")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base
@@ -56,13 +57,33 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write a table to the shared folder and read it back: short lineage, columnar, true sizes."""
-    path = scratch_path(df.sparkSession, name)
+def stored(df: DataFrame, name: str = "stage", below: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: short lineage, columnar, true sizes.
+
+    ``below`` puts it into a folder of :func:`temporary_tables`; others stay, since a lazy
+    result may still read them, and are the owner of the folder's to clear.
+    """
+    path = f"{below}/{name}-{uuid.uuid4().hex}" if below else scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a stored table through Spark's own file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder below the shared one for tables that nobody reads afterwards; deleted at the end."""
+    path = scratch_path(spark, name)
+    try:
+        yield path
+    finally:
+        delete_path(spark, path)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; file sizes for a plain scan. Runs no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -37,11 +37,11 @@ def append_answers(df: DataFrame, path: str, answer: str, row: str = "row_id") -
     df.select(line.alias("value")).write.mode("append").text(path, lineSep="\n")
 
 
-def read_answers(spark: SparkSession, path: str) -> DataFrame:
+def read_answers(spark: SparkSession, path: str, row_type: str = "string") -> DataFrame:
     """``row_id, line`` of an answer log, lines stripped at both ends."""
     tab = F.instr("value", "\t")
     return spark.read.text(path, lineSep="\n").select(
-        F.substring(F.col("value"), F.lit(1), tab - 1).cast("long").alias("row_id"),
+        F.substring(F.col("value"), F.lit(1), tab - 1).cast(row_type).alias("row_id"),
         strip(F.substring(F.col("value"), tab + 1, F.length("value"))).alias("line"),
     )
 

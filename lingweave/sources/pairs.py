@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-
 # Texts a table reader takes as missing.
 NA_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -16,23 +15,22 @@ NA_TEXTS = [
 PAIR_COLUMNS = ("hi_en", "en")
 
 
-def _with_order(df: DataFrame, files: Sequence[str]) -> DataFrame:
-    """Add ``ordinal``: file as listed, block in the file, row in the block."""
-    path = F.col("_metadata.file_path")
-    place = reduce(
-        lambda rest, item: F.when(path.endswith(item[1].split("://")[-1]), item[0]).otherwise(rest),
-        reversed(list(enumerate(files))),
-        F.lit(len(files)),
-    )
-    return df.select(
-        "*",
-        F.struct(
-            place.alias("file"),
-            path.alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("ordinal"),
-    )
+def _in_order(read: Callable[[str], DataFrame], files: Sequence[str]) -> DataFrame:
+    """Read every listed file or folder and add ``ordinal``: place in the list, file, block in
+    the file, row in the block. One read per item, so that no path has to be recognised."""
+
+    def numbered(place: int, item: str) -> DataFrame:
+        return read(item).select(
+            "*",
+            F.struct(
+                F.lit(place).alias("file"),
+                F.col("_metadata.file_path").alias("path"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("row"),
+            ).alias("ordinal"),
+        )
+
+    return reduce(DataFrame.unionByName, [numbered(i, f) for i, f in enumerate(files)])
 
 
 def _fields_present(raw: Column) -> Column:
@@ -48,25 +46,23 @@ def read_tsv_pairs(
     header: Sequence[str],
     source: str,
     columns: tuple[str, str] = ("en_query", "cs_query"),
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """``hi_en, en, source, ordinal`` from TSV files with a header.
 
     ``header`` names the columns in file order; ``columns`` are target, then
     source text. Records with too many fields are skipped, short ones are padded
-    with nulls, rows without one of the two texts are dropped. ``multiline`` reads
-    quoted line breaks, for which Spark must read a file in one task: pass False
-    when records never span lines, so that large files split.
+    with nulls, rows without one of the two texts are dropped. Files split between tasks;
+    ``multiline`` reads quoted line breaks, for which Spark must read a file in one task.
     """
     fields = [T.StructField(c, T.StringType()) for c in [*header, "_extra", "_raw"]]
-    rows = _with_order(
+    reader = (
         spark.read.schema(T.StructType(fields))
         .options(sep="\t", header=True, multiLine=multiline, escape='"', mode="PERMISSIVE")
         # a pruned parse would not notice surplus fields
         .options(columnNameOfCorruptRecord="_raw", columnPruning=False)
-        .csv(list(files)),
-        files,
     )
+    rows = _in_order(reader.csv, files)
     # A good record is one field short of the widened schema, so it has a raw copy.
     whole = rows.where(F.col("_raw").isNotNull() & (_fields_present(F.col("_raw")) <= len(header)))
     target, text = columns
@@ -84,20 +80,19 @@ def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, present))
 
 
-def read_line_pairs(spark: SparkSession, files: Sequence[str], source: str) -> DataFrame:
-    """``hi_en, en, source, ordinal`` from lines ``en<TAB>hi_en``; the line end is not part of a text."""
-    rows = _with_order(spark.read.text(list(files)), files)
-    fields = F.split("value", "\t")
-    checked = F.when(F.size("fields") == 2, F.col("fields")).otherwise(
-        F.raise_error(F.concat(F.lit("line without exactly two fields: "), F.col("value")))
-    )
-    return (
-        rows.withColumn("fields", fields)
-        .withColumn("fields", checked)
-        .select(
-            F.col("fields")[1].alias("hi_en"), F.col("fields")[0].alias("en"), F.lit(source).alias("source"), "ordinal"
-        )
+def read_line_pairs(spark: SparkSession, files: Sequence[str], source: str, strict: bool = False) -> DataFrame:
+    """``hi_en, en, source, ordinal`` from lines ``en<TAB>hi_en``; the line end is not part of a text.
+
+    A line with more fields stops the job. A shorter one is padded with null and dropped,
+    or stops the job as well when ``strict``.
+    """
+    rows = _in_order(spark.read.text, files).withColumn("fields", F.split("value", "\t"))
+    good = F.size("fields") == 2 if strict else F.size("fields") <= 2
+    problem = F.concat(F.lit("line without exactly two fields: "), F.col("value"))
+    pairs = rows.withColumn("fields", F.when(good, F.col("fields")).otherwise(F.raise_error(problem))).select(
+        F.get("fields", F.lit(1)).alias("hi_en"), F.get("fields", F.lit(0)).alias("en"), F.lit(source).alias("source"), "ordinal"
     )
+    return pairs if strict else pairs.where("hi_en is not null")
 
 
 def extract_translation(
@@ -145,8 +140,8 @@ def pair_view(df: DataFrame, src: str = "hi_en", tgt: str = "en", denoise: bool
     return df.select(row, F.col(src).alias("src"), F.col(src if denoise else tgt).alias("tgt"))
 
 
-def mode_columns(mode: str, translations: Mapping[str, Mapping[str, str]]) -> tuple[str, str]:
-    """Source and target column of a translation mode such as ``hi_en__en``."""
-    return translations[mode]["src"], translations[mode]["tgt"]
+def mode_view(df: DataFrame, mode: str, modes: Mapping[str, Mapping[str, str]], row: str = "row_id") -> DataFrame:
+    """:func:`pair_view` with the source and target column that a mode table names."""
+    return pair_view(df, modes[mode]["src"], modes[mode]["tgt"], row=row)
 
 

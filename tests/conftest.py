@@ -13,8 +13,9 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("4", partitions=4, **{"spark.ui.showConsoleProgress": "false"})
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = build_session("4", partitions=4, shared=shared, **{"spark.ui.showConsoleProgress": "false"})
     yield session
     session.stop()
 

@@ -138,7 +138,7 @@ def test_pending_rows_can_resume(spark):
 
 
 def test_remote_translator_and_checks(spark):
-    make = infer.remote_translator(lambda: lambda prompt, text: f"{len(prompt) > 0}:{text}")
+    make = infer.remote_translator(lambda: lambda prompt, text: f"{len(prompt) > 0}:{text}", "Translate")
     assert infer.translate_text("film ka naam", make) == "True:film ka naam"
     df = spark.createDataFrame([("a",)], "hi_en string")
     assert infer.source_target(infer.translate(df, make, "hi_en"), "hi_en").first()[:] == ("a", "True:a")
@@ -146,6 +146,23 @@ def test_remote_translator_and_checks(spark):
         require_columns(df, "hi_en", "en")
 
 
+def test_a_filter_does_not_call_the_translator_twice(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def make():
+        def answer(texts):
+            with open(log, "a") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            return [t.upper() for t in texts]
+
+        return answer
+
+    df = spark.createDataFrame([(i, f"t{i}" if i else None) for i in range(10)], "row_id long, hi_en string").coalesce(1)
+    got = infer.translate(df, make, "hi_en").where("length(translations) > 0").collect()
+    assert sorted(r["translations"] for r in got) == [f"T{i}" for i in range(1, 10)]
+    assert len(log.read_text().split()) == 9
+
+
 def test_grouped_function_on_a_hot_group(table, rows):
     got = groups.apply_by_group(
         table.select("source", "row_id"),

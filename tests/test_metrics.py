@@ -166,7 +166,7 @@ def test_embedding_match(spark, vectors):
     table = {r["vec_id"]: np.array(r["embedding"]) for r in vectors.collect()}
     cos = lambda a, b: table[a] @ table[b] / np.linalg.norm(table[a]) / np.linalg.norm(table[b])
     sent, joined = (
-        with_embedding_prf(df, "row_id", "hyp", "ref", vectors, limit).drop("hyp", "ref").orderBy("row_id").collect()
+        with_embedding_prf(df, "hyp", "ref", vectors, limit).drop("hyp", "ref").orderBy("row_id").collect()
         for limit in (1 << 20, 0)
     )
     assert len(sent) == len(joined) == len(rows) + 2
@@ -178,6 +178,29 @@ def test_embedding_match(spark, vectors):
         assert tuple(r)[1:] == expected and tuple(j)[1:] == expected
 
 
+def test_sparse_and_unknown_vector_ids(spark):
+    rnd = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(i, rnd.normal(size=4).tolist()) for i in (700, 10, 11, 305)], "vec_id long, embedding array<float>")
+    rows = [(1, [10, 11, 9], [305]), (1, [700], [700, 1]), (2, [9], [10]), (2, [9], [10]), (3, [], [5])]
+    df = spark.createDataFrame(rows, "row_id long, hyp array<int>, ref array<int>")
+    sent, joined = (sorted(map(str, with_embedding_prf(df, "hyp", "ref", vectors, limit).collect())) for limit in (1 << 20, 0))
+    assert len(sent) == len(rows)
+    fix = lambda rows: [re.sub(r"(\d\.\d{9})\d+", r"\1", r) for r in rows]
+    assert fix(sent) == fix(joined)
+
+
+def test_systems_equal_single_scores(spark):
+    rows = random_pairs(5, 40)
+    df = frame(spark, rows).withColumn("same", F.col("ref"))
+    got = {(r["system"], r["source"]): (r["bleu"], r["chrf"]) for r in M.compare_systems(df, ["hyp", "same"], "ref").collect()}
+    for system in ("hyp", "same"):
+        bleu = {r["source"]: r["score"] for r in M.bleu(df, system, "ref", "source").collect()}
+        chrf = {r["source"]: r["score"] for r in M.chrf(df, system, "ref", "source").collect()}
+        assert {k[1]: v for k, v in got.items() if k[0] == system} == {s: pytest.approx((bleu[s], chrf[s])) for s in bleu}
+    with pytest.raises(ValueError, match="missing columns"):
+        M.compare_systems(df, ["nope"], "ref")
+
+
 def test_report_has_groups_and_overall(spark, vectors):
     rows = random_pairs(11, 60)
     df = frame(spark, rows).withColumn("forced", F.col("ref"))

@@ -38,7 +38,7 @@ def test_ragged_tsv(spark, tmp_path):
         "missing\tnull\tx",
     ]
     path = write(tmp_path, "train.tsv", "\n".join(records) + "\n")
-    got = P.read_tsv_pairs(spark, [path], HEADER, "queries").drop("ordinal").collect()
+    got = P.read_tsv_pairs(spark, [path], HEADER, "queries", multiline=True).drop("ordinal").collect()
     assert {tuple(r) for r in got} == {
         ("b", "a", "queries"),
         ("fields", "two", "queries"),
@@ -65,6 +65,27 @@ def test_files_keep_their_order(spark, tmp_path):
     assert [r["en"] for r in got] == ["z0", "z1", "z2", "a0", "a1", "a2"]
 
 
+def test_order_of_paths_with_equal_ends_blanks_and_folders(spark, tmp_path):
+    head = "en_query\tcs_query\tdomain\n"
+    for folder in ("y/x", "x", "a b", "part"):
+        (tmp_path / folder).mkdir(parents=True)
+    first = write(tmp_path, "y/x/t.tsv", head + "one\tx\ty\n")
+    second = write(tmp_path, "x/t.tsv", head + "two\tx\ty\n")
+    third = write(tmp_path, "a b/t.tsv", head + "three\tx\ty\n")
+    write(tmp_path, "part/t.tsv", head + "four\tx\ty\n")
+    files = [first, second, third, str(tmp_path / "part")]
+    for order in (files, files[::-1]):
+        got = P.read_tsv_pairs(spark, order, HEADER, "q").orderBy("ordinal").collect()
+        assert [r["en"] for r in got] == [dict(zip(files, ("one", "two", "three", "four")))[f] for f in order]
+
+
+def test_short_lines(spark, tmp_path):
+    path = write(tmp_path, "s.txt", "hello\tnamaste\nshort\n\n")
+    assert [r["en"] for r in P.read_line_pairs(spark, [path], "lines").collect()] == ["hello"]
+    with pytest.raises(Exception, match="exactly two fields"):
+        P.read_line_pairs(spark, [path], "lines", strict=True).collect()
+
+
 def test_lines(spark, tmp_path):
     good = write(tmp_path, "dev.txt", "hello\tnamaste\nbye \t alvida\n")
     got = P.load_splits(lambda f: P.read_line_pairs(spark, f, "lines"), {"validation": [good], "other": ["x"]})
@@ -121,7 +142,7 @@ def test_answer_log(spark, tmp_path):
     df = spark.createDataFrame(answers, "row_id long, answer string")
     corpus.append_answers(df.where("row_id < 2"), path, "answer")
     corpus.append_answers(df.where("row_id >= 2"), path, "answer")
-    assert {tuple(r) for r in corpus.read_answers(spark, path).collect()} == {(1, "ab"), (2, "c\td"), (3, "")}
+    assert {tuple(r) for r in corpus.read_answers(spark, path, "long").collect()} == {(1, "ab"), (2, "c\td"), (3, "")}
 
 
 def test_predictions_csv(spark, tmp_path):
@@ -131,6 +152,21 @@ def test_predictions_csv(spark, tmp_path):
     assert spark.read.csv(path, header=True, escape='"').first()[:] == ("a,b", 'c "d"')
 
 
+def test_shared_folder_must_be_named():
+    class Context:
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_shared_folder_holds_stored_tables(spark):
     base = shared_dir(spark)
     assert scratch_path(spark, "x").startswith(base)

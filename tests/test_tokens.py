@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections import Counter
 
 import pytest
@@ -14,6 +15,7 @@ from lingweave.functions.tokens import pretokenize
 from lingweave.functions.whitespace import ws_tokens
 from lingweave.operators import bpe, denoise, encode, indexing, vocab
 from lingweave.plans import tables as T
+from lingweave.session import shared_dir
 
 SENTENCES = [
     "kal ka weather kaisa hai?",
@@ -143,7 +145,6 @@ def test_word_vocab_styles(spark):
     tokens = lambda df: [r["token"] for r in df.orderBy("id").collect()]
     assert tokens(base) == [*A.SPECIAL_TOKENS, "c", "a", "b", A.MASK_TOKEN]
     assert tokens(vocab.ranked_vocab(freq, 3, mask=False)) == [*A.SPECIAL_TOKENS, "c", "a", "b"]
-    assert tokens(vocab.append_specials(base, ["<x>", "<y>"]))[-3:] == [A.MASK_TOKEN, "<x>", "<y>"]
     trained = spark.createDataFrame([(0, "zz"), (1, "a"), (2, "aa")], "id int, token string")
     assert vocab.style_vocab("DEFAULT", base) is base
     assert vocab.style_vocab("SCRATCH", base, trained) is trained
@@ -169,19 +170,91 @@ def test_encode_and_decode(spark, lookup):
     assert rows[0]["labels"] == [0, 4, 5, 3, 2] + [-100] * 25
     assert rows[1]["input_ids"] == [0, 2] + [1] * 28
     assert rows[3]["input_ids"] == [0, *range(4, 32), 2]
-    labels = encode.encode_pairs(df.where("row_id <> 2"), "hi_en", "en", lookup, lookup)
-    got = labels.orderBy("row_id").select(encode.decode_ids(F.col("labels"), lookup)).collect()
-    assert [r[0] for r in got] == ["w0 w1", "", " ".join(f"w{i}" for i in range(28))]
+    assert rows[2]["input_ids"] == rows[1]["input_ids"]
+    labels = encode.encode_pairs(df, "hi_en", "en", lookup, lookup)
+    got = encode.decode_ids(labels, "labels", lookup, "decoded").orderBy("row_id").select("decoded").collect()
+    assert [r[0] for r in got] == ["w0 w1", "", "", " ".join(f"w{i}" for i in range(28))]
+    with pytest.raises(ValueError, match="missing columns"):
+        encode.encode_text(df, "nope", lookup)
+
+
+def test_windows_cover_whole_texts(spark, lookup):
+    texts = ["", None, " ".join(f"w{i % 50}" for i in range(28)), " ".join(f"w{i % 50}" for i in range(75))]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    rows = encode.encode_windows(df, "text", lookup).orderBy("row_id", "part").collect()
+    assert [(r["row_id"], r["part"]) for r in rows] == [(0, 0), (1, 0), (2, 0), (3, 0), (3, 1), (3, 2)]
+    assert [x for r in rows[3:] for x in r["input_ids"] if x > 3] == [4 + i % 50 for i in range(75)]
+    assert all(len(r["input_ids"]) == 30 and r["input_ids"][0] == 0 for r in rows)
 
 
 def test_lookup_by_join_equals_broadcast(spark, lookup):
-    base = spark.createDataFrame(list(zip(lookup.ids, lookup.tokens)), "id int, token string")
-    df = spark.createDataFrame([(1, ["w3", "x", "w3"]), (2, []), (3, ["w1"])], "row_id long, tokens array<string>")
-    joined = vocab.ids_by_join(df, "row_id", "tokens", base, "ids").select("row_id", "ids").collect()
-    sent = df.select("row_id", lookup.to_ids(F.col("tokens"))).collect()
-    assert sorted(map(tuple, joined)) == sorted(map(tuple, sent))
-    with pytest.raises(ValueError, match="ids_by_join"):
-        vocab.TokenLookup(base, limit=5)
+    joined = vocab.TokenLookup(lookup.vocab, limit=5)
+    assert joined.special_ids() == lookup.special_ids() and joined.id_of(A.MASK_TOKEN) == lookup.id_of(A.MASK_TOKEN)
+    texts = ["w3 x w3", "", None, "w1", "w1", " ".join(f"w{i % 60}" for i in range(100))]
+    df = spark.createDataFrame([(i // 2, t, {"k": "v"}) for i, t in enumerate(texts)], "row_id long, text string, `a.b` map<string,string>")
+    shown = lambda frame: sorted(map(str, frame.collect()))
+    for most in (None, 28):
+        sent, far = (x.encoded(df, "text", "ids", most) for x in (lookup, joined))
+        assert shown(sent) == shown(far.select(*[f"`{c}`" for c in sent.columns]))
+    ids = lookup.encoded(df, "text", "ids").drop("a.b")
+    back = [encode.decode_ids(ids, "ids", x, "back").select("row_id", "text", "back") for x in (lookup, joined)]
+    assert shown(back[0]) == shown(back[1])
+
+
+@pytest.fixture(scope="module")
+def thousand(spark):
+    """A thousand merges on the smallest documents, by the library and here."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [r.text for r in docs.collect()]
+    return docs, rows, library(rows, 1000), bpe.train(bpe.piece_freq(docs, F.col("text")), 1000)
+
+
+def test_thousand_merges_equal_the_library(spark, thousand):
+    docs, rows, tok, merges = thousand
+    tokenizer = bpe.BpeTokenizer(merges, spark)
+    got = {r.doc_id: (r.text, r.ids) for r in tokenizer.encoded(docs, "text", "ids").collect()}
+    assert all(ids == tok.encode(text).ids for text, ids in got.values())
+
+
+def test_training_goes_on_from_known_merges(spark, thousand, monkeypatch):
+    docs, _, _, merges = thousand
+    rounds = []
+    best = bpe.best_pairs
+    monkeypatch.setattr(bpe, "best_pairs", lambda *a: rounds.append(1) or best(*a))
+    assert bpe.train(bpe.piece_freq(docs, F.col("text")), 1000, known=merges[:998]) == merges
+    assert len(rounds) <= 2
+
+
+def test_byte_pairs_of_pairs_and_back(spark, thousand):
+    _, _, tok, merges = thousand
+    tokenizer = bpe.BpeTokenizer(merges, spark)
+    texts = [*dict.fromkeys(SENTENCES), "中" * 20, None]
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "row_id long, hi_en string, en string")
+    rows = encode.encode_pairs(df, "hi_en", "en", tokenizer, tokenizer)
+    decoded = encode.decode_ids(rows, "labels", tokenizer, "decoded").orderBy("row_id").collect()
+    for r in decoded:
+        ids = tok.encode(r.en or "").ids[:28]
+        assert r.input_ids == [0, *ids, 2] + [1] * (28 - len(ids))
+        assert r.labels == [0, *ids, 2] + [-100] * (28 - len(ids))
+        # a character cut by the length limit decodes to the replacement character, as in the library
+        assert r.decoded == tok.decode(ids, skip_special_tokens=True)
+    totals = vocab.token_totals(df.withColumn("split", F.lit("s")), "split", ["en"], tokenizer.count).first()
+    assert totals.tokens == sum(len(tok.encode(t or "").ids) for t in texts)
+    windows = encode.encode_windows(df.drop("hi_en"), "en", tokenizer).collect()
+    assert len(windows) == sum(max(1, -(-len(tok.encode(t or "").ids) // 28)) for t in texts)
+
+
+def test_training_leaves_no_tables(spark, tmp_path):
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
+    bpe.train(bpe.piece_freq(spark.createDataFrame([("abab abc",)], "text string"), F.col("text")), 12)
+    assert set(os.listdir(folder)) - before <= {d for d in os.listdir(folder) if not d.startswith("bpe")}
+
+
+def test_vocabulary_is_stored(spark, tmp_path):
+    table = spark.createDataFrame([(1, "b"), (0, "a")], "id int, token string")
+    bpe.save_vocabulary(table, str(tmp_path / "v"))
+    assert [tuple(r) for r in bpe.load_vocabulary(spark, str(tmp_path / "v")).collect()] == [(0, "a"), (1, "b")]
 
 
 def test_pad_batch(spark):
@@ -200,11 +273,9 @@ def test_array_helpers(spark):
         A.special_mask(F.col("ids"), [0, 1, 2, 3]),
         A.pad_positions(F.col("ids")),
         A.argmax_decode(A.steps(F.col("logits"), 2)),
-        A.window_starts(F.lit(2), F.lit(6), F.lit(3)),
-        A.window_starts(F.lit(2), F.lit(3), F.lit(3)),
         A.restore_ignored(F.array(F.lit(5), F.lit(-100))),
     ).first()
-    assert [list(c) for c in row] == [[1, 0, 1, 0, 1, 1, 1], [5, 6], [1, 0], [2, 3], [], [5, 2]]
+    assert [list(c) for c in row] == [[1, 0, 1, 0, 1, 1, 1], [5, 6], [1, 0], [5, 2]]
 
 
 NOISE = denoise.Noise([0, 1, 2, 3, 99], 99)
