@@ -39,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, the pieces of the text, and whether they give the text back."""
-    found = pieces.decode(pieces.encode(docs.select("doc_id", "text")))
+    found = pieces.encode(docs.select("doc_id", "text"), decoded="decoded")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", pieces.same_text("text", "decoded").alias("round_trip"))
 
 

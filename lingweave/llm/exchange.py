@@ -24,7 +24,7 @@ from pyspark.sql.types import StructField, StructType
 
 from lingweave.llm.text import WHITE, Chunk, Hasher, chunks, input_bytes, lower_table, map_arrow, word_table
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
 OWNER_BYTES = 16 << 20  # input per hash range
 
 
@@ -219,6 +219,8 @@ def answered(
                 if (len(answers) if answers else 0) != len(hashes):
                     raise ValueError(f"answers do not fit the {len(hashes)} words of a batch: the input changed between two reads; store it first")
                 made.append(pa.table([*[rows[f.name] for f in kept], *columns(chunk, place, answers, rows)], schema.names))
+        # what the batch took is given back, so that workers stay small between batches
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(made) if made else to_arrow_schema(schema).empty_table()
 
     both = tagged(df, text, lower, outside, blank).groupBy("_batch").cogroup(answers.withColumnRenamed("batch", "_batch").groupBy("_batch"))

@@ -35,7 +35,6 @@ from lingweave.session import stored
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0  # fixed value: a character without a piece scores this much below the lowest piece
 SHORT = 256  # characters up to which substrings are cut from the string itself
-WORK_BYTES = 4 << 20  # input per task of the lattice
 
 ADDED = "ids array<int>"
 
@@ -154,14 +153,37 @@ def split_at_blanks(chunk: Chunk) -> Chunk:
     return Chunk(chunk.first, chunk.data, chunk.offsets, starts, ends, np.searchsorted(chunk.offsets, starts, "right") - 1)
 
 
-def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Add ``ids``, the pieces of the text."""
+class Speller:
+    """Texts of piece ids: marks as blanks, bytes as they are, nothing for control pieces."""
+
+    def __init__(self, spelling: list[bytes]):
+        self.size = np.array([len(t) for t in spelling], np.int64)
+        self.start, self.data = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(spelling), np.uint8)
+
+    @staticmethod
+    def spelling(vocabulary: str) -> list[bytes]:
+        texts, _, kinds = load_pieces(vocabulary)
+        return [bytes([int(t[3:5], 16)]) if k == "byte" else t.replace(MARK, " ").encode() if k == "piece" else b"" for t, k in zip(texts, kinds)]
+
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """One text per run of ids, without the blank that encoding puts in front."""
+        size = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.data[np.arange(ends[-1]) - np.repeat(ends[:-1] - self.start[ids], size)].tobytes()
+        cuts = ends[offsets]
+        return [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, decoded: str | None = None) -> DataFrame:
+    """Add ``ids``, the pieces of the text; ``decoded`` names a column for the text they give back."""
     spark = docs.sparkSession
     kinds = load_pieces(vocabulary)[2]
     first_byte, outside = kinds.index("byte"), separators(vocabulary)
-    docs = docs.select(*[f"`{c}`" for c in docs.columns if c != "ids"])
-    count = X.owners(docs) * 4
-    tasks = max(spark.sparkContext.defaultParallelism * 2, count * X.OWNER_BYTES // 4 // WORK_BYTES)
+    added = ADDED + (f", `{decoded}` string" if decoded else "")
+    spelling = spark.sparkContext.broadcast(Speller.spelling(vocabulary)) if decoded else None
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("ids", decoded)])
+    count = X.owners(docs)
+    tasks = max(spark.sparkContext.defaultParallelism * 2, count * 2)
     sent = X.words_by_owner(docs, text, False, count, outside=outside, adjust=split_at_blanks, blank=True)
     owned = stored(X.owned(sent), "pieces-units")
 
@@ -178,6 +200,8 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) ->
     answers = owned.drop("times").groupBy("owner").cogroup(segmented.groupBy("_owner")).applyInArrow(respond, X.ANSWER)
 
     def make() -> Callable:
+        speller = Speller(spelling.value) if decoded else None
+
         def columns(chunk: Chunk, place: np.ndarray, answers: pa.Table | None, rows: pa.Table) -> list[pa.Array]:
             lists = answers["ids"].combine_chunks() if answers else pa.array([], pa.list_(pa.int32()))
             sizes, ids = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -194,43 +218,30 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) ->
             flat = values[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - first, size)]
             per_text = np.searchsorted(position[order], chunk.offsets)
             offsets = np.concatenate([[0], ends])[per_text]
-            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            return [lists, pa.array(speller.texts(flat, offsets), pa.string())] if speller else [lists]
 
         return columns
 
-    return X.answered(docs, text, False, answers, ADDED, make, outside=outside, adjust=split_at_blanks, blank=True)
+    return X.answered(docs, text, False, answers, added, make, outside=outside, adjust=split_at_blanks, blank=True)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
     """Add the text of piece ids; control pieces have none, byte sequences that are no UTF-8 are replaced."""
-    texts, _, kinds = load_pieces(vocabulary)
-    shared = df.sparkSession.sparkContext.broadcast(
-        [bytes([int(t[3:5], 16)]) if k == "byte" else t.replace(MARK, " ").encode() if k == "piece" else b"" for t, k in zip(texts, kinds)]
-    )
+    shared = df.sparkSession.sparkContext.broadcast(Speller.spelling(vocabulary))
 
     def make() -> Callable:
-        table = shared.value
-        size = np.array([len(t) for t in table], np.int64)
-        start, data = np.cumsum(size) - size, np.frombuffer(b"".join(table), np.uint8)
+        speller = Speller(shared.value)
 
         def columns(batch: pa.RecordBatch) -> list[pa.Array]:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            out = []
-            for i in range(len(lists)):
-                own = lists[i].values
-                if own is None or not len(own):
-                    out.append("")
-                    continue
-                of = own.to_numpy(zero_copy_only=False)
-                ends = np.cumsum(size[of])
-                at = np.arange(ends[-1]) - np.repeat(ends - size[of] - start[of], size[of])
-                text = data[at].tobytes().decode("utf-8", "replace")
-                out.append(text[1:] if text.startswith(" ") else text)
-            return [pa.array(out, pa.string())]
+            lists = batch.column(batch.schema.get_field_index(ids)).fill_null([])
+            own = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            return [pa.array(speller.texts(own, np.concatenate([[0], np.cumsum(sizes)])), pa.string())]
 
         return columns
 
-    return add_columns(df, f"{out} string", make)
+    return add_columns(df, f"`{out}` string", make)
 
 
 def same_text(text: str, decoded: str) -> Column:

@@ -105,6 +105,6 @@ def op3_html_text(spark, sf):
 def op4_pieces(spark, sf):
     """Pieces of every document, and whether they give its text back."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    found = pieces.decode(pieces.encode(docs))
+    found = pieces.encode(docs, decoded="decoded")
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), ids.alias("ids_sha256"), pieces.same_text("text", "decoded").alias("round_trip"))
