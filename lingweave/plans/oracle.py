@@ -296,7 +296,7 @@ ORACLE["bpe_pair_freqs"] = (
 )
 ORACLE["bpe_merge_step"] = f"""
 WITH {CHAR_PAIRS}, pair AS (SELECT (SELECT l || r FROM char_pairs ORDER BY freq DESC, l, r LIMIT 1) AS p)
-SELECT word, replace(trim(regexp_replace(replace(word, (SELECT p FROM pair), chr(57344)), '(.)', '\1 ', 'g')),
+SELECT word, replace(trim(regexp_replace(replace(word, (SELECT p FROM pair), chr(57344)), '(.)', '\\1 ', 'g')),
          chr(57344), (SELECT p FROM pair)) AS merged
 FROM words"""
 
