@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lingweave.llm.text import NOT_ALNUM, Hasher, add_columns, chunks, lower_table, sums_by_text, word_table
+from lingweave.llm.text import NOT_ALNUM, Hasher, add_columns, chunks, distinct, lower_table, word_table
 
 WINDOW = 13  # words of a window
 HIT_SHARE = 20  # contaminated: one word in this many is hit
@@ -157,7 +157,7 @@ class Shard:
 
     @classmethod
     def of(cls, chunk, hasher: Hasher, depth: int) -> Shard:
-        vocabulary, rank = np.unique(hasher.spans(chunk.data, chunk.starts, chunk.ends), return_inverse=True)
+        vocabulary, _, rank = distinct(hasher.spans(chunk.data, chunk.starts, chunk.ends))
         place = np.arange(len(rank)) + chunk.text
         ids = np.zeros(len(rank) + chunk.rows, np.int64)
         ids[place] = rank + 1

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from lingweave.llm.text import WHITE, Chunk, Hasher, chunks, input_bytes, lower_table, map_arrow, word_table
+from lingweave.llm.text import WHITE, Chunk, Hasher, chunks, distinct, input_bytes, lower_table, map_arrow, text_blocks, word_table
 
 BATCH_BYTES = 3 << 20
 OWNER_BYTES = 16 << 20  # input per hash range
@@ -59,7 +59,7 @@ def batch_key(chunk: Chunk, number: int) -> int:
 
 def distinct_words(chunk: Chunk, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes in order, first word number of each, and the place of every word's hash."""
-    return np.unique(hasher.spans(chunk.data, chunk.starts, chunk.ends), return_index=True, return_inverse=True)
+    return distinct(hasher.spans(chunk.data, chunk.starts, chunk.ends))
 
 
 def strings(chunk: Chunk, which: np.ndarray) -> pa.Array:
@@ -78,14 +78,22 @@ def text_of(column: pa.Array, blank: bool) -> pa.Array:
     return pc.if_else(pc.equal(column, ""), column, pc.binary_join_element_wise(" ", column, ""))
 
 
+def batches_of(rows: pa.RecordBatch, text: str, table: np.ndarray, lower: np.ndarray | None, blank: bool) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
+    """Some whole texts at a time, as rows and as a chunk."""
+    column = rows.column(rows.schema.get_field_index(text))
+    for first, _, offsets in text_blocks(column, BATCH_BYTES):
+        part = rows.slice(first, len(offsets) - 1)
+        yield part, next(chunks(text_of(column.slice(first, len(offsets) - 1), blank), table, lower, 1 << 40))
+
+
 def tagged(df: DataFrame, text: str, lower: bool, outside: Sequence[int] = WHITE, blank: bool = False) -> DataFrame:
     """``_batch, _docs``: every batch of documents as one compressed Arrow table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, low, number = word_table(outside), lower_table() if lower else None, 0
         for batch in batches:
-            for chunk in chunks(text_of(batch.column(batch.schema.get_field_index(text)), blank), table, low, BATCH_BYTES):
-                docs = packed(batch.slice(chunk.first, chunk.rows))
+            for part, chunk in batches_of(batch, text, table, low, blank):
+                docs = packed(part)
                 key = batch_key(chunk, number)
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([docs], pa.binary())], ["_batch", "_docs"])
@@ -112,13 +120,13 @@ def words_by_owner(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, low, number, hasher = word_table(outside), lower_table() if lower else None, 0, Hasher()
         for batch in batches:
-            for chunk in chunks(text_of(batch.column(batch.schema.get_field_index(text)), blank), table, low, BATCH_BYTES):
+            for part, chunk in batches_of(batch, text, table, low, blank):
                 key = batch_key(chunk, number)
                 number += 1
                 chunk = adjust(chunk)
                 hashes, first, place = distinct_words(chunk, hasher)
                 if learn:
-                    own = batch.column(batch.schema.get_field_index(learn)).slice(chunk.first, chunk.rows)
+                    own = part.column(part.schema.get_field_index(learn))
                     weights = own.to_numpy(zero_copy_only=False).astype(np.float64)[chunk.text]
                 else:
                     weights = np.ones(len(place))
@@ -147,7 +155,7 @@ def owned(sent: DataFrame) -> DataFrame:
         parts = [unpacked(x) for x in table["asked"]]
         flat = pa.concat_arrays([p["words"].combine_chunks() for p in parts])
         asked = np.concatenate([p["times"].to_numpy() for p in parts])
-        hashes, first, place = np.unique(hash_strings(flat, Hasher()), return_index=True, return_inverse=True)
+        hashes, first, place = distinct(hash_strings(flat, Hasher()))
         times = np.bincount(place, asked, len(hashes)).astype(np.int64)
         ends = np.cumsum([len(p) for p in parts])
         packs = [packed(pa.table({"place": place[e - len(p) : e].astype(np.int32)})) for p, e in zip(parts, ends)]

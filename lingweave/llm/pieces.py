@@ -25,7 +25,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lingweave.llm import exchange as X
 from lingweave.llm.lattice import MARK, load_pieces
@@ -34,15 +34,31 @@ from lingweave.session import stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0  # fixed value: a character without a piece scores this much below the lowest piece
+HEAD = 3  # characters that bound how long a piece can go on
 SHORT = 256  # characters up to which substrings are cut from the string itself
 
 ADDED = "ids array<int>"
 
 
-def piece_table(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``piece, id, score`` of the pieces that segment text."""
-    rows = [(t, i, float(s)) for i, (t, s, k) in enumerate(zip(*load_pieces(vocabulary))) if k == "piece"]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+def live_pieces(vocabulary: str = VOCABULARY) -> list[tuple[str, int, float]]:
+    """``piece, id, score`` of the pieces that a best segmentation can hold.
+
+    A piece whose own text scores higher in shorter pieces is on no best path, since the
+    shorter pieces could always stand in for it; it need not be looked up.
+    """
+    table = {t: (i, float(s)) for i, (t, s, k) in enumerate(zip(*load_pieces(vocabulary))) if k == "piece"}
+    lowest = min((s for _, s in table.values()), default=0.0) - UNKNOWN_PENALTY
+    live: dict[str, float] = {}
+    for piece in sorted(table, key=len):
+        best = [0.0] + [-np.inf] * len(piece)
+        for end in range(1, len(piece) + 1):
+            for start in range(end):
+                part = piece[start:end]
+                if part != piece and (part in live or len(part) == 1):
+                    best[end] = max(best[end], best[start] + live.get(part, lowest))
+        if len(piece) == 1 or table[piece][1] >= best[-1]:
+            live[piece] = table[piece][1]
+    return [(piece, *table[piece]) for piece in live]
 
 
 def separators(vocabulary: str = VOCABULARY) -> list[int]:
@@ -51,8 +67,19 @@ def separators(vocabulary: str = VOCABULARY) -> list[int]:
     return [c for c in WHITE if c != 0x20 and c not in used]
 
 
-def edges(units: DataFrame, pieces: DataFrame, longest: int, unknown: float) -> DataFrame:
-    """``owner, no, end, start, id, score``: every substring that is a piece, and every character."""
+def edges(units: DataFrame, pieces: list[tuple[str, int, float]], unknown: float) -> DataFrame:
+    """``owner, no, end, start, id, score``: every substring that is a piece, and every character.
+
+    Substrings are as long as the longest piece that begins with the same characters.
+    """
+    spark = units.sparkSession
+    longest, bounds = max((len(p) for p, *_ in pieces), default=1), {}
+    for piece, *_ in pieces:
+        if len(piece) > HEAD:
+            bounds[piece[:HEAD]] = max(bounds.get(piece[:HEAD], 0), len(piece))
+    # both are at most a vocabulary: tens of thousands of rows, whatever the corpus
+    table = F.broadcast(spark.createDataFrame(pieces, "piece string, id int, score double"))
+    heads = F.broadcast(spark.createDataFrame(list(bounds.items()), "head string, most int"))
     # a substring is cut from the next few characters, so its cost does not depend on where it begins
     size = F.char_length("unit")
     long_unit = F.when(size > SHORT, F.split("unit", ""))
@@ -61,10 +88,11 @@ def edges(units: DataFrame, pieces: DataFrame, longest: int, unknown: float) ->
         F.array_join(F.slice("chars", F.col("start"), F.lit(longest)), "")
     )
     starts = starts.select("owner", "no", "start", ahead.alias("ahead"))
-    spans = starts.select("owner", "no", "start", "ahead", F.explode(F.sequence(F.lit(1), F.char_length("ahead"))).alias("size"))
+    starts = starts.withColumn("head", F.substring("ahead", F.lit(1), F.lit(HEAD))).join(heads, "head", "left")
+    room = F.least(F.char_length("ahead"), F.coalesce("most", F.lit(HEAD)))
+    spans = starts.select("owner", "no", "start", "ahead", F.explode(F.sequence(F.lit(1), room)).alias("size"))
     cut = spans.select("owner", "no", "start", "size", F.substring("ahead", F.lit(1), F.col("size")).alias("piece"))
-    # the piece table is a vocabulary: tens of thousands of rows, whatever the corpus
-    found = cut.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
+    found = cut.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
     return found.select(
         "owner",
         "no",
@@ -110,10 +138,9 @@ def best_path(best: Column) -> Column:
 
 def segment(units: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``owner, no, path`` of distinct ``owner, no, unit`` rows; stays in the partitions of ``owner``."""
-    texts, scores, kinds = load_pieces(vocabulary)
-    longest = max((len(t) for t, k in zip(texts, kinds) if k == "piece"), default=1)
+    _, scores, kinds = load_pieces(vocabulary)
     unknown = min((s for s, k in zip(scores, kinds) if k == "piece"), default=0.0) - UNKNOWN_PENALTY
-    found = edges(units, piece_table(units.sparkSession, vocabulary), longest, unknown)
+    found = edges(units, live_pieces(vocabulary), unknown)
     match = F.struct("end", "start", "id", "score")
     grouped = found.groupBy("owner", "no").agg(F.sort_array(F.collect_list(match)).alias("matches"))
     best = grouped.select("owner", "no", best_scores(F.col("matches")).alias("best"))

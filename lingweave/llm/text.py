@@ -153,6 +153,16 @@ def chunks(column: pa.Array, table: np.ndarray, lower: np.ndarray | None = None,
         yield Chunk(first, data, offsets, *word_spans(data, offsets, table))
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, a place where each stands, and the number of the hash at every place."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, bool)
+    number = np.empty(len(hashes), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
+
+
 def sums_by_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of the values of each text, given the first value of each."""
     total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values)])
