@@ -24,15 +24,19 @@ from pyspark.sql.types import StructField, StructType
 
 from lingweave.llm.text import WHITE, Chunk, Hasher, chunks, distinct, input_bytes, lower_table, map_arrow, text_blocks, word_table
 
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 2 << 20
+ARROW_ROWS = "2000"  # rows that Spark hands to Python at once; its own default suits short values
 OWNER_BYTES = 16 << 20  # input per hash range
 
 
 def owners(df: DataFrame) -> int:
     """Number of hash ranges: in proportion to the input, so that a range fits a task.
 
-    Rows that did not come from files have no size; the session's partitions stand in.
+    Also makes the session's Arrow batches smaller, since rows hold whole texts. Rows that did not come from files have no size; the session's partitions stand in.
     """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= int(ARROW_ROWS):
+        conf.set(key, ARROW_ROWS)
     size = input_bytes(df)
     return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if size is None else size // OWNER_BYTES)
 

@@ -51,7 +51,8 @@ def shingle_sets(chunk, hasher: Hasher, size: int) -> tuple[np.ndarray, np.ndarr
     for r in range(chunk.rows):
         first, last = bounds[r], bounds[r + 1]
         if last - first >= size:
-            sets.append(np.unique(windows[first : last - size + 1]))
+            own = np.sort(windows[first : last - size + 1])
+            sets.append(own[np.append(True, own[1:] != own[:-1])])
         elif last > first:
             sets.append(hasher.windows(words[first:last], last - first))
         else:

@@ -169,14 +169,21 @@ def path_ids(units: pa.Array, paths: pa.Array, first_byte: int) -> pa.Array:
 
 def split_at_blanks(chunk: Chunk) -> Chunk:
     """Words that hold blanks become units: blanks and the word after them."""
-    if len(chunk.data) < 2:
+    if not len(chunk.starts):
         return chunk
     blank = chunk.data == 0x20
-    at = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
-    word = np.searchsorted(chunk.starts, at, "right") - 1
-    # only inside a word; a word's own first byte is a start already
-    at = at[(word >= 0) & (at < chunk.ends[np.maximum(word, 0)]) & (at > chunk.starts[np.maximum(word, 0)])] if len(chunk.starts) else at[:0]
-    starts, ends = np.union1d(chunk.starts, at), np.union1d(chunk.ends, at)
+    opens, closes = np.zeros(len(blank) + 1, bool), np.zeros(len(blank) + 1, bool)
+    # a blank after another character of the same word ends one unit and begins the next
+    opens[1:-1] = blank[1:] & ~blank[:-1]
+    covered = np.zeros(len(blank) + 1, np.int8)
+    covered[chunk.starts] += 1
+    np.subtract.at(covered, chunk.ends, 1)
+    inside = np.cumsum(covered, dtype=np.int8) > 0
+    opens &= inside
+    opens[chunk.starts] = False
+    closes |= opens
+    opens[chunk.starts], closes[chunk.ends] = True, True
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes)
     return Chunk(chunk.first, chunk.data, chunk.offsets, starts, ends, np.searchsorted(chunk.offsets, starts, "right") - 1)
 
 
