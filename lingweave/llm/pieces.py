@@ -216,7 +216,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, de
     added = ADDED + (f", `{decoded}` string" if decoded else "")
     spelling = spark.sparkContext.broadcast(Speller.spelling(vocabulary)) if decoded else None
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("ids", decoded)])
-    count = X.owners(docs)
+    count = X.owners(docs) * 4  # a range also holds the lattice of its units, which should not spill
     tasks = max(spark.sparkContext.defaultParallelism * 2, count * 2)
     sent = X.words_by_owner(docs, text, False, count, outside=outside, adjust=split_at_blanks, blank=True)
     owned = stored(X.owned(sent), "pieces-units")
