@@ -35,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lingweave.llm.text import input_bytes
+from lingweave.session import stored
 
 DATE = "2000-01-01T00:00:00Z"  # the pages carry no capture time
 LEAST_REVISIT = 0  # bytes of a payload that may be a revisit
 BLOCK_LINES = 256  # captures of an index block
 DIRECTORY_ROWS = 200_000  # directory rows sent to tasks at once
+SENT_DIGESTS = 200_000  # repeated digests sent to every task, some 20 MB; more are joined
 ARCHIVE_BYTES = 64 << 20  # input of one archive
 
 DIRECTORY = "first_key string, last_key string, file string, start bigint, length bigint, captures bigint"
@@ -61,7 +63,9 @@ def record_types(pages: DataFrame, page_id: str, payload: str, least: int = LEAS
     long_enough = F.octet_length(body) >= least
     # digests that occur once need no row here
     best = pages.where(long_enough).groupBy("_sha1").agg(F.max(page_id).alias("_best"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    joined = pages.join(best, "_sha1", "left")
+    best = stored(best, "warc-repeated")
+    # repeated digests are few; where they are not, both sides are dealt by digest
+    joined = pages.join(F.broadcast(best) if best.count() <= SENT_DIGESTS else best, "_sha1", "left")
     return joined.withColumn(
         "_refers_to", F.when(long_enough & F.col("_best").isNotNull() & ~F.col(page_id).eqNullSafe(F.col("_best")), F.col("_best"))
     ).drop("_best", "_sha1")

@@ -85,6 +85,15 @@ def test_empty_and_least_size(spark):
     assert {(r.page_id, r.record_type, r.refers_to) for r in rows} == {(1, "response", None), (2, "response", None), (3, "revisit", 4), (4, "response", None)}
 
 
+def test_repeats_are_joined_beyond_the_limit(spark, monkeypatch):
+    frame = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    both = []
+    for limit in (warc.SENT_DIGESTS, 0):
+        monkeypatch.setattr(warc, "SENT_DIGESTS", limit)
+        both.append(sorted(map(str, warc.record_types(frame, "page_id", "html").collect())))
+    assert both[0] == both[1] and len(both[0]) == len(ROWS)
+
+
 def test_damage_is_noticed():
     record = warc.archive_record(1, "http://a/", b"payload", None)
     assert warc.read_record(record)[-1] == b"payload"
