@@ -220,8 +220,8 @@ def read_archives(directory: DataFrame, folder: str, payloads: bool = True) -> D
 def lookup(urls: DataFrame, directory: DataFrame, folder: str, url: str = "url", most: int = DIRECTORY_ROWS) -> DataFrame:
     """Captures of the given URLs: directory search, block read, line search, member read.
 
-    The directory is sent to tasks in slices of at most ``most`` rows, in key order; each
-    slice is searched for the URLs within its keys.
+    The directory is sent to tasks in slices of about ``most`` rows, chosen by a hash of the
+    block; every slice is searched for all URLs, and blocks do not overlap but at their borders.
     """
     count = directory.count()
     slices = max(1, -(-count // most))
