@@ -14,8 +14,10 @@ task is searched in pairs of blocks, whose links are joined afterwards.
 
 Cases: texts that are null or without words have an empty set, belong to no group and are
 kept; a null ``doc_id`` is the smallest of a group only if no member has an id; rows that
-repeat a ``doc_id`` stay separate rows; ties do not matter, since only the smallest id
-counts; empty tables give no rows; input columns named like an output are replaced.
+repeat a ``doc_id`` stay separate rows; empty tables give no rows; input columns named like
+an output are replaced. Rows are told apart by a number stored with them, never by
+``doc_id``, which may be null or repeated: ids only name a group and rank its members, and
+equal ids rank by set name, then by row number.
 """
 
 from __future__ import annotations
@@ -276,14 +278,9 @@ def _search(shingle: int, similarity: int):
                 part, bounds = shingle_sets(chunk, hasher, shingle)
                 hashes.append(part), sizes.append(np.diff(bounds))
         hashes, bounds = np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        high, low = set_names(hashes, bounds)
-        names = [table[c].to_numpy() for c in ("set_high", "set_low", "label")]
-        own = np.flatnonzero((names[0] == high) & (names[1] == low))  # a repeated id also brings other texts
-        key = np.stack([names[2][own], high[own], low[own]], 1)
-        _, once = np.unique(key, axis=0, return_index=True)
-        own = own[np.sort(once)]
-        own = own[np.argsort(names[2][own], kind="stable")]
-        cuts = np.flatnonzero(np.diff(names[2][own], prepend=np.nan, append=np.nan) != 0) if len(own) else np.zeros(0, np.int64)
+        high, low, label = (table[c].to_numpy() for c in ("set_high", "set_low", "label"))
+        own = np.argsort(label, kind="stable")
+        cuts = np.flatnonzero(np.diff(label[own], prepend=np.nan, append=np.nan) != 0) if len(own) else np.zeros(0, np.int64)
         rows, roots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             members = own[a:b]
@@ -302,8 +299,11 @@ def _search(shingle: int, similarity: int):
     return run
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, labels: DataFrame, doc_id: str, text: str, shingle: int, similarity: int, limit: int) -> DataFrame:
-    """``high, low, root_high, root_low``: links of set names that connect every linked group."""
+def confirmed(texts: DataFrame, classes: DataFrame, labels: DataFrame, shingle: int, similarity: int, limit: int) -> DataFrame:
+    """``high, low, root_high, root_low``: links of set names that connect every linked group.
+
+    ``texts`` are ``row, text``; a class brings the text of its one row ``first.row``.
+    """
     members = stored(classes.join(labels.withColumnRenamed("node", "set_high"), "set_high"), "near-members")
     sizes = members.groupBy("label").agg(F.sum("n_shingles").alias("size"))
     # a group is cut into blocks, and every pair of blocks is searched; nearly all groups are one block
@@ -321,8 +321,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, labels: DataFrame, doc_id: st
     dealt = dealt.withColumn("_task", F.when(F.col("blocks") == 1, small).otherwise(F.lit(-1).cast("long"))).withColumn(
         "_pair", F.when(F.col("blocks") == 1, F.lit("")).otherwise(F.concat_ws(":", "label", pair["a"], pair["b"]))
     )
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    rows = texts.join(dealt, F.col("_id").eqNullSafe(F.col("first_id"))).select("_task", "_pair", "label", "set_high", "set_low", "text")
+    rows = dealt.withColumn("row", F.col("first.row")).join(texts, "row").select("_task", "_pair", "label", "set_high", "set_low", "text")
     found = rows.groupBy("_task", "_pair").applyInArrow(
         _search(shingle, similarity), "high bigint, low bigint, root_high bigint, root_low bigint"
     )
@@ -344,32 +343,57 @@ def near_duplicates(
     ``component_id`` is the smallest id reachable over links of sets whose intersection is
     at least ``similarity`` per cent of their union.
     """
-    signed = stored(signatures(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle, bands, rows).drop("text"), "near-signed")
+    numbered = _numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "row")
+    found, _ = _grouped(numbered, shingle, similarity, bands, rows, group_shingles)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """Rows with a number of their own, stored, since a number must not change between two reads."""
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "near-rows")
+
+
+def _grouped(
+    numbered: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS, group_shingles: int = GROUP_SHINGLES
+) -> tuple[DataFrame, DataFrame]:
+    """Every one of ``row, doc_id, text`` with its group, and ``row`` of the one row of every group.
+
+    Rows without words are no group; one of those equal in id and text stays.
+    """
+    blank = F.when(F.col("n_shingles") == 0, F.col("text")).alias("blank")
+    signed = signatures(numbered.select("row", "doc_id", "text"), "text", shingle, bands, rows)
+    signed = stored(signed.select("row", "doc_id", "n_shingles", "set_high", "set_low", "buckets", blank), "near-signed")
     names = ["set_high", "set_low"]
+    # the smallest id, a null one last
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = stored(
         signed.where("n_shingles > 0")
         .groupBy(*names)
-        .agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets")),
+        .agg(F.min(rank).alias("first"), F.max("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets")),
         "near-classes",
     )
     entries = classes.select(F.explode("buckets").alias("bucket"), F.col("set_high").alias("node"))
     labels = components(stars(entries))
     small = classes.drop("buckets")
-    links = confirmed(docs, small, labels, doc_id, text, shingle, similarity, group_shingles)
-    roots = class_roots(links)
-    first = small.join(roots, names, "left").select(
+    links = confirmed(numbered.select("row", "text"), small, labels, shingle, similarity, group_shingles)
+    first = small.join(class_roots(links), names, "left").select(
         *names,
-        "first_id",
+        "first",
         F.coalesce("root_high", "set_high").alias("root_high"),
         F.coalesce("root_low", "set_low").alias("root_low"),
     )
-    smallest = first.groupBy("root_high", "root_low").agg(F.min("first_id").alias("component_id"))
-    of_class = first.join(smallest, ["root_high", "root_low"]).select(*names, "component_id")
-    found = signed.drop("buckets").join(of_class, names, "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    best = F.struct("first.no_id", "first.doc_id", *names, "first.row")
+    smallest = stored(first.groupBy("root_high", "root_low").agg(F.min(best).alias("best")), "near-best")
+    of_class = first.join(smallest, ["root_high", "root_low"]).select(*names, "best")
+    found = signed.drop("buckets", "blank").join(of_class, names, "left")
+    grouped = F.col("n_shingles") > 0
+    # a row that repeats the id and the words of its group's first row is that row once more; a null id repeats nothing
+    repeats = (F.col("doc_id") == F.col("best.doc_id")) & (F.col("set_high") == F.col("best.set_high")) & (F.col("set_low") == F.col("best.set_low"))
+    kept = ~grouped | (F.col("row") == F.col("best.row")) | F.coalesce(repeats, F.lit(False))
+    component = F.when(grouped, F.col("best.doc_id")).otherwise(F.col("doc_id"))
+    found = found.select("row", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    blanks = signed.where("n_shingles = 0").groupBy("doc_id", "blank").agg(F.min("row").alias("row"))
+    return found, smallest.select("best.row").unionByName(blanks.select("row"))
 
 
 def class_roots(links: DataFrame) -> DataFrame:
@@ -393,7 +417,8 @@ def class_roots(links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """One document of every group: that with the smallest id, once if rows repeat its id and text."""
-    kept = near_duplicates(docs, doc_id, text, **settings).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    # the join deals rows by id, so that dropping repeated rows needs no other shuffle
-    return docs.join(kept, docs[doc_id].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([doc_id, text])
+    """One row of every group: that with the smallest id; rows without words once for an id and text."""
+    numbered = _numbered(docs, "_near_row")
+    named = numbered.select(F.col("_near_row").alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    _, chosen = _grouped(named, **settings)
+    return numbered.join(chosen.withColumnRenamed("row", "_near_row"), "_near_row", "left_semi").drop("_near_row")

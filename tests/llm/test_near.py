@@ -58,6 +58,45 @@ def test_edge_cases(edge, nothing):
     assert near.keep_one(nothing).count() == 0
 
 
+def test_rows_with_null_or_repeated_ids(spark):
+    words = [f"n{i}" for i in range(100)]
+    near_copy = lambda i: " ".join([*words, f"end{i}"])
+    other = lambda k: " ".join(f"{k}w{j}" for j in range(30))
+    rows = [(None, near_copy(i)) for i in range(5)]  # no member has an id
+    rows += [(None, other("x")), (1, other("x") + " more")]  # the null id loses its group
+    rows += [(2, other("y")), (2, other("z") + " more"), (1, other("z"))]  # id 2 is kept once and loses once
+    rows += [(3, other("u")), (3, other("u") + " more")]  # one id, two near texts
+    rows += [(4, None), (4, None), (None, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = [tuple(r) for r in near.keep_one(frame).collect()]
+    assert len([r for r in kept if r[0] is None and r[1]]) == 1
+    assert sorted(r for r in kept if r[0] in (1, 2)) == [(1, other("x") + " more"), (1, other("z")), (2, other("y"))]
+    assert len([r for r in kept if r[0] == 3]) == 1
+    assert sorted((r for r in kept if not r[1]), key=repr) == [(4, None), (None, ""), (None, None)]
+    flags = near.near_duplicates(frame).where("n_shingles > 0").collect()
+    assert sorted((r.doc_id for r in flags if r.kept), key=str) == [1, 1, 2, 3, None]
+
+
+def test_search_reads_one_text_of_a_class(spark, monkeypatch):
+    groups = [" ".join(f"g{g}w{j}" for j in range(40)) for g in range(6)]
+    rows = [(None, t + end) for t in groups for end in ("", " a")] * 20
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    search, read = near._search, spark.sparkContext.accumulator(0)
+
+    def counted(*settings):
+        run = search(*settings)
+
+        def counting(table):
+            read.add(table.num_rows)
+            return run(table)
+
+        return counting
+
+    monkeypatch.setattr(near, "_search", counted)
+    assert near.keep_one(frame).count() == 6
+    assert read.value == 12  # classes, however many rows share the null id
+
+
 def test_components_of_graphs(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(300, 340)] + [(5, 5)]
