@@ -13,9 +13,9 @@ Only line hashes travel between pages. The order over all hosts is one range sor
 a host with a third of all pages spreads over tasks.
 
 Cases: null or empty HTML gives an empty text; a null URL is a host of its own; a page
-alone on its host loses no shared line; rows that are equal in id, URL and HTML are one page
-and get the same text, and are not each other's neighbour; pages whose lines are all shared keep their
-article; unclosed tags, comments and quotes end with their parent or the page; empty tables give
+alone on its host loses no shared line; pages of a host with equal lines are copies, get the
+same text, and are not each other's neighbour: all are compared with one page that differs; pages
+whose lines are all shared keep those outside chrome; unclosed tags, comments and quotes end with their parent or the page; empty tables give
 no rows; input columns named like an output are replaced; long pages are aligned whole.
 """
 
@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lingweave.llm.text import add_columns
 from lingweave.operators.indexing import row_index
+from lingweave.session import stored
 
 # Elements whose contents are not text.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea title".split())
@@ -182,7 +183,9 @@ def main_text(page: str, neighbour: list[int] | None) -> str:
         kept = [x for x in found if x.main and not x.chrome]
     else:
         shared = common_lines([line_hash(x.text) for x in found], neighbour) if neighbour else set()
-        kept = [x for i, x in enumerate(found) if i not in shared and not x.chrome]
+        text = [(i, x) for i, x in enumerate(found) if not x.chrome]
+        # where the neighbour has all of the text, differencing says nothing
+        kept = [x for i, x in text if i not in shared] or [x for _, x in text]
     return "\n".join(x.text for x in kept)
 
 
@@ -206,7 +209,10 @@ def prefix_length(a: Column, b: Column) -> Column:
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """``_page, _other``: line hashes of the nearest page on the same host, for distinct pages."""
+    """``_page, _other``: line hashes of the nearest page on the same host that differs, for distinct pages.
+
+    Copies stand in the order once, at the place of the first of them, and share its neighbour.
+    """
 
     def make() -> Callable:
         def columns(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -218,17 +224,23 @@ def neighbours(pages: DataFrame) -> DataFrame:
 
     host, path = url_parts(F.col("url"))
     hashed = add_columns(pages.select("_page", "url", "html"), "_lines array<bigint>", make)
-    keyed = hashed.select("_page", host.alias("_host"), path.alias("_path"), "_lines").dropDuplicates(["_page"])
-    placed = row_index(keyed, ["_host", "_path", "_page"], name="_at")
+    copies = F.xxhash64("_lines", F.size("_lines")).alias("_copies")
+    keyed = hashed.select("_page", host.alias("_host"), path.alias("_path"), "_lines", copies).dropDuplicates(["_page"])
+    keyed = stored(keyed, "page-lines")
+    light = keyed.drop("_lines")
+    first = light.groupBy("_host", "_copies").agg(F.min(F.struct("_path", "_page")).alias("_first"))
+    placed = row_index(first.select("_host", "_copies", "_first._path", "_first._page"), ["_host", "_path", "_page"], name="_at")
 
     def beside(step: int, name: str) -> DataFrame:
-        return placed.select((F.col("_at") + step).alias("_at"), F.struct("_host", "_path", "_lines").alias(name))
+        return placed.select((F.col("_at") + step).alias("_at"), F.struct("_host", "_path", "_page").alias(name))
 
     both = placed.join(beside(1, "_before"), "_at", "left").join(beside(-1, "_after"), "_at", "left")
     near = lambda side: F.when(F.col(side)["_host"] == F.col("_host"), prefix_length(F.col("_path"), F.col(side)["_path"]))
     before, after = F.coalesce(near("_before"), F.lit(-1)), F.coalesce(near("_after"), F.lit(-1))
-    chosen = F.when((before < 0) & (after < 0), None).when(before >= after, F.col("_before")["_lines"]).otherwise(F.col("_after")["_lines"])
-    return both.select("_page", chosen.alias("_other"))
+    chosen = F.when((before < 0) & (after < 0), None).when(before >= after, F.col("_before")["_page"]).otherwise(F.col("_after")["_page"])
+    near_lines = keyed.select(F.col("_page").alias("_near"), F.col("_lines").alias("_other"))
+    of_copies = both.select("_host", "_copies", chosen.alias("_near")).join(near_lines, "_near").drop("_near")
+    return light.select("_page", "_host", "_copies").join(of_copies, ["_host", "_copies"]).select("_page", "_other")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -94,6 +94,23 @@ def test_pairs_by_path_within_host(spark):
     assert ex.extract(frame.where("false")).count() == 0
 
 
+def test_copies_without_article_keep_their_text(spark):
+    page = "<nav>menu</nav><div>top</div><p>{}</p><div>bottom</div>"
+    story, other = page.format("story"), page.format("other")
+    rows = [
+        (1, "http://h/a/1", story), (2, "http://h/a/1", story), (3, "http://h/a/2", story), (4, "http://h/b/9", other),
+        (5, "http://copies/1", story), (6, "http://copies/2", story), (None, None, story), (7, None, story),
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {(r.page_id, r.text) for r in ex.extract(frame).collect()}
+    whole = "top\nstory\nbottom"
+    assert got == {(1, "story"), (2, "story"), (3, "story"), (4, "other"), (5, whole), (6, whole), (None, whole), (7, whole)}
+
+
+def test_text_that_a_longer_neighbour_holds_is_kept():
+    assert text("<nav>menu</nav><p>one</p>", "<p>one</p><p>two</p>") == "one"
+
+
 def test_stored_pages(spark, sf):
     import html
     import re
