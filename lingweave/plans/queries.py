@@ -17,9 +17,12 @@ from lingweave.sources import corpus, pairs as P
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+VOCABULARY_QUERIES: dict[str, Query] = {}  # byte pairs of a whole vocabulary; too many merges for SQL
 
 MERGES = 20
 MORE_MERGES = 30
+VOCABULARY_MERGES = 8000
+MORE_VOCABULARY_MERGES = 9000
 KEYS = ("text", "lang")
 SPLITS = ("train", "validation", "test")
 
@@ -29,6 +32,17 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def vocabulary_query(fn: Callable[..., DataFrame]) -> Query:
+    """Register a byte-pair query twice: with the merges that SQL can follow, and as ``_vocabulary`` with all."""
+
+    def whole(spark: SparkSession, sf: str) -> DataFrame:
+        return fn(spark, sf, VOCABULARY_MERGES)
+
+    whole.__name__, whole.__doc__ = f"{fn.__name__}_vocabulary", fn.__doc__
+    VOCABULARY_QUERIES[whole.__name__] = whole
+    return query(fn)
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -379,71 +393,72 @@ def _train_text(spark, sf) -> DataFrame:
     return T.docs(spark, sf).select("doc_id", "text")
 
 
-@query
-def bpe_train(spark, sf):
+@vocabulary_query
+def bpe_train(spark, sf, merges=MERGES):
     """Merges learnt from the documents, stored as a table and loaded again."""
     path = scratch_path(spark, "merges")
-    learnt = bpe.train(bpe.piece_freq(_train_text(spark, sf), F.col("text")), MERGES)
+    learnt = bpe.train(bpe.piece_freq(_train_text(spark, sf), F.col("text")), merges)
     bpe.save_merges(learnt, spark, path)
     return bpe.merge_table(bpe.load_merges(spark, path), spark)
 
 
-@query
-def bpe_incremental(spark, sf):
+@vocabulary_query
+def bpe_incremental(spark, sf, merges=MERGES):
     """Training goes on with the conversations added; earlier merges stay."""
     old = bpe.piece_freq(_train_text(spark, sf), F.col("text"))
     new = bpe.piece_freq(T.read(spark, sf, "conversations"), F.col("text"))
-    learnt = bpe.train(old, MERGES)
-    return bpe.merge_table(bpe.train(vocab.add_freqs(old, new), MORE_MERGES, known=learnt), spark)
+    learnt = bpe.train(old, merges)
+    most = MORE_MERGES if merges == MERGES else MORE_VOCABULARY_MERGES
+    return bpe.merge_table(bpe.train(vocab.add_freqs(old, new), most, known=learnt), spark)
 
 
-@query
-def bpe_tokenize(spark, sf):
+@vocabulary_query
+def bpe_tokenize(spark, sf, merges=MERGES):
     docs = _train_text(spark, sf)
-    learnt = bpe.train(bpe.piece_freq(docs, F.col("text")), MERGES)
+    learnt = bpe.train(bpe.piece_freq(docs, F.col("text")), merges)
     return docs.select("doc_id", F.size(bpe.bpe_ids(F.col("text"), learnt, spark)).alias("n_tokens"))
 
 
-def _bpe(spark, sf) -> bpe.BpeTokenizer:
+def _bpe(spark, sf, merges) -> bpe.BpeTokenizer:
     """A tokenizer with merges learnt from the documents."""
-    return bpe.BpeTokenizer(bpe.train(bpe.piece_freq(_train_text(spark, sf), F.col("text")), MERGES), spark)
+    return bpe.BpeTokenizer(bpe.train(bpe.piece_freq(_train_text(spark, sf), F.col("text")), merges), spark)
 
 
-@query
-def bpe_encode_pairs(spark, sf):
+@vocabulary_query
+def bpe_encode_pairs(spark, sf, merges=MERGES):
     """Pairs as byte-pair ids of fixed length."""
-    tokenizer = _bpe(spark, sf)
+    tokenizer = _bpe(spark, sf, merges)
     rows = encode.encode_pairs(T.pairs(spark, sf), "hi_en", "en", tokenizer, tokenizer)
     return rows.select("row_id", *_shown(rows, "input_ids", "attention_mask", "labels"))
 
 
-@query
-def bpe_decode(spark, sf):
+@vocabulary_query
+def bpe_decode(spark, sf, merges=MERGES):
     """Whole documents to ids and back."""
-    tokenizer = _bpe(spark, sf)
+    tokenizer = _bpe(spark, sf, merges)
     ids = tokenizer.encoded(_train_text(spark, sf), "text", "ids")
     return encode.decode_ids(ids, "ids", tokenizer).select("doc_id", "text")
 
 
-@query
-def bpe_token_totals(spark, sf):
+@vocabulary_query
+def bpe_token_totals(spark, sf, merges=MERGES):
     """Tokens per split, by the tokenizer."""
     docs = T.docs(spark, sf).select("split", "text")
-    return vocab.token_totals(docs, "split", ["text"], _bpe(spark, sf).count)
+    return vocab.token_totals(docs, "split", ["text"], _bpe(spark, sf, merges).count)
 
 
-@query
-def bpe_denoise(spark, sf):
+@vocabulary_query
+def bpe_denoise(spark, sf, merges=MERGES):
     """Masked windows of byte-pair ids over all documents."""
-    rows, noise = _noise_windows(spark, sf, _bpe(spark, sf), prepare=lambda text: text)
+    rows, noise = _noise_windows(spark, sf, _bpe(spark, sf, merges), prepare=lambda text: text)
     return _noise_output(denoise.mask_tokens(rows, "input_ids", "window", "batch_id", noise))
 
 
-@query
-def bpe_vocab_styles(spark, sf):
+@vocabulary_query
+def bpe_vocab_styles(spark, sf, merges=MERGES):
     """The three vocabulary styles over a stored trained vocabulary: base, trained, base plus trained."""
     path = scratch_path(spark, "vocab")
-    bpe.save_vocabulary(_bpe(spark, sf).vocabulary(), path)
+    bpe.save_vocabulary(_bpe(spark, sf, merges).vocabulary(), path)
     trained, base = bpe.load_vocabulary(spark, path), stored(word_vocab(spark, sf), "vocab")
     styles = [vocab.style_vocab(s, base, trained).withColumn("style", F.lit(s)) for s in ("DEFAULT", "SCRATCH", "APPEND")]
     return styles[0].unionByName(styles[1]).unionByName(styles[2])
