@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lingweave.llm import chat, decontaminate as dc, extract, language, lm, near, pieces, quality, tokens, warc
+from lingweave.llm import chat, decontaminate as dc, extract, language, lm, merkle, near, pieces, quality, tokens, warc
 from lingweave.session import scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,20 @@ def op4_pieces(spark, sf):
     found = pieces.encode(docs, decoded="decoded")
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), ids.alias("ids_sha256"), pieces.same_text("text", "decoded").alias("round_trip"))
+
+
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+TAMPERED = 7  # documents whose id's checksum is a multiple of it are changed after the manifest
+
+
+@query
+def op11_manifest(spark, sf):
+    """Leaf, roots and proof of every document, checked against a copy with some rows changed."""
+    docs = table(spark, sf, "documents").select(*FIELDS)
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % TAMPERED == 0, merkle.leaf_digest(changed))
+    manifest = merkle.build(docs, "lang", ["doc_id"], merkle.leaf_digest([F.col(c) for c in FIELDS]), {"doc_id": F.col("doc_id"), "tampered": tampered})
+    found = merkle.proofs(manifest)
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    rows = found.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
