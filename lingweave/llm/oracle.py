@@ -83,3 +83,16 @@ fold AS (
 SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.d AS folded_root, f.d = root AS verified
 FROM ranked JOIN roots USING (part) CROSS JOIN top LEFT JOIN proofs p USING (row)
 JOIN fold f ON f.row = ranked.row AND f.lvl = coalesce(p.n, 0)"""
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLE["op12_line_dedup"] = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+placed AS MATERIALIZED (
+  SELECT row, doc_id, i, line, translate(trim(line, {_WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT row, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM docs)),
+repeated AS (SELECT key, max(doc_id) AS last FROM placed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT row) >= 3),
+judged AS (
+  SELECT p.*, r.key IS NOT NULL AND p.doc_id IS DISTINCT FROM r.last AS gone FROM placed p LEFT JOIN repeated r ON r.key = p.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY row, doc_id"""

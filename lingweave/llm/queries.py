@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lingweave.llm import chat, decontaminate as dc, extract, language, lm, merkle, near, pieces, quality, tokens, warc
+from lingweave.llm import chat, decontaminate as dc, extract, language, lines, lm, merkle, near, pieces, quality, tokens, warc
 from lingweave.session import scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,10 @@ def op11_manifest(spark, sf):
     folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
     rows = found.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_line_dedup(spark, sf):
+    """Every document without the lines that other documents hold."""
+    found = lines.drop_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
