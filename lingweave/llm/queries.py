@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lingweave.llm import chat, decontaminate as dc, extract, language, lines, lm, merkle, near, pieces, quality, tokens, warc
+from lingweave.llm import align, chat, decontaminate as dc, extract, language, lines, lm, merkle, near, pieces, quality, tokens, warc
 from lingweave.session import scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,3 +132,10 @@ def op12_line_dedup(spark, sf):
     """Every document without the lines that other documents hold."""
     found = lines.drop_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op13_alignment(spark, sf):
+    """Groups and links of both tokenizers in every document."""
+    found = align.align(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

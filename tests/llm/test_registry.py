@@ -16,7 +16,7 @@ from tests.llm import brute
 
 
 def test_names():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "near_dedup", "decontamination", "sentence_pieces"]
 
