@@ -43,7 +43,7 @@ from lingweave.session import stored
 
 VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 OWN = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
 ADDED = f"{OWN}, n_best bigint, count_sum bigint"
@@ -232,6 +232,9 @@ def encode_batches(docs: DataFrame, text: str, left: str, right: str, shown: boo
                     names,
                 )
                 number += 1
+                # what the batch took is given back, so that workers stay small between batches
+                del record, pairs
+                pa.default_memory_pool().release_unused()
 
     return map_arrow(docs, run, parts)
 
