@@ -147,7 +147,7 @@ def proofs(manifest: Manifest, requests: DataFrame | None = None) -> DataFrame:
         leaves = leaves.join(requests.select("_of", "_rank").distinct(), ["_of", "_rank"], "left_semi")
     carried = [c for c in leaves.columns if c not in ("_of", "_rank")]
     asked = leaves.select("_of").distinct().join(manifest.parts, "_of")
-    root = manifest.root().select(F.lit("").alias("_of"), F.lit(0).cast("long").alias("_seg"), "_digest", F.array().cast(STEP).alias("_path"), F.col("_digest").alias("root"))
+    root = manifest.top[-1].select("_of", "_seg", "_digest", F.array().cast(STEP).alias("_path"), F.col("_digest").alias("root"))
     wanted = asked.select(F.lit("").alias("_of"), "_rank", F.col("_of").alias("_name"), "_rounds")
     at = _descend(manifest, manifest.top, root, wanted, ["_name", "_rounds"])
     starts = at.select(F.col("_name").alias("_of"), F.lit(0).cast("long").alias("_seg"), "_digest", "_path", "root", F.col("_digest").alias("subroot"), "_rounds")
