@@ -2,12 +2,12 @@
 
 The corpus is read once, into a distributed table of distinct words and counts.
 A word is a string with one character per symbol, so counting pairs is a regex
-extraction, merging is a native ``replace`` (left to right, not overlapping), and
-only the top pairs of a round ever reach the driver.
+extraction. Training merges in rounds: see :func:`train`.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
@@ -19,16 +19,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lingweave.functions.arrays import MASK_TOKEN, SPECIAL_TOKENS
-from lingweave.functions.tokens import byte_alphabet, byte_characters, piece_symbols, pretokenize, symbol, symbol_ids
+from lingweave.functions.tokens import SYMBOL_BASE, byte_alphabet, byte_characters, piece_symbols, pretokenize, symbol, symbol_ids
 from lingweave.operators.vocab import byte_vocab, word_freq
 from lingweave.session import spread, stored, temporary_tables
 
 FIRST_BYTE = len(SPECIAL_TOKENS)
 FIRST_MERGE = FIRST_BYTE + 256
-CANDIDATES = 512  # top pairs looked at per round; a round always merges at least one
-NATIVE_MERGES = 16  # merges of a round up to which native replacements are nested
+LEADING_PAIRS = 128  # pairs of the first round
+MOST_PAIRS = 1 << 16  # pairs of any round; this many rows come to the driver at most
+SEGMENT_SYMBOLS = 1_000_000  # symbols in the distinct runs that the driver merges in a round
 REMEMBERED = 500_000  # pieces whose ids a task keeps
-STORE_ROUNDS = 4  # rounds between writes of the state; longer chains of cached plans get slow
 
 
 @dataclass(frozen=True)
@@ -74,44 +74,12 @@ def pair_freqs(table: DataFrame) -> DataFrame:
     return pairs.groupBy("pair").agg(F.sum("freq").alias("freq"))
 
 
-def pair_changes(changed: DataFrame) -> DataFrame:
-    """``pair, freq`` changes of words that a round merged: ``symbols, merged, freq``."""
-    versions = F.array(
-        F.struct(pairs_of(F.col("symbols")).alias("pairs"), (-F.col("freq")).alias("freq")),
-        F.struct(pairs_of(F.col("merged")).alias("pairs"), F.col("freq")),
-    )
-    both = changed.select(F.explode(versions).alias("v")).select("v.freq", F.explode("v.pairs").alias("pair"))
-    return both.select("pair", "freq")
-
-
-def best_pairs(counts: DataFrame, n: int = CANDIDATES) -> list[tuple[str, int]]:
+def best_pairs(counts: DataFrame, n: int) -> list[tuple[str, int]]:
     """Top pairs by count, then by symbol ids; ``n`` rows come to the driver."""
     top = counts.orderBy(F.desc("freq"), F.asc("pair")).limit(n)
     return [(r["pair"], r["freq"]) for r in top.collect()]
 
 
-def merge_pairs(symbols: Column, merges: Sequence[Merge]) -> Column:
-    """Apply merges one after another.
-
-    A few merges are native replacements. Many run in an Arrow kernel, so that the depth of
-    the expression does not grow with their number.
-    """
-    steps = [(m.pair, symbol(m.merged)) for m in merges]
-    if len(steps) <= NATIVE_MERGES:
-        for pair, merged in steps:
-            symbols = F.replace(symbols, F.lit(pair), F.lit(merged))
-        return symbols
-
-    @F.arrow_udf("string")
-    def replace(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            for pair, merged in steps:
-                batch = pc.replace_substring(batch, pair, merged)
-            yield batch
-
-    return replace(symbols)
-
-
 def replay(symbols: Column, merges: Sequence[Merge], spark: SparkSession) -> Column:
     """Apply known merges, any number of them, in one pass: each word by its own best pairs."""
     ranks = spark.sparkContext.broadcast(_ranks(merges))
@@ -129,91 +97,214 @@ def _ranks(merges: Sequence[Merge]) -> dict[tuple[int, int], int]:
     return {(m.left, m.right): m.rank for m in merges}
 
 
-def independent_prefix(pairs: Sequence[tuple[str, int]], min_frequency: int) -> list[str]:
-    """The leading pairs that one-by-one merging would take in the same order.
+def linked_segments(symbols: Column, pairs: Sequence[str], spark: SparkSession) -> Column:
+    """The longest runs of symbols of which every two neighbours are one of ``pairs``."""
+    shared = spark.sparkContext.broadcast(np.sort(np.array([_pair_key(*symbol_ids(p)) for p in pairs], np.int64)))
+
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            words = batch.to_pylist()
+            text = "".join(words)
+            ids = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+            ends = np.cumsum([len(w) for w in words])
+            linked = np.isin(_pair_key(ids[:-1], ids[1:]) - _pair_key(SYMBOL_BASE, SYMBOL_BASE), shared.value)
+            linked[ends[:-1] - 1] = False  # not from one word to the next
+            edges = np.diff(np.concatenate([[False], linked, [False]]).astype(np.int8))
+            starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) + 1
+            found = [text[s:e] for s, e in zip(starts.tolist(), stops.tolist())]
+            offsets = np.searchsorted(starts, np.concatenate([[0], ends]))
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.string()))
+
+    return cut(symbols)
+
+
+def _pair_key(left, right):
+    return left * (1 << 32) + right
+
+
+def segment_freqs(table: DataFrame, pairs: Sequence[str]) -> DataFrame:
+    """``segment, freq`` of the distinct runs of linked symbols, weighted by word counts."""
+    runs = table.select(F.explode(linked_segments(F.col("symbols"), pairs, table.sparkSession)).alias("segment"), "freq")
+    return runs.groupBy("segment").agg(F.sum("freq").alias("freq"))
+
 
-    Two pairs touch the same text only where the right symbol of one is the left
-    symbol of the other; the first pair that does so ends the prefix. Merging (a, b)
-    then changes only pairs (x, a) and (b, y), which rank below the prefix. A new
-    pair counts at most as often as the one of those it comes from, and its new
-    symbol has the highest id, so it loses ties as well.
+def greedy_merges(segments: Sequence[tuple[str, int]], first: int, most: int, limit: tuple[str, int]) -> list[tuple[int, int]]:
+    """Merge the best pair of some segments again and again, while it ranks before ``limit``.
+
+    ``limit`` is a pair and its count, new symbols are numbered from ``first``. Merging changes the
+    segments that hold the pair only, found by an index from pairs to segments.
     """
-    lefts: set[str] = set()
-    rights: set[str] = set()
-    taken: list[str] = []
-    for pair, freq in pairs:
-        left, right = pair
-        if freq < min_frequency or left in rights or right in lefts:
+    rows = [symbol_ids(text) for text, _ in segments]
+    freqs = [freq for _, freq in segments]
+    counts: dict[tuple[int, int], int] = defaultdict(int)
+    holders: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for row, freq, number in zip(rows, freqs, range(len(rows))):
+        for pair in zip(row, row[1:]):
+            counts[pair] += freq
+            holders[pair].add(number)
+    end = (-limit[1], tuple(symbol_ids(limit[0])))
+    queue = [(-count, pair) for pair, count in counts.items()]
+    heapify(queue)
+    taken: list[tuple[int, int]] = []
+    while queue and len(taken) < most:
+        best = heappop(queue)
+        pair = best[1]
+        if counts[pair] != -best[0]:
+            continue  # its count has changed since; the present one waits as well
+        if best >= end:
             break
+        merged = first + len(taken)
         taken.append(pair)
-        lefts.add(left)
-        rights.add(right)
-        if left == right:
-            # it may itself give a frequent pair
-            break
+        touched = set()
+        for number in holders.pop(pair):
+            row, freq = rows[number], freqs[number]
+            after = _merge_once(row, pair, merged)
+            for sign, symbols in ((-freq, row), (freq, after)):
+                for other in zip(symbols, symbols[1:]):
+                    counts[other] += sign
+                    touched.add(other)
+            for other in zip(after, after[1:]):
+                holders[other].add(number)
+            rows[number] = after
+        for other in touched:
+            if counts[other] > 0:
+                heappush(queue, (-counts[other], other))
     return taken
 
 
-def train(
-    words: DataFrame, merges: int, min_frequency: int = 1, known: Sequence[Merge] = ()
-) -> list[Merge]:
+def _merge_once(row: Sequence[int], pair: tuple[int, int], merged: int) -> list[int]:
+    """Replace a pair from left to right, without overlap."""
+    after, at = [], 0
+    while at < len(row):
+        if row[at] == pair[0] and at + 1 < len(row) and row[at + 1] == pair[1]:
+            after.append(merged)
+            at += 2
+        else:
+            after.append(row[at])
+            at += 1
+    return after
+
+
+def train(words: DataFrame, merges: int, min_frequency: int = 1, known: Sequence[Merge] = ()) -> list[Merge]:
     """Learn up to ``merges`` merges from ``word, freq``; exact greedy order.
 
     ``known`` merges are applied first, in one pass, and kept, so training continues from
-    them. All pairs are counted once. A round then looks only at the words that hold a
-    pair it merges and adds the differences to the pair counts, one small table. Both
-    tables are cached between rounds and written to the shared folder every few rounds, so
-    a lost executor costs those rounds at most; what was written is deleted at the end.
+    them. The tables of the rounds are deleted at the end; :class:`Training` keeps them.
     """
-    spark = words.sparkSession
-    learnt = list(known)
-    with temporary_tables(spark, "bpe") as folder:
-        table = spread(symbol_table(words), "symbols")
-        if learnt:
-            table = table.select(replay(F.col("symbols"), learnt, spark).alias("symbols"), "freq").where(F.char_length("symbols") > 1)
-        state = _State(stored(table, "words", folder), folder)
-        state.keep(counts=pair_freqs(state.table))
-        while len(learnt) < merges:
-            taken = independent_prefix(best_pairs(state.counts), min_frequency)[: merges - len(learnt)]
-            if not taken:
-                break
-            step = [Merge(len(learnt) + i, *symbol_ids(pair)) for i, pair in enumerate(taken)]
-            learnt += step
-            if len(learnt) < merges:
-                both = state.table.select("symbols", merge_pairs(F.col("symbols"), step).alias("merged"), "freq")
-                total = state.counts.unionByName(pair_changes(both.where("symbols <> merged")))
-                counts = total.groupBy("pair").agg(F.sum("freq").alias("freq")).where("freq > 0")
-                after = both.where(F.char_length("merged") > 1).select(F.col("merged").alias("symbols"), "freq")
-                state.keep(table=after, counts=counts)
-        state.release()
-    return learnt
-
-
-class _State:
-    """Cached word and pair tables; an old version is dropped once the next one is stored."""
-
-    def __init__(self, table: DataFrame, folder: str):
-        self.table, self.counts, self._folder = table, None, folder
-        self._cached: list[DataFrame] = []
-        self._rounds = 0
-
-    def keep(self, **tables: DataFrame) -> None:
-        self._rounds += 1
-        store = self._rounds % STORE_ROUNDS == 0
-        cores = self.table.sparkSession.sparkContext.defaultParallelism
-        # cached plans keep all shuffle partitions, far more than small tables need
-        fresh = {k: stored(df, k, self._folder) if store else df.coalesce(cores).persist() for k, df in tables.items()}
-        if store:
-            self.release()
-        else:
-            self._cached += fresh.values()
-        for name, df in fresh.items():
-            setattr(self, name, df)
-
-    def release(self) -> None:
-        for df in self._cached:
-            df.unpersist()
-        self._cached = []
+    with temporary_tables(words.sparkSession, "bpe") as folder:
+        return _learn(_words_with(words, known, folder), known, merges, min_frequency, folder)[1]
+
+
+def _words_with(words: DataFrame, known: Sequence[Merge], folder: str) -> DataFrame:
+    """Stored ``symbols, freq`` of words that still hold a pair after the known merges."""
+    table = spread(symbol_table(words), "symbols")
+    if known:
+        table = _replayed(table, known)
+    return stored(table, "words", folder)
+
+
+def _replayed(table: DataFrame, merges: Sequence[Merge]) -> DataFrame:
+    done = table.select(replay(F.col("symbols"), merges, table.sparkSession).alias("symbols"), "freq")
+    return done.where(F.char_length("symbols") > 1)
+
+
+def _learn(table: DataFrame, known: Sequence[Merge], merges: int, min_frequency: int, folder: str) -> tuple[DataFrame, list[Merge]]:
+    """Rounds of merges; the table after all of them, and the merges.
+
+    A round counts all pairs and takes the leading ones. Counts only fall, and a pair with a new
+    symbol counts at most as often as the pair that stood at its place; so until the first pair left
+    out is due, merging happens only inside runs of symbols that leading pairs link. The distinct
+    runs are few and short, since words are cut wherever a rarer pair stands: the driver merges them
+    one by one, in exact order, and the words catch up in one pass. Runs are counted before they
+    are fetched; more than ``SEGMENT_SYMBOLS`` of them halve the number of leading pairs.
+    """
+    learnt, size = list(known), LEADING_PAIRS
+    while len(learnt) < merges:
+        best = best_pairs(pair_freqs(table), size + 1)
+        step, fits = _round(table, best[:size], best[size:], len(learnt), merges - len(learnt), min_frequency, folder)
+        if not step:
+            break
+        learnt += step
+        table = stored(_replayed(table, step), "words", folder)
+        size = min(2 * size, MOST_PAIRS) if fits else max(1, size // 2)
+    return table, learnt
+
+
+def _round(
+    table: DataFrame, leading: list[tuple[str, int]], rest: list[tuple[str, int]], done: int, most: int, min_frequency: int, folder: str
+) -> tuple[list[Merge], bool]:
+    """The merges of a round, and whether its runs left room for more pairs."""
+    if not leading or leading[0][1] < min_frequency:
+        return [], True
+    halved = False
+    while len(leading) > 1:
+        runs = stored(segment_freqs(table, [p for p, _ in leading]), "runs", folder)
+        size = runs.agg(F.coalesce(F.sum(F.char_length("segment")), F.lit(0)).alias("n")).first()["n"]
+        if size <= SEGMENT_SYMBOLS:
+            rows = runs.toArrow()
+            first_out = rest[0] if rest and rest[0][1] >= min_frequency else (symbol(0) * 2, min_frequency - 1)
+            found = greedy_merges(list(zip(rows["segment"].to_pylist(), rows["freq"].to_pylist())), FIRST_MERGE + done, most, first_out)
+            return [Merge(done + i, *pair) for i, pair in enumerate(found)], not halved and 3 * size <= SEGMENT_SYMBOLS
+        half = len(leading) // 2
+        leading, rest, halved = leading[:half], leading[half:], True
+    return [Merge(done, *symbol_ids(leading[0][0]))], False
+
+
+class Training:
+    """A vocabulary in training, stored as versions of merges and words.
+
+    A version holds the merges and the words as they stand after them. Learning and adding text
+    read the latest version and write the next; texts that were added are not read again. A version
+    counts once its merges are there, which are written last, so a job that fails leaves the one before.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @classmethod
+    def start(cls, words: DataFrame, path: str, known: Sequence[Merge] = ()) -> Training:
+        """Begin with ``word, freq`` in a new folder."""
+        training = cls(words.sparkSession, path)
+        with temporary_tables(training.spark, "bpe") as folder:
+            training._store(_words_with(words, known, folder), known)
+        return training
+
+    def version(self) -> int:
+        """The latest complete version, -1 before the first."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        whole = files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version-*/merges/_SUCCESS")) or []
+        return max((int(str(w.getPath()).split("/version-")[-1].split("/")[0]) for w in whole), default=-1)
+
+    def merges(self) -> list[Merge]:
+        return load_merges(self.spark, self._table("merges"))
+
+    def words(self) -> DataFrame:
+        """``symbols, freq`` of the words that still hold a pair."""
+        return self.spark.read.schema("symbols string, freq long").parquet(self._table("words"))
+
+    def learn(self, merges: int, min_frequency: int = 1) -> list[Merge]:
+        """Go on to ``merges`` merges in all."""
+        with temporary_tables(self.spark, "bpe") as folder:
+            table, learnt = _learn(self.words(), self.merges(), merges, min_frequency, folder)
+            self._store(table, learnt)
+        return learnt
+
+    def add(self, words: DataFrame) -> None:
+        """Take in the ``word, freq`` of new text; earlier merges stay."""
+        known = self.merges()
+        with temporary_tables(self.spark, "bpe") as folder:
+            both = self.words().unionByName(_words_with(words, known, folder))
+            self._store(both.groupBy("symbols").agg(F.sum("freq").alias("freq")), known)
+
+    def _table(self, name: str) -> str:
+        return f"{self.path}/version-{self.version():06d}/{name}"
+
+    def _store(self, words: DataFrame, merges: Sequence[Merge]) -> None:
+        number = self.version() + 1
+        words.write.mode("overwrite").parquet(f"{self.path}/version-{number:06d}/words")
+        save_merges(merges, self.spark, f"{self.path}/version-{number:06d}/merges")
 
 
 def token_texts(merges: Sequence[Merge]) -> list[str]:
