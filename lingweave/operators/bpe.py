@@ -8,7 +8,7 @@ extraction. Training merges in rounds: see :func:`train`.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -307,6 +307,27 @@ class Training:
         save_merges(merges, self.spark, f"{self.path}/version-{number:06d}/merges")
 
 
+def merges_of_tokens(tokens: Sequence[bytes]) -> list[Merge]:
+    """The merges of a ranked vocabulary of byte strings, single bytes first.
+
+    A token is made by the last merge that the tokens before it leave to do: with all of
+    their merges applied to its bytes, exactly two parts remain.
+    """
+    if sorted(tokens[:256]) != [bytes([b]) for b in range(256)]:
+        raise ValueError("a byte-level vocabulary begins with the 256 bytes")
+    alphabet = byte_alphabet(FIRST_BYTE)
+    byte_ids = [alphabet[ch] for ch in byte_characters()]
+    ranks: dict[tuple[int, int], int] = {}
+    merges: list[Merge] = []
+    for token in tokens[256:]:
+        parts = _apply([byte_ids[b] for b in token], ranks)
+        if len(parts) != 2:
+            raise ValueError(f"token {token!r} is no merge of two tokens before it")
+        merges.append(Merge(len(merges), *parts))
+        ranks[parts[0], parts[1]] = merges[-1].rank
+    return merges
+
+
 def token_texts(merges: Sequence[Merge]) -> list[str]:
     """Byte-level text of every merge, in rank order."""
     texts = sorted(byte_characters())
@@ -360,31 +381,37 @@ def _apply(word: Sequence[int], ranks: dict[tuple[int, int], int]) -> list[int]:
 
 
 def bpe_ids(text: Column, merges: Sequence[Merge], spark: SparkSession) -> Column:
-    """Token ids of a text as ``array<int>``.
+    """Token ids of a text as ``array<int>``; splitting runs in the JVM."""
+    return piece_ids(pretokenize(text), merges, spark)
 
-    Splitting runs in the JVM. Tasks get the merges (at most one vocabulary), merge each
-    distinct piece of a batch once and remember it, and put texts together by place.
+
+def piece_ids(pieces: Column, merges: Sequence[Merge], spark: SparkSession, whole: Mapping[str, int] = {}) -> Column:
+    """Token ids of an array of pieces, one after another; pieces named in ``whole`` are one token each.
+
+    Tasks get the merges (at most one vocabulary), merge each distinct piece of a batch once and
+    remember it, and put texts together by place.
     """
-    ranks = spark.sparkContext.broadcast(_ranks(merges))
+    ranks = spark.sparkContext.broadcast((_ranks(merges), dict(whole)))
     alphabet = byte_alphabet(FIRST_BYTE)
     byte_ids = [alphabet[ch] for ch in byte_characters()]
 
     @F.arrow_udf("array<int>")
     def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen: dict[str, list[int]] = {}
+        pairs, single = ranks.value
         for batch in batches:
-            pieces = batch.flatten().dictionary_encode()
+            found = batch.flatten().dictionary_encode()
             known = []
-            for piece in pieces.dictionary.to_pylist():
+            for piece in found.dictionary.to_pylist():
                 ids = seen.get(piece)
                 if ids is None:
                     if len(seen) > REMEMBERED:
                         seen.clear()
-                    ids = seen[piece] = _apply([byte_ids[b] for b in piece.encode()], ranks.value)
+                    ids = seen[piece] = [single[piece]] if piece in single else _apply([byte_ids[b] for b in piece.encode()], pairs)
                 known.append(ids)
             size = np.array([len(k) for k in known], np.int64)
             flat = np.fromiter(chain.from_iterable(known), np.int32, size.sum())
-            place = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            place = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             own = size[place]
             ends = np.cumsum(own)
             at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - own - (np.cumsum(size) - size)[place], own)
@@ -392,7 +419,7 @@ def bpe_ids(text: Column, merges: Sequence[Merge], spark: SparkSession) -> Colum
             offsets = np.append(0, ends)[per_text]
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[at], pa.int32()))
 
-    return split(pretokenize(text))
+    return split(pieces)
 
 
 class BpeTokenizer:
@@ -410,14 +437,15 @@ class BpeTokenizer:
 
     def encoded(self, df: DataFrame, text: str, out: str, most: int | None = None) -> DataFrame:
         """Add the (first ``most``) token ids of a text; a null text has none."""
-        ids = bpe_ids(F.coalesce(F.col(text), F.lit("")), self.merges, self.spark)
+        ids = self.ids(F.col(text))
         return df.withColumn(out, ids if most is None else F.slice(ids, 1, most))
 
     def decoded(self, df: DataFrame, ids: str, out: str) -> DataFrame:
         """Add the text of ids; special and unknown ids have none, cut characters become U+FFFD."""
         value = {ch: b for b, ch in enumerate(byte_characters())}
         texts = sorted(byte_characters()) + token_texts(self.merges)
-        shared = self.spark.sparkContext.broadcast([bytes(value[c] for c in t) for t in texts])
+        tokens = [bytes(value[c] for c in t) for t in texts] + self._more()
+        shared = self.spark.sparkContext.broadcast(tokens)
 
         @F.arrow_udf("string")
         def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -433,9 +461,17 @@ class BpeTokenizer:
 
         return df.withColumn(out, join(F.col(ids)))
 
+    def _more(self) -> list[bytes]:
+        """Bytes of the mask and of the tokens after it; the mask has none."""
+        return [b""]
+
+    def ids(self, text: Column) -> Column:
+        """Token ids of a text; a null text has none."""
+        return bpe_ids(F.coalesce(text, F.lit("")), self.merges, self.spark)
+
     def count(self, text: Column) -> Column:
         """Number of tokens of a text, for :func:`lingweave.operators.vocab.token_totals`."""
-        return F.size(bpe_ids(F.coalesce(text, F.lit("")), self.merges, self.spark))
+        return F.size(self.ids(text))
 
     def vocabulary(self) -> DataFrame:
         """``id, token`` of all tokens."""

@@ -295,10 +295,10 @@ ORACLE["bpe_pair_freqs"] = (
     f'WITH {CHAR_PAIRS} SELECT l AS "left", r AS "right", CAST(freq AS BIGINT) AS freq FROM char_pairs'
 )
 ORACLE["bpe_merge_step"] = f"""
-WITH {CHAR_PAIRS}, pair AS (SELECT (SELECT l || r FROM char_pairs ORDER BY freq DESC, l, r LIMIT 1) AS p)
-SELECT word, replace(trim(regexp_replace(replace(word, (SELECT p FROM pair), chr(57344)), '(.)', '\\1 ', 'g')),
-         chr(57344), (SELECT p FROM pair)) AS merged
-FROM words"""
+WITH {CHAR_PAIRS},
+pair AS MATERIALIZED (SELECT l || r AS p FROM char_pairs ORDER BY freq DESC, l, r LIMIT 1),
+cut AS MATERIALIZED (SELECT word, regexp_extract_all(replace(word, p, chr(57344)), '(?s).') AS parts, p FROM words CROSS JOIN pair)
+SELECT word, replace(array_to_string(parts, ' '), chr(57344), p) AS merged FROM cut"""
 
 
 def _training(merges: int, more: int = 0, also: bool = False) -> str:

@@ -11,13 +11,14 @@ from lingweave.functions.tokens import pretokenize as pieces_of
 from lingweave.functions.whitespace import ws_tokens as tokens_of
 from lingweave.operators import bpe, cleaning, dedupe, denoise, encode, groups, indexing, infer, joins, metrics, vocab
 from lingweave.operators.embedding import with_embedding_prf
+from lingweave.operators.tokenizers import build_tokenizer
 from lingweave.plans import tables as T
 from lingweave.session import scratch_path, stored
-from lingweave.sources import corpus, pairs as P
+from lingweave.sources import corpus, pairs as P, vocabularies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-VOCABULARY_QUERIES: dict[str, Query] = {}  # byte pairs of a whole vocabulary; too many merges for SQL
+VOCABULARY_QUERIES: dict[str, Query] = {}  # byte pairs of a whole vocabulary, ready or trained; too many merges for SQL
 
 MERGES = 20
 MORE_MERGES = 30
@@ -33,10 +34,10 @@ def query(fn: Query) -> Query:
 
 
 def vocabulary_query(fn: Callable[..., DataFrame]) -> Query:
-    """Register a byte-pair query twice: with the merges that SQL can follow, and as ``_vocabulary`` with all."""
+    """Register a byte-pair query twice: with the few merges that SQL can follow, and as ``_vocabulary`` with a whole vocabulary."""
 
     def whole(spark: SparkSession, sf: str) -> DataFrame:
-        return fn(spark, sf, VOCABULARY_MERGES)
+        return fn(spark, sf, True)
 
     whole.__name__, whole.__doc__ = f"{fn.__name__}_vocabulary", fn.__doc__
     VOCABULARY_QUERIES[whole.__name__] = whole
@@ -394,76 +395,92 @@ def _train_text(spark, sf) -> DataFrame:
 
 
 @vocabulary_query
-def bpe_train(spark, sf, merges=MERGES):
+def bpe_train(spark, sf, whole=False):
     """Merges learnt from the documents, stored as a table and loaded again."""
     path = scratch_path(spark, "merges")
-    learnt = bpe.train(bpe.piece_freq(_train_text(spark, sf), F.col("text")), merges)
+    learnt = bpe.train(bpe.piece_freq(_train_text(spark, sf), F.col("text")), VOCABULARY_MERGES if whole else MERGES)
     bpe.save_merges(learnt, spark, path)
     return bpe.merge_table(bpe.load_merges(spark, path), spark)
 
 
 @vocabulary_query
-def bpe_incremental(spark, sf, merges=MERGES):
-    """Training goes on with the conversations added; earlier merges stay."""
-    old = bpe.piece_freq(_train_text(spark, sf), F.col("text"))
-    new = bpe.piece_freq(T.read(spark, sf, "conversations"), F.col("text"))
-    learnt = bpe.train(old, merges)
-    most = MORE_MERGES if merges == MERGES else MORE_VOCABULARY_MERGES
-    return bpe.merge_table(bpe.train(vocab.add_freqs(old, new), most, known=learnt), spark)
+def bpe_incremental(spark, sf, whole=False):
+    """Training goes on from its stored state with the conversations added; earlier merges stay."""
+    training = bpe.Training.start(bpe.piece_freq(_train_text(spark, sf), F.col("text")), scratch_path(spark, "training"))
+    training.learn(VOCABULARY_MERGES if whole else MERGES)
+    training.add(bpe.piece_freq(T.read(spark, sf, "conversations"), F.col("text")))
+    return bpe.merge_table(training.learn(MORE_VOCABULARY_MERGES if whole else MORE_MERGES), spark)
 
 
-@vocabulary_query
-def bpe_tokenize(spark, sf, merges=MERGES):
-    docs = _train_text(spark, sf)
-    learnt = bpe.train(bpe.piece_freq(docs, F.col("text")), merges)
-    return docs.select("doc_id", F.size(bpe.bpe_ids(F.col("text"), learnt, spark)).alias("n_tokens"))
+def _bpe(spark, sf, whole) -> bpe.BpeTokenizer:
+    """A tokenizer: the ready vocabulary, or a few merges learnt from the documents."""
+    if whole:
+        return build_tokenizer(spark, base=vocabularies.read_ranks(spark, T.VOCABULARY_FILE))
+    return build_tokenizer(spark, "SCRATCH", words=bpe.piece_freq(_train_text(spark, sf), F.col("text")), merges=MERGES)
 
 
-def _bpe(spark, sf, merges) -> bpe.BpeTokenizer:
-    """A tokenizer with merges learnt from the documents."""
-    return bpe.BpeTokenizer(bpe.train(bpe.piece_freq(_train_text(spark, sf), F.col("text")), merges), spark)
+@vocabulary_query
+def bpe_tokenize(spark, sf, whole=False):
+    tokenizer = _bpe(spark, sf, whole)
+    return _train_text(spark, sf).select("doc_id", tokenizer.count(F.col("text")).alias("n_tokens"))
 
 
 @vocabulary_query
-def bpe_encode_pairs(spark, sf, merges=MERGES):
+def bpe_encode_pairs(spark, sf, whole=False):
     """Pairs as byte-pair ids of fixed length."""
-    tokenizer = _bpe(spark, sf, merges)
+    tokenizer = _bpe(spark, sf, whole)
     rows = encode.encode_pairs(T.pairs(spark, sf), "hi_en", "en", tokenizer, tokenizer)
     return rows.select("row_id", *_shown(rows, "input_ids", "attention_mask", "labels"))
 
 
 @vocabulary_query
-def bpe_decode(spark, sf, merges=MERGES):
+def bpe_decode(spark, sf, whole=False):
     """Whole documents to ids and back."""
-    tokenizer = _bpe(spark, sf, merges)
+    tokenizer = _bpe(spark, sf, whole)
     ids = tokenizer.encoded(_train_text(spark, sf), "text", "ids")
     return encode.decode_ids(ids, "ids", tokenizer).select("doc_id", "text")
 
 
 @vocabulary_query
-def bpe_token_totals(spark, sf, merges=MERGES):
+def bpe_token_totals(spark, sf, whole=False):
     """Tokens per split, by the tokenizer."""
     docs = T.docs(spark, sf).select("split", "text")
-    return vocab.token_totals(docs, "split", ["text"], _bpe(spark, sf, merges).count)
+    return vocab.token_totals(docs, "split", ["text"], _bpe(spark, sf, whole).count)
 
 
 @vocabulary_query
-def bpe_denoise(spark, sf, merges=MERGES):
+def bpe_denoise(spark, sf, whole=False):
     """Masked windows of byte-pair ids over all documents."""
-    rows, noise = _noise_windows(spark, sf, _bpe(spark, sf, merges), prepare=lambda text: text)
+    rows, noise = _noise_windows(spark, sf, _bpe(spark, sf, whole), prepare=lambda text: text)
     return _noise_output(denoise.mask_tokens(rows, "input_ids", "window", "batch_id", noise))
 
 
 @vocabulary_query
-def bpe_vocab_styles(spark, sf, merges=MERGES):
-    """The three vocabulary styles over a stored trained vocabulary: base, trained, base plus trained."""
+def bpe_vocab_styles(spark, sf, whole=False):
+    """The three vocabulary styles: base, trained and stored, base plus trained. The base is the ready vocabulary, or the commonest words."""
     path = scratch_path(spark, "vocab")
-    bpe.save_vocabulary(_bpe(spark, sf, merges).vocabulary(), path)
-    trained, base = bpe.load_vocabulary(spark, path), stored(word_vocab(spark, sf), "vocab")
+    words = bpe.piece_freq(_train_text(spark, sf), F.col("text"))
+    scratch = build_tokenizer(spark, "SCRATCH", words=words, merges=VOCABULARY_MERGES if whole else MERGES)
+    bpe.save_vocabulary(scratch.vocabulary(), path)
+    base = _bpe(spark, sf, whole).vocabulary() if whole else stored(word_vocab(spark, sf), "vocab")
+    trained = bpe.load_vocabulary(spark, path)
     styles = [vocab.style_vocab(s, base, trained).withColumn("style", F.lit(s)) for s in ("DEFAULT", "SCRATCH", "APPEND")]
     return styles[0].unionByName(styles[1]).unionByName(styles[2])
 
 
+def bpe_append_vocabulary(spark, sf):
+    """Documents by the ready vocabulary with the tokens added that training on the conversations found beyond it."""
+    words = bpe.piece_freq(T.read(spark, sf, "conversations"), F.col("text"))
+    ready = vocabularies.read_ranks(spark, T.VOCABULARY_FILE)
+    tokenizer = build_tokenizer(spark, "APPEND", ready, words, VOCABULARY_MERGES, path=scratch_path(spark, "merges"))
+    ids = tokenizer.encoded(_train_text(spark, sf), "text", "ids")
+    added = F.size(F.filter("ids", lambda i: i > tokenizer.mask_id))
+    return ids.select("doc_id", F.size("ids").alias("n_tokens"), added.alias("n_added"), F.md5(F.array_join("ids", ",")).alias("ids"))
+
+
+VOCABULARY_QUERIES["bpe_append_vocabulary"] = bpe_append_vocabulary
+
+
 def word_vocab(spark, sf) -> DataFrame:
     """Commonest words of the cleaned training text, between the specials and the mask."""
     train = T.docs(spark, sf).where("split = 'train'").select(C.clean_text(F.col("text")).alias("text"))

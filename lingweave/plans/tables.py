@@ -9,6 +9,7 @@ from lingweave.session import spread
 
 SEED = 42
 VOCAB_SIZE = 2000
+VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # a ready byte-level vocabulary of 50,000 merges
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
