@@ -167,6 +167,11 @@ WITH {PAIRS}, {PAIR_SPLITS},
 cleaned AS (SELECT {clean('hi_en')} AS hi_en, {clean('en')} AS en, split FROM pair_splits)
 SELECT hi_en, en, 'tsv' AS source, split FROM cleaned WHERE hi_en NOT IN ({MISSING}) AND en NOT IN ({MISSING})"""
 
+ORACLE["scan_tsv_multiline"] = f"""
+WITH {PAIRS}
+SELECT 'a' || chr(10) || hi_en AS hi_en, en || chr(10) || '"' || hi_en || '"' || chr(10) || chr(10) || chr(9) || 'end' AS en, 'tsv' AS source
+FROM pairs WHERE hi_en IS NOT NULL AND en IS NOT NULL"""
+
 ORACLE["scan_line_pairs"] = f"""
 WITH {PAIRS}, {PAIR_SPLITS}
 SELECT {clean('hi_en')} AS hi_en, {clean('en')} AS en, 'lines' AS source, split FROM pair_splits"""

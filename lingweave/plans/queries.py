@@ -127,6 +127,18 @@ def scan_tsv_pairs(spark, sf):
     return read.select("hi_en", "en", "source", "split")
 
 
+@query
+def scan_tsv_multiline(spark, sf):
+    """Raw pairs with line breaks, tabs and quotes inside their texts, as TSV and back."""
+    rows = _pair_splits(spark, sf).select(
+        F.concat("en", F.lit('\n"'), "hi_en", F.lit('"\n\n\tend')).alias("en_query"), F.concat(F.lit("a\n"), "hi_en").alias("cs_query"), F.lit("x").alias("domain")
+    )
+    path = scratch_path(spark, "tsv")
+    rows.write.csv(path, sep="\t", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    read = P.read_tsv_pairs(spark, [path], ["en_query", "cs_query", "domain"], "tsv", multiline=True)
+    return read.select("hi_en", "en", "source")
+
+
 @query
 def scan_line_pairs(spark, sf):
     """The cleaned pairs as tab-separated lines, each beside a short line that goes, read back by split."""

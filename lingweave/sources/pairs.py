@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from lingweave.sources.quoted import read_records
+
 # Texts a table reader takes as missing.
 NA_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -52,17 +54,19 @@ def read_tsv_pairs(
 
     ``header`` names the columns in file order; ``columns`` are target, then
     source text. Records with too many fields are skipped, short ones are padded
-    with nulls, rows without one of the two texts are dropped. Files split between tasks;
-    ``multiline`` reads quoted line breaks, for which Spark must read a file in one task.
+    with nulls, rows without one of the two texts are dropped. Files split between tasks,
+    also with ``multiline``, which reads quoted line breaks.
     """
-    fields = [T.StructField(c, T.StringType()) for c in [*header, "_extra", "_raw"]]
-    reader = (
-        spark.read.schema(T.StructType(fields))
-        .options(sep="\t", header=True, multiLine=multiline, escape='"', mode="PERMISSIVE")
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "_extra", "_raw"]])
+    options = {"sep": "\t", "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw"}
+    if multiline:
+        records = read_records(spark, files)
+        rows = records.select(
+            F.from_csv("text", fields.simpleString()[len("struct<") : -1].replace(":", " "), options).alias("r"), F.struct("file", "path", "block", "row").alias("ordinal")
+        ).select("r.*", "ordinal")
+    else:
         # a pruned parse would not notice surplus fields
-        .options(columnNameOfCorruptRecord="_raw", columnPruning=False)
-    )
-    rows = _in_order(reader.csv, files)
+        rows = _in_order(spark.read.schema(fields).options(header=True, columnPruning=False, **options).csv, files)
     # A good record is one field short of the widened schema, so it has a raw copy.
     whole = rows.where(F.col("_raw").isNotNull() & (_fields_present(F.col("_raw")) <= len(header)))
     target, text = columns
