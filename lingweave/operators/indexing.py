@@ -13,7 +13,7 @@ BATCH_SIZE = 32  # fixed value: rows per batch
 BROADCAST_OFFSETS = 1_000_000  # offset rows sent to every task; more are joined by shuffle
 
 
-def _range_partitions(df: DataFrame, bytes_per_partition: int = 32 << 20) -> int:
+def range_partitions(df: DataFrame, bytes_per_partition: int = 32 << 20) -> int:
     spark = df.sparkSession
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     least = min(most, spark.sparkContext.defaultParallelism)
@@ -37,7 +37,7 @@ def row_index(
     columns to ``keep``, so that long sort keys end with the sort.
     """
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = df.repartitionByRange(_range_partitions(df), *per, *keys)
+    ranged = df.repartitionByRange(range_partitions(df), *per, *keys)
     placed = reliable_checkpoint(
         ranged.sortWithinPartitions(*per, *keys).select(*(keep or df.columns), F.monotonically_increasing_id().alias("_slot"))
     )

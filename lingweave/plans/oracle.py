@@ -269,6 +269,15 @@ ORACLE["shuffle_batches"] = _index(
     "doc_id, split, row_index, batch_id",
 )
 ORACLE["overfit_subset"] = _index("doc_id", where="WHERE row_index < 32")
+ORACLE["group_fold_ordered"] = """
+WITH placed AS (
+  SELECT source, doc_id, lang, length(text) AS chars, lag(lang) OVER w AS lang_before, lag(length(text)) OVER w AS chars_before,
+         row_number() OVER w AS i FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+islands AS (
+  SELECT *, sum(CASE WHEN chars > chars_before THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY doc_id) AS island FROM placed),
+runs AS (SELECT source, island, count(*) AS n, sum(CASE WHEN i > 1 AND lang IS DISTINCT FROM lang_before THEN 1 ELSE 0 END) AS c FROM islands GROUP BY 1, 2)
+SELECT source, CAST(sum(n) AS BIGINT) AS "rows", CAST(sum(c) AS BIGINT) AS changes, max(n) AS longest FROM runs GROUP BY source"""
+
 ORACLE["group_apply"] = """
 SELECT source, count(*) AS rows, round(sum(length(text)) / CAST(count(*) AS DOUBLE), 6) AS mean_len
 FROM documents GROUP BY source"""
@@ -492,6 +501,14 @@ SELECT row_id, batch_id,
        {show("list_transform(range(0, n), lambda i: CASE WHEN i < len(framed) THEN 1 ELSE 0 END)")} AS attention_mask
 FROM longest"""
 
+ORACLE["collate_apply"] = f"""
+WITH {ENC},
+batched AS (SELECT row_id, framed, row_number() OVER (ORDER BY row_id) - 1 AS i FROM src),
+longest AS (SELECT *, i // 32 AS batch_id, max(len(framed)) OVER (PARTITION BY i // 32) AS n FROM batched)
+SELECT row_id, batch_id, CAST(i % 32 AS INT) AS place, CAST(n AS INT) AS width,
+       {show("list_concat(framed, list_transform(range(0, n - len(framed)), lambda i: 1))")} AS input_ids
+FROM longest"""
+
 ORACLE["argmax_decode"] = """
 WITH cells AS (
   SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings),

@@ -369,6 +369,59 @@ def group_apply(spark, sf):
     )
 
 
+def _stretch_start() -> dict:
+    return {"rows": 0, "changes": 0, "best": 0}
+
+
+def _stretch_step(state: dict, rows) -> dict:
+    """Add rows to the numbers of a stretch: language changes and the longest run of growing lengths."""
+    lang, size = rows["lang"].to_numpy(), rows["chars"].to_numpy()
+    breaks = [i for i, grows in enumerate(size[1:] > size[:-1], 1) if not grows]
+    runs = [e - s for s, e in zip([0, *breaks], [*breaks, len(size)])]
+    ends = {"first": (lang[0], int(size[0])), "last": (lang[-1], int(size[-1]))}
+    own = {"rows": len(size), "changes": int((lang[1:] != lang[:-1]).sum()), "best": max(runs), "head": runs[0], "tail": runs[-1]}
+    return _stretch_join(state, own | ends)
+
+
+def _stretch_join(a: dict, b: dict) -> dict:
+    if not a["rows"]:
+        return b
+    grows = b["first"][1] > a["last"][1]
+    return {
+        "rows": a["rows"] + b["rows"],
+        "changes": a["changes"] + b["changes"] + (a["last"][0] != b["first"][0]),
+        "best": max(a["best"], b["best"], a["tail"] + b["head"] if grows else 0),
+        # runs at the borders, which a neighbour may continue
+        "head": a["head"] + (b["head"] if grows and a["head"] == a["rows"] else 0),
+        "tail": b["tail"] + (a["tail"] if grows and b["tail"] == b["rows"] else 0),
+        "first": a["first"],
+        "last": b["last"],
+    }
+
+
+@query
+def group_fold_ordered(spark, sf):
+    """Per source, documents in order: changes of language, and the longest run of texts that get longer."""
+    rows = T.docs(spark, sf).select("source", "doc_id", "lang", F.length("text").alias("chars"))
+    fold = groups.Fold(_stretch_start, _stretch_step, _stretch_join, lambda s: {"rows": s["rows"], "changes": s["changes"], "longest": s["best"]})
+    return groups.fold_by_group(rows, ["source"], ["doc_id"], fold, {"rows": "long", "changes": "long", "longest": "long"})
+
+
+@query
+def collate_apply(spark, sf):
+    """A collate function of the caller's over every batch of encoded pairs: padded ids and their length."""
+    pairs, lookup = _encoded_pairs(spark, sf)
+    rows = encode.encode_text(pairs, "hi_en", lookup, mask=None, padded=False).select("row_id", "input_ids")
+    batched = rows.join(_batch_ids(pairs, "row_id"), "row_id")
+
+    def collate(batch):
+        width = max(map(len, batch["input_ids"]))
+        padded = [[*ids, *[A.PAD] * (width - len(ids))] for ids in batch["input_ids"]]
+        return batch.assign(place=range(len(batch)), width=width, input_ids=[" ".join(map(str, p)) for p in padded])
+
+    return groups.apply_by_batch(batched, "batch_id", ["row_id"], collate, "row_id string, batch_id long, place int, width int, input_ids string")
+
+
 # ---- vocabularies and BPE -----------------------------------------------------------
 
 

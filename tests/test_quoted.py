@@ -70,8 +70,8 @@ def test_open_quote_and_carriage_returns(spark, tmp_path):
     "line, if_outside, if_inside",
     [
         ("plain\ttext", OUTSIDE, INSIDE),
-        ('"open', INSIDE, INSIDE),
-        ('"a"\t"b', INSIDE, OUTSIDE),
+        ('"open', INSIDE, OUTSIDE),
+        ('"a"\t"b', INSIDE, INSIDE),
         ('a"\tb', OUTSIDE, OUTSIDE),
         ('""\t"', INSIDE, OUTSIDE),
         ('5" pipe', OUTSIDE, OUTSIDE),
