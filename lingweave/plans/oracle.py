@@ -270,13 +270,14 @@ ORACLE["shuffle_batches"] = _index(
 )
 ORACLE["overfit_subset"] = _index("doc_id", where="WHERE row_index < 32")
 ORACLE["group_fold_ordered"] = """
-WITH placed AS (
-  SELECT source, doc_id, lang, length(text) AS chars, lag(lang) OVER w AS lang_before, lag(length(text)) OVER w AS chars_before,
-         row_number() OVER w AS i FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+WITH turns AS (SELECT conv_id, turn, role, coalesce(length(text), 0) AS chars FROM conversations),
+placed AS (
+  SELECT *, lag(role) OVER w AS role_before, lag(chars) OVER w AS chars_before, row_number() OVER w AS i
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, chars)),
 islands AS (
-  SELECT *, sum(CASE WHEN chars > chars_before THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY doc_id) AS island FROM placed),
-runs AS (SELECT source, island, count(*) AS n, sum(CASE WHEN i > 1 AND lang IS DISTINCT FROM lang_before THEN 1 ELSE 0 END) AS c FROM islands GROUP BY 1, 2)
-SELECT source, CAST(sum(n) AS BIGINT) AS "rows", CAST(sum(c) AS BIGINT) AS changes, max(n) AS longest FROM runs GROUP BY source"""
+  SELECT *, sum(CASE WHEN chars > chars_before THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY i) AS island FROM placed),
+runs AS (SELECT conv_id, island, count(*) AS n, sum(CASE WHEN i > 1 AND role IS DISTINCT FROM role_before THEN 1 ELSE 0 END) AS c FROM islands GROUP BY 1, 2)
+SELECT conv_id, CAST(sum(n) AS BIGINT) AS "rows", CAST(sum(c) AS BIGINT) AS changes, max(n) AS longest FROM runs GROUP BY conv_id"""
 
 ORACLE["group_apply"] = """
 SELECT source, count(*) AS rows, round(sum(length(text)) / CAST(count(*) AS DOUBLE), 6) AS mean_len

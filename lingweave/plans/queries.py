@@ -13,7 +13,7 @@ from lingweave.operators import bpe, cleaning, dedupe, denoise, encode, groups,
 from lingweave.operators.embedding import with_embedding_prf
 from lingweave.operators.tokenizers import build_tokenizer
 from lingweave.plans import tables as T
-from lingweave.session import scratch_path, stored
+from lingweave.session import scratch_path, spread, stored
 from lingweave.sources import corpus, pairs as P, vocabularies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -374,12 +374,12 @@ def _stretch_start() -> dict:
 
 
 def _stretch_step(state: dict, rows) -> dict:
-    """Add rows to the numbers of a stretch: language changes and the longest run of growing lengths."""
-    lang, size = rows["lang"].to_numpy(), rows["chars"].to_numpy()
+    """Add rows to the numbers of a stretch: changes of role and the longest run of growing lengths."""
+    role, size = rows["role"].to_numpy(), rows["chars"].to_numpy()
     breaks = [i for i, grows in enumerate(size[1:] > size[:-1], 1) if not grows]
     runs = [e - s for s, e in zip([0, *breaks], [*breaks, len(size)])]
-    ends = {"first": (lang[0], int(size[0])), "last": (lang[-1], int(size[-1]))}
-    own = {"rows": len(size), "changes": int((lang[1:] != lang[:-1]).sum()), "best": max(runs), "head": runs[0], "tail": runs[-1]}
+    ends = {"first": (role[0], int(size[0])), "last": (role[-1], int(size[-1]))}
+    own = {"rows": len(size), "changes": int((role[1:] != role[:-1]).sum()), "best": max(runs), "head": runs[0], "tail": runs[-1]}
     return _stretch_join(state, own | ends)
 
 
@@ -401,10 +401,11 @@ def _stretch_join(a: dict, b: dict) -> dict:
 
 @query
 def group_fold_ordered(spark, sf):
-    """Per source, documents in order: changes of language, and the longest run of texts that get longer."""
-    rows = T.docs(spark, sf).select("source", "doc_id", "lang", F.length("text").alias("chars"))
+    """Per conversation, turns in order: changes of speaker, and the longest run of texts that get longer."""
+    size = F.coalesce(F.length("text"), F.lit(0)).alias("chars")
+    rows = spread(T.read(spark, sf, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", size)
     fold = groups.Fold(_stretch_start, _stretch_step, _stretch_join, lambda s: {"rows": s["rows"], "changes": s["changes"], "longest": s["best"]})
-    return groups.fold_by_group(rows, ["source"], ["doc_id"], fold, {"rows": "long", "changes": "long", "longest": "long"})
+    return groups.fold_by_group(rows, ["conv_id"], ["turn", "role", "chars"], fold, {"rows": "long", "changes": "long", "longest": "long"})
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lingweave.functions.whitespace import strip
@@ -30,17 +32,21 @@ def read_corpus(spark: SparkSession, path: str, schema: str | None = None, fmt:
     return reader.load(path)
 
 
-def append_answers(df: DataFrame, path: str, answer: str, row: str = "row_id") -> None:
-    """Append answers to a text log, one ``row_id<TAB>answer`` line each, line feeds removed."""
+def append_answers(df: DataFrame, path: str, answer: str, row: str = "row_id", run: str | None = None) -> None:
+    """Append answers to a text log, one ``row_id<TAB>answer`` line each, line feeds removed.
+
+    Every append has a folder of its own. One that is named by ``run`` and repeated after a failure
+    replaces what it wrote before, so no answer stands in the log twice.
+    """
     flat = F.replace(F.col(answer), F.lit("\n"), F.lit(""))
     line = F.concat_ws("\t", F.col(row).cast("string"), flat)
-    df.select(line.alias("value")).write.mode("append").text(path, lineSep="\n")
+    df.select(line.alias("value")).write.mode("overwrite").text(f"{path.rstrip('/')}/run={run or uuid.uuid4().hex}", lineSep="\n")
 
 
 def read_answers(spark: SparkSession, path: str, row_type: str = "string") -> DataFrame:
     """``row_id, line`` of an answer log, lines stripped at both ends."""
     tab = F.instr("value", "\t")
-    return spark.read.text(path, lineSep="\n").select(
+    return spark.read.text(path, lineSep="\n", recursiveFileLookup=True).select(
         F.substring(F.col("value"), F.lit(1), tab - 1).cast(row_type).alias("row_id"),
         strip(F.substring(F.col("value"), tab + 1, F.length("value"))).alias("line"),
     )

@@ -172,3 +172,13 @@ def test_shared_folder_holds_stored_tables(spark):
     assert scratch_path(spark, "x").startswith(base)
     df = stored(spark.range(5).withColumn("t", F.lit("v")))
     assert df.count() == 5 and df.inputFiles()[0].split("://")[-1].removeprefix("file:").startswith(base)
+
+
+def test_repeated_append_replaces_its_run(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([(1, "one"), (2, "two\nlines")], "row_id long, a string")
+    corpus.append_answers(rows.limit(1), path, "a", run="first")
+    corpus.append_answers(rows, path, "a", run="first")
+    corpus.append_answers(rows.where("row_id = 2"), path, "a")
+    got = sorted(map(tuple, corpus.read_answers(spark, path, "long").collect()))
+    assert got == [(1, "one"), (2, "twolines"), (2, "twolines")]

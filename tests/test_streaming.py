@@ -48,6 +48,35 @@ def test_clean_stream_equals_batch(spark, tmp_path):
         assert got == set(expected) and spark.read.parquet(out).count() == len(expected)
 
 
+def test_word_counts_stay_in_few_folders(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "freq")
+    for i in range(13):
+        spark.createDataFrame([(f"every w{i % 3} word{i}", "x")], "hi_en string, en string").withColumn("ts", F.timestamp_seconds(F.lit(i))).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    writer = jobs.word_freq_stream(stream, ws_tokens(F.col("hi_en")), out, every=3)
+    run(writer, str(tmp_path / "c"))
+    upto, batches = jobs._folders(spark, out)
+    assert upto >= 9 and len(batches) <= 4 and len(jobs._names(spark, out)) <= 5
+    expected = sorted(map(tuple, vocab.word_freq(spark.read.parquet(folder), ws_tokens(F.col("hi_en"))).collect()))
+    shown = lambda: sorted(map(tuple, jobs.read_word_freq(spark, out).collect()))
+    assert shown() == expected
+    # a compaction that stopped before its table was whole, and one that stopped before it deleted
+    some = spark.createDataFrame([("every", 99)], "word string, freq long")
+    some.write.parquet(f"{out}/upto=12")
+    (tmp_path / "freq" / "upto=12" / "_SUCCESS").unlink()
+    some.write.parquet(f"{out}/batch=2")
+    assert shown() == expected
+    jobs.compact_word_freq(spark, out, 12)
+    assert shown() == expected and jobs._names(spark, out) == ["upto=12"]
+    # a batch that runs again counts once
+    jobs.compact_word_freq(spark, out, 12)
+    assert shown() == expected
+
+
+def test_no_counts_yet(spark, tmp_path):
+    assert jobs.read_word_freq(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_word_freq_stream_equals_batch(spark, tmp_path):
     stream, batch = feed(spark, str(tmp_path / "in"))
     out = str(tmp_path / "freq")
