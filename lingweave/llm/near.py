@@ -387,10 +387,9 @@ def _grouped(
     of_class = first.join(smallest, ["root_high", "root_low"]).select(*names, "best")
     found = signed.drop("buckets", "blank").join(of_class, names, "left")
     grouped = F.col("n_shingles") > 0
-    # a row that repeats the id and the words of its group's first row is that row once more; a null id repeats nothing
-    repeats = (F.col("doc_id") == F.col("best.doc_id")) & (F.col("set_high") == F.col("best.set_high")) & (F.col("set_low") == F.col("best.set_low"))
-    kept = ~grouped | (F.col("row") == F.col("best.row")) | F.coalesce(repeats, F.lit(False))
     component = F.when(grouped, F.col("best.doc_id")).otherwise(F.col("doc_id"))
+    # flags go by id; a null id equals none, so of rows without ids the chosen one is kept
+    kept = ~grouped | F.coalesce(F.col("doc_id") == component, F.col("row") == F.col("best.row"))
     found = found.select("row", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
     blanks = signed.where("n_shingles = 0").groupBy("doc_id", "blank").agg(F.min("row").alias("row"))
     return found, smallest.select("best.row").unionByName(blanks.select("row"))

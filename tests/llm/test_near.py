@@ -74,7 +74,8 @@ def test_rows_with_null_or_repeated_ids(spark):
     assert len([r for r in kept if r[0] == 3]) == 1
     assert sorted((r for r in kept if not r[1]), key=repr) == [(4, None), (None, ""), (None, None)]
     flags = near.near_duplicates(frame).where("n_shingles > 0").collect()
-    assert sorted((r.doc_id for r in flags if r.kept), key=str) == [1, 1, 2, 3, None]
+    assert sorted((r.doc_id for r in flags if r.kept), key=str) == [1, 1, 2, 3, 3, None]
+    assert all(r.kept == (r.doc_id == r.component_id) for r in flags if r.doc_id is not None)
 
 
 def test_search_reads_one_text_of_a_class(spark, monkeypatch):
