@@ -11,10 +11,15 @@ Template: ``### role: text</turn>`` and a line feed. A backslash in front of ``\
 ``</turn>`` (and ``:`` in roles) makes them text. The loss mask is the span of every
 assistant text.
 
-Cases: null texts and roles are empty; a record that is null, no JSON object or of an
-unknown layout gives no turns; a flat row with null ``turn`` comes first; rows
+A layout has required and optional paths. A record whose fingerprint is unknown is looked up
+once more by its paths that a layout knows, so further fields (a name, tool calls) do not hide it.
+
+Cases: null texts and roles are empty; a value that is no text is its JSON; a turn that is no
+object has no role; a record without turns, null, no JSON object or of an unknown layout is
+one row with null ``part``, ``role`` and ``text`` (and null ``layout`` if it has none), formatted as
+nothing; a ``turn`` that is no 64-bit integer is null; a flat row with null ``turn`` comes first; rows
 with equal conversation and turn go by role, then text; repeated rows are all kept; empty
-tables give no rows; metadata fields of any name are ignored.
+tables give no rows; metadata fields of any name are ignored; half a surrogate pair becomes U+FFFD.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator, Mapping as Map
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -55,38 +61,92 @@ class Layout:
     role: str | None = None
     text: str | None = None
     fixed: tuple[tuple[str, tuple[str, ...]], ...] = field(default=())
+    optional: tuple[str, ...] = ()
+    rename: bool = True
 
     def paths(self) -> list[str]:
+        """All paths that the layout knows."""
         if self.each:
             return sorted([self.each, f"{self.each}[].{self.role}", f"{self.each}[].{self.text}"])
         roles = [r[1:] for r, _ in self.fixed if r.startswith("@")]
         return sorted({*roles, *(f for _, fields in self.fixed for f in fields)})
 
+    def variants(self) -> Iterator[list[str]]:
+        """The paths of every record of the layout: a list may be empty and its items without text."""
+        leave_out = (f"{self.each}[].{self.text}", f"{self.each}[].{self.role}") if self.each else self.optional
+        for n in range(len(leave_out) + 1):
+            for left in combinations(leave_out, n):
+                if not self.each or left != leave_out[1:]:  # items without a role are no turns
+                    yield [p for p in self.paths() if p not in left]
+
+    def fits(self, record: Map) -> bool:
+        """Is the list of turns a list, and if it has items, is one of them an object?"""
+        items = record.get(self.each) if self.each else None
+        return items is None or isinstance(items, list) and (not items or any(isinstance(i, dict) for i in items))
+
     def turns(self, record: Map) -> Iterator[tuple[str, str]]:
+        named = role_name if self.rename else as_text
         if self.each:
             for turn in record[self.each] or ():
-                yield role_name(turn.get(self.role)), turn.get(self.text) or ""
+                yield (named(turn.get(self.role)), as_text(turn.get(self.text))) if isinstance(turn, dict) else ("", as_text(turn))
             return
         for role, fields in self.fixed:
-            texts = [record.get(f) or "" for f in fields]
-            name = record.get(role[1:]) if role.startswith("@") else role
-            yield role_name(name), "\n\n".join([texts[0], *filter(None, texts[1:])])
+            texts = [as_text(record[f]) for f in fields if f in record]
+            if texts:
+                yield named(record.get(role[1:]) if role.startswith("@") else role), "\n\n".join([texts[0], *filter(None, texts[1:])])
 
 
+SYSTEM = ("system", ("system",))
 LAYOUTS = (
-    Layout("row", fixed=(("@role", ("text",)),)),
+    Layout("row", fixed=(("@role", ("text",)),), rename=False),
     Layout("messages", "messages", "role", "content"),
     Layout("conversations", "conversations", "from", "value"),
-    Layout("prompt_response", fixed=(("user", ("prompt",)), ("assistant", ("response",)))),
-    Layout("prompt_completion", fixed=(("user", ("prompt",)), ("assistant", ("completion",)))),
-    Layout("instruction", fixed=(("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Layout("system_instruction", fixed=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Layout("question_answer", fixed=(("user", ("question",)), ("assistant", ("answer",)))),
+    Layout("prompt_response", fixed=(SYSTEM, ("user", ("prompt",)), ("assistant", ("response",))), optional=("system",)),
+    Layout("prompt_completion", fixed=(SYSTEM, ("user", ("prompt",)), ("assistant", ("completion",))), optional=("system",)),
+    Layout("instruction", fixed=(("user", ("instruction", "input")), ("assistant", ("output",))), optional=("input",)),
+    Layout("system_instruction", fixed=(SYSTEM, ("user", ("instruction", "input")), ("assistant", ("output",))), optional=("input",)),
+    Layout("question_answer", fixed=(SYSTEM, ("user", ("question",)), ("assistant", ("answer",))), optional=("system",)),
 )
 
 
-def role_name(role: str | None) -> str:
-    return ROLES.get(role or "", role or "")
+def as_text(value: object) -> str:
+    """Texts as they are, nothing for null, JSON for other values."""
+    if value is None:
+        return ""
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def as_turn(value: object) -> int | None:
+    """A record's own turn number, null if it is none."""
+    return value if isinstance(value, int) and not isinstance(value, bool) and -(1 << 63) <= value < 1 << 63 else None
+
+
+def role_name(role: object) -> str:
+    name = as_text(role)
+    return ROLES.get(name, name)
+
+
+class Chooser:
+    """Layouts by fingerprint."""
+
+    def __init__(self, layouts: Iterable[Layout], metadata: Iterable[str]):
+        self.layouts, self.metadata = tuple(layouts), frozenset(metadata)
+        self.known = [frozenset(x.paths()) for x in self.layouts]
+        self.by_print = {fingerprint(v): x for x in self.layouts for v in x.variants()}
+
+    def choose(self, record: Map) -> Layout | None:
+        """The layout of exactly these paths, else that which knows most of them, the first one of equals."""
+        paths = content_paths(record, self.metadata)
+        exact = self.by_print.get(fingerprint(paths))
+        if exact and exact.fits(record):
+            return exact
+        best, most = None, 0
+        for layout, known in zip(self.layouts, self.known):
+            shared = paths & known
+            if len(shared) > most and self.by_print.get(fingerprint(shared)) is layout and layout.fits(record):
+                best, most = layout, len(shared)
+        return best
 
 
 def field_paths(value: object, prefix: str = "") -> set[str]:
@@ -101,7 +161,7 @@ def field_paths(value: object, prefix: str = "") -> set[str]:
 
 
 def fingerprint(paths: Iterable[str]) -> str:
-    return hashlib.sha1("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha1("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 def content_paths(record: Map, metadata: Iterable[str] = METADATA) -> set[str]:
@@ -110,13 +170,13 @@ def content_paths(record: Map, metadata: Iterable[str] = METADATA) -> set[str]:
 
 
 def canonical_turns(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS, metadata: tuple[str, ...] = METADATA) -> DataFrame:
-    """One row per turn: the other columns, ``turn`` (the record's own, or null), ``part``, ``role``, ``text``, ``layout``."""
+    """One row per turn: the other columns, ``turn`` (the record's own, or null), ``part``, ``role``, ``text``, ``layout``; one row with null ``part`` for a record without turns."""
     added = "turn bigint, part bigint, role string, text string, layout string"
     fields = StructType.fromDDL(added)
     kept = [c for c in df.columns if c != record and c not in fields.names]
     rows = df.select(*[f"`{c}`" for c in kept], f"`{record}`")
     schema = StructType([*[StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]], *fields.fields])
-    names, by_print = schema.names, {fingerprint(x.paths()): x for x in layouts}
+    names, chooser = schema.names, Chooser(layouts, metadata)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,14 +184,14 @@ def canonical_turns(df: DataFrame, record: str = "record", layouts: tuple[Layout
             for i, data in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 try:
                     value = json.loads(data) if data else None
-                except ValueError:
-                    continue
-                if not isinstance(value, dict):
-                    continue
-                layout = by_print.get(fingerprint(content_paths(value, metadata)))
-                for part, (role, text) in enumerate(layout.turns(value) if layout else ()):
+                except (ValueError, RecursionError):
+                    value = None
+                value = value if isinstance(value, dict) else {}
+                layout = chooser.choose(value)
+                turns = list(layout.turns(value)) if layout else []
+                for part, (role, text) in list(enumerate(turns)) or [(None, (None, None))]:
                     at.append(i)
-                    for column, v in zip(out, (value.get("turn"), part, role, text, layout.name)):
+                    for column, v in zip(out, (as_turn(value.get("turn")), part, role, text, layout.name if layout else None)):
                         column.append(v)
             taken = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]]
             types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
@@ -168,16 +228,20 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """Replace ``role`` and ``text`` by ``formatted`` and the loss span ``loss_start, loss_end`` (code points)."""
+    """Replace ``role`` and ``text`` by ``formatted`` and the loss span ``loss_start, loss_end`` (code points).
+
+    A row whose ``part`` is null holds no turn and is formatted as an empty text.
+    """
     kept = [c for c in turns.columns if c not in ("role", "text", "formatted", "loss_start", "loss_end")]
-    rows = turns.select(*[f"`{c}`" for c in kept], "role", "text")
+    is_turn = F.col("part").isNotNull() if "part" in turns.columns else F.lit(True)
+    rows = turns.select(*[f"`{c}`" for c in kept], F.when(is_turn, F.coalesce("role", F.lit(""))).alias("role"), "text")
     added = StructType.fromDDL("formatted string, loss_start bigint, loss_end bigint").fields
     schema = StructType([*[StructField(f.name, f.dataType) for f in rows.schema.fields[:-2]], *added])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [render(r or "", t or "") for r, t in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
+            made = [("", 0, 0) if r is None else render(r, t or "") for r, t in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
             columns = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names)
 

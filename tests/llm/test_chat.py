@@ -34,13 +34,30 @@ def test_layouts(spark):
         9: {"unknown": 1},
         10: [1, 2],
         11: {"messages": []},
+        14: {"instruction": "do", "output": "done", "turn": "x"},
+        15: {"messages": [{"role": "human", "content": "q", "name": "n"}, "loose", {"role": "gpt", "tool_calls": [{"f": 1}]}]},
+        16: {"prompt": 5, "response": {"a": [True, None]}, "system": "s"},
+        17: {"messages": "text"},
+        18: {"messages": ["a", "b"]},
+        19: {"role": "gpt", "text": "kept as it is", "turn": 1 << 70, "score": 0.5},
+        20: {"question": "\ud800q", "answer": None, "unknown": {"x": 1}},
+        21: {},
     }
-    rows = [(i, json.dumps(r), 1, "x") for i, r in records.items()] + [(12, None, 1, "x"), (13, "{broken", 1, "x")]
+    rows = [(i, json.dumps(r), 1, "x") for i, r in records.items()]
+    rows += [(12, None, 1, "x"), (13, "{broken", 1, "x"), (22, '{"a":' + "[" * 100_000, 1, "x")]
     frame = spark.createDataFrame(rows, "conv_id long, record string, part int, other string")
-    got = defaultdict(list)
-    for r in chat.canonical_turns(frame).orderBy("conv_id", "part").collect():
-        got[r.conv_id].append((r.role, r.text))
-        assert r.other == "x"
+    got, without = defaultdict(list), {}
+    turns = chat.canonical_turns(frame)
+    for r in turns.orderBy("conv_id", "part").collect():
+        assert r.other == "x" and (r.turn is None or r.conv_id == 8)
+        if r.part is None:
+            assert (r.role, r.text) == (None, None)
+            without[r.conv_id] = r.layout
+        else:
+            got[r.conv_id].append((r.role, r.text))
+    assert without == {9: None, 10: None, 11: "messages", 12: None, 13: None, 17: None, 18: None, 21: None, 22: None}
+    counts = {r.conv_id: (r.n_turns, r.formatted_chars > 0) for r in chat.digests(chat.format_turns(turns)).collect()}
+    assert counts == {**{i: (len(t), True) for i, t in got.items()}, **{i: (0, False) for i in without}}
     assert got == {
         1: [("system", "s"), ("user", "q"), ("assistant", "")],
         2: [("user", "q"), ("assistant", "a")],
@@ -50,11 +67,17 @@ def test_layouts(spark):
         6: [("system", "s"), ("user", "do"), ("assistant", "done")],
         7: [("user", "q"), ("assistant", "a")],
         8: [("user", "q")],
+        14: [("user", "do"), ("assistant", "done")],
+        15: [("user", "q"), ("", "loose"), ("assistant", "")],
+        16: [("system", "s"), ("user", "5"), ("assistant", '{"a": [true, null]}')],
+        19: [("gpt", "kept as it is")],
+        20: [("user", "\ufffdq"), ("assistant", "")],
     }
 
 
 def test_fingerprints_are_distinct_and_ignore_values():
-    assert len({chat.fingerprint(x.paths()) for x in chat.LAYOUTS}) == len(chat.LAYOUTS)
+    prints = [chat.fingerprint(v) for x in chat.LAYOUTS for v in x.variants()]
+    assert len(set(prints)) == len(prints) > len(chat.LAYOUTS)
     a = {"messages": [{"role": "x", "content": 1}, {"content": None, "role": "y"}]}
     b = {"messages": [{"content": "z", "role": None}], "id": "m"}
     assert chat.fingerprint(chat.content_paths(a)) == chat.fingerprint(chat.content_paths(b))
