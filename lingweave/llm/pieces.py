@@ -11,7 +11,7 @@ back to the batches of documents, and the white space between units is filled in
 piece scores 10 below the lowest piece and becomes its UTF-8 byte pieces.
 
 Decoding joins the bytes of pieces, marks as blanks, and drops the first blank, which gives
-the text back, except that a word mark in the text itself comes back as a blank.
+the text back. A word mark in the text itself has no piece of its own and becomes bytes too.
 
 Cases: null and empty texts have no pieces and decode to empty texts; repeated rows are encoded alike;
 of segmentations with equal scores the one whose last piece is longer is taken; empty tables give no rows;
@@ -34,6 +34,7 @@ from lingweave.session import stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0  # fixed value: a character without a piece scores this much below the lowest piece
+NO_PIECE = "\uffff"  # stands for a literal word mark in the lattice: a noncharacter, in no piece
 HEAD = 3  # characters that bound how long a piece can go on
 SHORT = 256  # characters up to which substrings are cut from the string itself
 
@@ -138,7 +139,9 @@ def best_path(best: Column) -> Column:
 
 def segment(units: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``owner, no, path`` of distinct ``owner, no, unit`` rows; stays in the partitions of ``owner``."""
-    _, scores, kinds = load_pieces(vocabulary)
+    texts, scores, kinds = load_pieces(vocabulary)
+    if any(NO_PIECE in t for t in texts):
+        raise ValueError(f"a piece of {vocabulary} holds the noncharacter that stands for literal word marks")
     unknown = min((s for s, k in zip(scores, kinds) if k == "piece"), default=0.0) - UNKNOWN_PENALTY
     found = edges(units, live_pieces(vocabulary), unknown)
     match = F.struct("end", "start", "id", "score")
@@ -224,7 +227,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, de
     # one exchange by owner; the lattice and the grouping of its edges stay in those partitions
     words = owned.where("batch is null").select("owner", "words").repartition(tasks, "owner")
     units = words.select("owner", F.posexplode("words").alias("no", "word"))
-    segmented = segment(units.select("owner", "no", F.translate("word", " ", MARK).alias("unit")), vocabulary)
+    segmented = segment(units.select("owner", "no", F.translate("word", " " + MARK, MARK + NO_PIECE).alias("unit")), vocabulary)
 
     def respond(asked: pa.Table, paths: pa.Table) -> pa.Table:
         known = asked.filter(pc.is_null(asked["batch"]))["words"].combine_chunks().flatten()
@@ -279,5 +282,5 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", vocabulary: st
 
 
 def same_text(text: str, decoded: str) -> Column:
-    """Does the decoded text equal the text, up to word marks in the text itself?"""
-    return F.translate(F.coalesce(F.col(text), F.lit("")), MARK, " ") == F.col(decoded)
+    """Does the decoded text equal the text? A null text is an empty one."""
+    return F.coalesce(F.col(text), F.lit("")) == F.col(decoded)
