@@ -7,6 +7,10 @@ hash ranges are equally full. The documents meet their answers in one shuffle by
 
 The input is read twice and must come in the same batches both times, as a stored table
 does; a batch whose answers do not fit its words stops the job.
+
+Where most words are rare, ``words_by_span``, ``store_answers`` and ``answered_in_place`` ask for the distinct words of
+all batches of some 32 MB together and leave the documents where they are: the answers of
+a span become one file in the shared folder, and the task that reads the span's documents again opens it.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -26,6 +31,7 @@ from lingweave.llm.text import WHITE, Chunk, Hasher, chunks, distinct, input_byt
 
 BATCH_BYTES = 2 << 20
 ARROW_ROWS = "2000"  # rows that Spark hands to Python at once; its own default suits short values
+SPAN_BYTES = 32 << 20  # of text whose distinct words are asked for together
 OWNER_BYTES = 16 << 20  # input per hash range
 
 
@@ -237,3 +243,124 @@ def answered(
 
     both = tagged(df, text, lower, outside, blank).groupBy("_batch").cogroup(answers.withColumnRenamed("batch", "_batch").groupBy("_batch"))
     return both.applyInArrow(run, schema)
+
+
+class Span:
+    """Neighbouring batches of a task: distinct words in order of their hash, and a name by place and contents."""
+
+    def __init__(self, number: int):
+        self.digest = hashlib.blake2b(f"{TaskContext.get().partitionId()}:{number}".encode(), digest_size=8)
+        self.hashes, self.words, self.size = np.zeros(0, np.uint64), [], 0
+        self.batches: list[tuple[pa.RecordBatch, Chunk, np.ndarray, np.ndarray]] = []
+
+    def add(self, part: pa.RecordBatch, chunk: Chunk, adjust: Callable[[Chunk], Chunk], hasher: Hasher, keep: bool) -> None:
+        self.digest.update(chunk.offsets.tobytes())
+        self.digest.update(chunk.data)
+        self.size += len(chunk.data)
+        chunk = adjust(chunk)
+        hashes, first, place = distinct_words(chunk, hasher)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        new = self.hashes[at] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
+        if keep:
+            self.batches.append((part, chunk, hashes, place.astype(np.int32)))
+        else:
+            self.words.append((hashes[new], strings(chunk, first[new])))
+        self.hashes = np.sort(np.concatenate([self.hashes, hashes[new]]), kind="stable")
+
+    @property
+    def key(self) -> int:
+        return int.from_bytes(self.digest.digest(), "little", signed=True)
+
+    def sorted_words(self) -> pa.Array:
+        order = np.argsort(np.concatenate([h for h, _ in self.words]))
+        return pa.concat_arrays([w for _, w in self.words]).take(pa.array(order))
+
+
+def spans(
+    batches: Iterator[pa.RecordBatch], text: str, outside: Sequence[int], adjust: Callable[[Chunk], Chunk], blank: bool, keep: bool = False
+) -> Iterator[Span]:
+    """The spans of a task; ``keep`` holds their rows instead of their words."""
+    table, hasher, number = word_table(outside), Hasher(), 0
+    span = Span(number)
+    for batch in batches:
+        for part, chunk in batches_of(batch, text, table, None, blank):
+            span.add(part, chunk, adjust, hasher, keep)
+            if span.size >= SPAN_BYTES:
+                yield span
+                number += 1
+                span = Span(number)
+    yield span
+
+
+def words_by_span(df: DataFrame, text: str, count: int, outside: Sequence[int] = WHITE, adjust: Callable[[Chunk], Chunk] = lambda c: c, blank: bool = False) -> DataFrame:
+    """``owner, batch, asked`` as :func:`words_by_owner` gives them, for spans of batches; ``times`` counts spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for span in spans(batches, text, outside, adjust, blank):
+            if not len(span.hashes):
+                continue
+            owner = ((span.hashes >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+            cuts = np.searchsorted(owner, np.arange(count + 1))
+            full = np.flatnonzero(np.diff(cuts))
+            whole = pa.table({"words": span.sorted_words(), "times": np.ones(len(owner), np.int64)})
+            asked = [packed(whole.slice(cuts[o], cuts[o + 1] - cuts[o])) for o in full]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int64()), pa.array(np.full(len(full), span.key), pa.int64()), pa.array(asked, pa.binary())], ["owner", "batch", "asked"]
+            )
+
+    return map_arrow(df, run, StructType.fromDDL("owner bigint, batch bigint, asked binary"))
+
+
+def _answer_path(base: str, key: int) -> str:
+    return f"{base}/span-{key & (1 << 64) - 1:016x}"
+
+
+def store_answers(answers: DataFrame, folder: str) -> None:
+    """One file for every span of ``answers``, which are rows of :func:`answer_rows`.
+
+    A file takes its name when it is whole, so a task that runs again leaves the same files.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        files, base = fs.FileSystem.from_uri(folder)
+        path = _answer_path(base, table["batch"][0].as_py())
+        data = packed(pa.concat_tables([unpacked(x) for x in table.sort_by("owner")["answer"]]).combine_chunks())
+        draft = f"{path}.{TaskContext.get().taskAttemptId()}"
+        with files.open_output_stream(draft) as out:
+            out.write(data)
+        files.move(draft, path)
+        return pa.table({"bytes": pa.array([len(data)], pa.int64())})
+
+    answers.groupBy("batch").applyInArrow(run, "bytes bigint").agg({"bytes": "sum"}).collect()
+
+
+def answered_in_place(
+    df: DataFrame,
+    text: str,
+    folder: str,
+    ddl: str,
+    make: Callable[[], Callable],
+    outside: Sequence[int] = WHITE,
+    adjust: Callable[[Chunk], Chunk] = lambda c: c,
+    blank: bool = False,
+) -> DataFrame:
+    """Documents with columns computed from the stored answers of their span; see :func:`answered` for ``make``."""
+    schema = StructType([*[StructField(f.name, f.dataType) for f in df.schema.fields], *StructType.fromDDL(ddl).fields])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, (files, base) = make(), fs.FileSystem.from_uri(folder)
+        for span in spans(batches, text, outside, adjust, blank, keep=True):
+            answers, path = None, _answer_path(base, span.key)
+            if len(span.hashes):
+                if files.get_file_info(path).type != fs.FileType.File:
+                    raise ValueError("a span of documents has no answers: the input changed between two reads; store it first")
+                with files.open_input_stream(path) as stored_answers:
+                    answers = unpacked(pa.scalar(stored_answers.read(), pa.binary()))
+            while span.batches:
+                part, chunk, hashes, place = span.batches.pop(0)
+                own = answers.take(pa.array(np.searchsorted(span.hashes, hashes))).combine_chunks() if len(hashes) else None
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns(chunk, place, own, part)], names)
+            pa.default_memory_pool().release_unused()
+
+    return map_arrow(df, run, schema)

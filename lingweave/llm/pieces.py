@@ -7,7 +7,7 @@ that owns their hash range (see ``exchange``). There, substrings of bounded leng
 exploded and equi-joined to the piece table, the matches are grouped by unit, and a higher-order
 ``aggregate`` folds them, sorted by their end, into the best segmentation (Viterbi with the
 scores stored in the vocabulary). Each unit is segmented once for the whole corpus, its ids go
-back to the batches of documents, and the white space between units is filled in. A character without a
+back to the spans of documents as files, and the white space between units is filled in. A character without a
 piece scores 10 below the lowest piece and becomes its UTF-8 byte pieces.
 
 Decoding joins the bytes of pieces, marks as blanks, and drops the first blank, which gives
@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lingweave.llm import exchange as X
 from lingweave.llm.lattice import MARK, load_pieces
+from lingweave.llm.lines import shared_folder
 from lingweave.llm.text import WHITE, Chunk, add_columns
 from lingweave.session import stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0  # fixed value: a character without a piece scores this much below the lowest piece
-NO_PIECE = "\uffff"  # stands for a literal word mark in the lattice: a noncharacter, in no piece
 HEAD = 3  # characters that bound how long a piece can go on
 SHORT = 256  # characters up to which substrings are cut from the string itself
 
@@ -99,7 +99,7 @@ def edges(units: DataFrame, pieces: list[tuple[str, int, float]], unknown: float
         "no",
         (F.col("start") + F.col("size") - 1).alias("end"),
         (F.col("start") - 1).alias("start"),
-        F.coalesce("id", F.lit(-1)).alias("id"),
+        F.coalesce("id", -1 - F.ascii("piece")).alias("id"),  # a character without a piece is named by its code point
         F.coalesce("score", F.lit(unknown)).alias("score"),
     )
 
@@ -121,16 +121,14 @@ def best_scores(matches: Column) -> Column:
 
 
 def best_path(best: Column) -> Column:
-    """The segmentation as ``array<struct<start,id>>``, followed back from the last end.
+    """Ids of the segmentation, followed back from the last end.
 
     ``best`` must be a stored column: inside a fold an expression would be computed at every step.
     """
-    path = F.struct(F.array().cast("array<struct<start:int,id:int>>").alias("path"), (F.size(best) - 1).alias("at"))
+    path = F.struct(F.array().cast("array<int>").alias("path"), (F.size(best) - 1).alias("at"))
 
     def back(state: Column, node: Column) -> Column:
-        more = F.struct(
-            F.concat(F.array(F.struct(node["start"].alias("start"), node["id"].alias("id"))), state["path"]).alias("path"), node["start"].alias("at")
-        )
+        more = F.struct(F.concat(F.array(node["id"]), state["path"]).alias("path"), node["start"].alias("at"))
         return F.when(node["end"] == state["at"], more).otherwise(state)
 
     ends = F.transform(best, lambda b, i: F.struct(i.alias("end"), b["start"].alias("start"), b["id"].alias("id")))
@@ -140,8 +138,8 @@ def best_path(best: Column) -> Column:
 def segment(units: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``owner, no, path`` of distinct ``owner, no, unit`` rows; stays in the partitions of ``owner``."""
     texts, scores, kinds = load_pieces(vocabulary)
-    if any(NO_PIECE in t for t in texts):
-        raise ValueError(f"a piece of {vocabulary} holds the noncharacter that stands for literal word marks")
+    if any(" " in t for t, k in zip(texts, kinds) if k == "piece"):
+        raise ValueError(f"a piece of {vocabulary} holds a blank, which stands for literal word marks here")
     unknown = min((s for s, k in zip(scores, kinds) if k == "piece"), default=0.0) - UNKNOWN_PENALTY
     found = edges(units, live_pieces(vocabulary), unknown)
     match = F.struct("end", "start", "id", "score")
@@ -150,17 +148,15 @@ def segment(units: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return best.select("owner", "no", best_path(F.col("best")).alias("path"))
 
 
-def path_ids(units: pa.Array, paths: pa.Array, first_byte: int) -> pa.Array:
-    """Piece ids of the units' segmentations; a character without a piece gives its bytes."""
-    steps = paths.flatten()
-    ids, offsets = steps.field("id").to_numpy(zero_copy_only=False), paths.offsets.to_numpy()
+def path_ids(paths: pa.Array, first_byte: int) -> pa.Array:
+    """Piece ids of segmentations; a character without a piece gives its bytes, a blank those of a word mark."""
+    ids, offsets = paths.flatten().to_numpy(zero_copy_only=False), paths.offsets.to_numpy()
     offsets = offsets - offsets[0]
     unknown = np.flatnonzero(ids < 0)
     if not len(unknown):
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-    starts = steps.field("start").to_numpy(zero_copy_only=False)
-    unit = np.searchsorted(offsets, unknown, "right") - 1
-    spelt = {int(i): [b + first_byte for b in units[int(u)].as_py()[starts[i]].encode()] for i, u in zip(unknown, unit)}
+    spell = {int(i): [b + first_byte for b in (MARK if i == -1 - 0x20 else chr(-1 - i)).encode()] for i in np.unique(ids[unknown])}
+    spelt = {int(i): spell[int(ids[i])] for i in unknown}
     size = np.ones(len(ids), np.int64)
     size[unknown] = [len(spelt[int(i)]) for i in unknown]
     ends = np.cumsum(size)
@@ -221,20 +217,21 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, de
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("ids", decoded)])
     count = X.owners(docs) * 4  # a range also holds the lattice of its units, which should not spill
     tasks = max(spark.sparkContext.defaultParallelism * 2, count * 2)
-    sent = X.words_by_owner(docs, text, False, count, outside=outside, adjust=split_at_blanks, blank=True)
+    sent = X.words_by_span(docs, text, count, outside=outside, adjust=split_at_blanks, blank=True)
     owned = stored(X.owned(sent), "pieces-units")
 
     # one exchange by owner; the lattice and the grouping of its edges stay in those partitions
     words = owned.where("batch is null").select("owner", "words").repartition(tasks, "owner")
     units = words.select("owner", F.posexplode("words").alias("no", "word"))
-    segmented = segment(units.select("owner", "no", F.translate("word", " " + MARK, MARK + NO_PIECE).alias("unit")), vocabulary)
+    segmented = segment(units.select("owner", "no", F.translate("word", " " + MARK, MARK + " ").alias("unit")), vocabulary)
 
     def respond(asked: pa.Table, paths: pa.Table) -> pa.Table:
-        known = asked.filter(pc.is_null(asked["batch"]))["words"].combine_chunks().flatten()
-        return X.answer_rows(asked, pa.table({"ids": path_ids(known, paths.sort_by("no")["path"].combine_chunks(), first_byte)}))
+        return X.answer_rows(asked, pa.table({"ids": path_ids(paths.sort_by("no")["path"].combine_chunks(), first_byte)}))
 
     segmented = segmented.select(F.col("owner").alias("_owner"), "no", "path")
-    answers = owned.drop("times").groupBy("owner").cogroup(segmented.groupBy("_owner")).applyInArrow(respond, X.ANSWER)
+    places = owned.where("batch is not null").select("owner", "batch", "place")
+    folder = shared_folder(spark, "pieces-answers")
+    X.store_answers(places.groupBy("owner").cogroup(segmented.groupBy("_owner")).applyInArrow(respond, X.ANSWER), folder)
 
     def make() -> Callable:
         speller = Speller(spelling.value) if decoded else None
@@ -260,7 +257,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, de
 
         return columns
 
-    return X.answered(docs, text, False, answers, added, make, outside=outside, adjust=split_at_blanks, blank=True)
+    return X.answered_in_place(docs, text, folder, added, make, outside=outside, adjust=split_at_blanks, blank=True)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
