@@ -251,7 +251,7 @@ class Span:
     def __init__(self, number: int):
         self.digest = hashlib.blake2b(f"{TaskContext.get().partitionId()}:{number}".encode(), digest_size=8)
         self.hashes, self.words, self.size = np.zeros(0, np.uint64), [], 0
-        self.batches: list[tuple[pa.RecordBatch, Chunk, np.ndarray, np.ndarray]] = []
+        self.batches: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
 
     def add(self, part: pa.RecordBatch, chunk: Chunk, adjust: Callable[[Chunk], Chunk], hasher: Hasher, keep: bool) -> None:
         self.digest.update(chunk.offsets.tobytes())
@@ -262,7 +262,7 @@ class Span:
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
         new = self.hashes[at] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
         if keep:
-            self.batches.append((part, chunk, hashes, place.astype(np.int32)))
+            self.batches.append((part, hashes, place.astype(np.int32)))
         else:
             self.words.append((hashes[new], strings(chunk, first[new])))
         self.hashes = np.sort(np.concatenate([self.hashes, hashes[new]]), kind="stable")
@@ -279,7 +279,7 @@ class Span:
 def spans(
     batches: Iterator[pa.RecordBatch], text: str, outside: Sequence[int], adjust: Callable[[Chunk], Chunk], blank: bool, keep: bool = False
 ) -> Iterator[Span]:
-    """The spans of a task; ``keep`` holds their rows instead of their words."""
+    """The spans of a task; ``keep`` holds their rows and the places of words, but no borders, which take more than the texts."""
     table, hasher, number = word_table(outside), Hasher(), 0
     span = Span(number)
     for batch in batches:
@@ -349,7 +349,7 @@ def answered_in_place(
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns, (files, base) = make(), fs.FileSystem.from_uri(folder)
+        columns, table, (files, base) = make(), word_table(outside), fs.FileSystem.from_uri(folder)
         for span in spans(batches, text, outside, adjust, blank, keep=True):
             answers, path = None, _answer_path(base, span.key)
             if len(span.hashes):
@@ -358,7 +358,9 @@ def answered_in_place(
                 with files.open_input_stream(path) as stored_answers:
                     answers = unpacked(pa.scalar(stored_answers.read(), pa.binary()))
             while span.batches:
-                part, chunk, hashes, place = span.batches.pop(0)
+                part, hashes, place = span.batches.pop(0)
+                texts = text_of(part.column(part.schema.get_field_index(text)), blank)
+                chunk = adjust(next(chunks(texts, table, None, 1 << 40)))
                 own = answers.take(pa.array(np.searchsorted(span.hashes, hashes))).combine_chunks() if len(hashes) else None
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns(chunk, place, own, part)], names)
             pa.default_memory_pool().release_unused()
