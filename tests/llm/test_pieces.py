@@ -168,3 +168,26 @@ def test_changed_input_is_noticed(spark):
     assert [r.n for r in X.answered(words(5), "text", True, answers, "n int", made).collect()] == [5]
     with pytest.raises(Exception, match="store it first"):
         X.answered(words(6), "text", True, answers, "n int", made).collect()
+
+
+def test_spans_give_what_whole_tables_give(spark, edge, monkeypatch):
+    from lingweave.llm import exchange as X
+
+    docs = edge.select("doc_id", "text").unionByName(edge.select("doc_id", "text"))
+    whole = sorted(map(str, pieces.encode(docs).collect()))
+    asked = lambda: X.words_by_span(docs.coalesce(1), "text", 1).count()
+    assert asked() == 1
+    monkeypatch.setattr(X, "SPAN_BYTES", 1)
+    monkeypatch.setattr(X, "BATCH_BYTES", 1)
+    assert asked() > 1
+    assert sorted(map(str, pieces.encode(docs).collect())) == whole
+
+
+def test_missing_answers_are_noticed(spark, edge):
+    from lingweave.llm import exchange as X
+    from lingweave.llm.lines import shared_folder
+
+    empty = shared_folder(spark, "no-answers")
+    make = lambda: lambda chunk, place, answers, rows: [pa.array([0] * rows.num_rows, pa.int32())]
+    with pytest.raises(Exception, match="store it first"):
+        X.answered_in_place(edge.select("doc_id", "text"), "text", empty, "n int", make).collect()
