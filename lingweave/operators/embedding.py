@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -17,6 +18,7 @@ from lingweave.session import stored
 # A vector table above this size is joined to the rows instead of sent to tasks.
 BROADCAST_VECTOR_BYTES = 512 << 20
 BLOCK = 4096
+TILE = 4096  # distinct ids of a side that one group of the join holds
 
 PRF_TYPE = "struct<precision: double, recall: double, f1: double>"
 
@@ -56,7 +58,7 @@ def vector_bytes(vectors: DataFrame) -> int:
 
 
 def with_embedding_prf(
-    df: DataFrame, hyp_ids: str, ref_ids: str, vectors: DataFrame, limit: int = BROADCAST_VECTOR_BYTES
+    df: DataFrame, hyp_ids: str, ref_ids: str, vectors: DataFrame, limit: int = BROADCAST_VECTOR_BYTES, tile: int = TILE
 ) -> DataFrame:
     """Add ``precision, recall, f1``; ids are ``vec_id`` values of ``vectors(vec_id, embedding)``.
 
@@ -69,7 +71,7 @@ def with_embedding_prf(
         return scored.select(*df.columns, "_prf.*")
     # rows need not be unique: each gets a number, which must not change between the two reads
     numbered = stored(df.withColumn("_row", F.monotonically_increasing_id()), "embedding-rows")
-    scores = embedding_prf_by_join(numbered, "_row", hyp_ids, ref_ids, vectors)
+    scores = embedding_prf_by_join(numbered, "_row", hyp_ids, ref_ids, vectors, tile)
     return numbered.join(scores, "_row", "left").drop("_row").fillna(0.0, ["precision", "recall", "f1"])
 
 
@@ -103,28 +105,68 @@ def _lists(lists: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def embedding_prf_by_join(df: DataFrame, row: str, hyp_ids: str, ref_ids: str, vectors: DataFrame) -> DataFrame:
-    """Same scores for vector tables of any size: ``row, precision, recall, f1`` of rows with tokens.
-
-    Distinct ids of each row are joined with the vectors and regrouped per row, so
-    a task holds the vectors of one row at a time. AQE splits hot ids in the join.
+def embedding_prf_by_join(
+    df: DataFrame, row: str, hyp_ids: str, ref_ids: str, vectors: DataFrame, tile: int = TILE
+) -> DataFrame:
+    """Same scores for vector tables and rows of any size: ``row, precision, recall, f1``.
+
+    Distinct ids of each row are joined with the vectors; AQE splits hot ids in the join. A row with
+    more than ``tile`` distinct ids on a side is dealt by hash into tiles, and every pair of a hypothesis
+    and a reference tile is a group of its own, so a task holds about two tiles of vectors however
+    long the row is. The best cosines of a token over all tiles are combined by a partial maximum. Rows that
+    fit one tile are summed up in their group and send two numbers on. ``row`` is unique; rows
+    without a known id on either side are left out.
     """
+    tiles = [F.greatest(F.lit(1), F.ceil(F.size(F.array_distinct(c)) / tile)).cast("int") for c in (hyp_ids, ref_ids)]
     sides = F.array(
         F.struct(F.lit(0).alias("side"), F.col(hyp_ids).alias("ids")),
         F.struct(F.lit(1).alias("side"), F.col(ref_ids).alias("ids")),
     )
-    long = df.select(row, F.explode(sides).alias("_s")).select(row, "_s.side", F.explode("_s.ids").alias("vec_id"))
+    counted = df.select(row, tiles[0].alias("hyp_tiles"), tiles[1].alias("ref_tiles"), F.explode(sides).alias("_s"))
+    long = counted.select(row, "hyp_tiles", "ref_tiles", "_s.side", F.explode("_s.ids").alias("vec_id"))
     weights = long.groupBy(row, "vec_id").agg(
-        F.count_if(F.col("side") == 0).alias("hyp_n"), F.count_if(F.col("side") == 1).alias("ref_n")
+        F.max("hyp_tiles").alias("hyp_tiles"),
+        F.max("ref_tiles").alias("ref_tiles"),
+        F.count_if(F.col("side") == 0).alias("hyp_n"),
+        F.count_if(F.col("side") == 1).alias("ref_n"),
     )
+    own = [F.pmod(F.xxhash64(F.col("vec_id").cast("long")), F.col(t)).cast("int") for t in ("hyp_tiles", "ref_tiles")]
+    place = lambda i, j: F.struct(i.alias("hyp_tile"), j.alias("ref_tile"))
+    along = [
+        F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(t) - 1), f)).otherwise(F.array().cast("array<struct<hyp_tile: int, ref_tile: int>>"))
+        for n, t, f in (("hyp_n", "ref_tiles", lambda k: place(own[0], k)), ("ref_n", "hyp_tiles", lambda k: place(k, own[1])))
+    ]
     found = weights.join(vectors.select("vec_id", "embedding"), "vec_id")
-    schema = T.StructType([df.schema[row], *[T.StructField(c, T.DoubleType()) for c in ("precision", "recall", "f1")]])
+    placed = found.select("*", F.explode(F.array_union(*along)).alias("_p")).select(
+        row, "vec_id", "embedding", "_p.*",
+        (F.col("hyp_tiles") * F.col("ref_tiles") == 1).alias("whole"),
+        F.when(F.col("_p.hyp_tile") == own[0], F.col("hyp_n")).otherwise(0).alias("hyp_n"),
+        F.when(F.col("_p.ref_tile") == own[1], F.col("ref_n")).otherwise(0).alias("ref_n"),
+    )
+    fields = [("side", T.IntegerType()), ("vec_id", T.LongType()), ("n", T.LongType()), ("best", T.DoubleType())]
+    schema = T.StructType([df.schema[row], *[T.StructField(c, t) for c, t in fields]])
 
-    def score(pdf):
+    def best_of_tiles(pdf):
         unit = _unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
-        in_hyp, in_ref = (pdf[c].to_numpy() for c in ("hyp_n", "ref_n"))
-        hyp, ref = (np.repeat(np.arange(len(pdf)), n) for n in (in_hyp, in_ref))
-        p, r, f = _score(hyp, ref, unit)
-        return pdf[[row]].head(1).assign(precision=p, recall=r, f1=f)
-
-    return found.groupBy(row).applyInPandas(score, schema)
+        parts = [pdf["hyp_n"].to_numpy(), pdf["ref_n"].to_numpy()]
+        at = [np.flatnonzero(n) for n in parts]
+        if not len(at[0]) or not len(at[1]):
+            return pd.DataFrame({c: [] for c in schema.names})
+        best = _best(unit[at[0]], unit[at[1]])
+        out = []
+        for side in (0, 1):
+            n, ids = parts[side][at[side]], pd.array(pdf["vec_id"].to_numpy()[at[side]], dtype="Int64")
+            found = best[side]
+            if pdf["whole"].iloc[0]:
+                n, ids, found = [n.sum()], pd.array([None], dtype="Int64"), [found @ n / n.sum()]
+            out.append(pd.DataFrame({"side": side, "vec_id": ids, "n": n, "best": found}))
+        done = pd.concat(out, ignore_index=True)
+        done.insert(0, row, pd.Series([pdf[row].iloc[0]] * len(done), dtype=pdf[row].dtype))
+        return done
+
+    partial = placed.groupBy(row, "hyp_tile", "ref_tile").applyInPandas(best_of_tiles, schema)
+    best = partial.groupBy(row, "side", "vec_id").agg(F.max("n").alias("n"), F.max("best").alias("best"))
+    mean = lambda side: F.sum(F.when(F.col("side") == side, F.col("best") * F.col("n"))) / F.sum(F.when(F.col("side") == side, F.col("n")))
+    scores = best.groupBy(row).agg(mean(0).alias("precision"), mean(1).alias("recall"))
+    p, r = F.col("precision"), F.col("recall")
+    return scores.withColumn("f1", F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(0.0))

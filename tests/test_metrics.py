@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lingweave.functions.ngrams import match_counts
 from lingweave.functions.tokens import tokenize_13a
 from lingweave.operators import metrics as M
-from lingweave.operators.embedding import with_embedding_prf
+from lingweave.operators.embedding import embedding_prf_by_join, with_embedding_prf
 
 
 def frame(spark, rows):
@@ -189,6 +189,33 @@ def test_sparse_and_unknown_vector_ids(spark):
     assert fix(sent) == fix(joined)
 
 
+@pytest.mark.parametrize("tile", [1, 3, 4096])
+def test_rows_in_tiles_equal_whole_rows(spark, vectors, tile):
+    rnd = random.Random(8)
+    rows = [(i, [rnd.randrange(25) for _ in range(rnd.randint(0, 40))], [rnd.randrange(25) for _ in range(rnd.randint(0, 4))]) for i in range(30)]
+    df = spark.createDataFrame([*rows, rows[0], (31, None, [1]), (None, [3], [3])], "row_id long, hyp array<int>, ref array<int>")
+    df = df.select("row_id", F.coalesce("hyp", F.array().cast("array<int>")).alias("hyp"), "ref")
+    sent, tiled = (
+        sorted([tuple(str(x) for x in r[:3]), r[3:]] for r in with_embedding_prf(df, "hyp", "ref", vectors, limit, tile).collect()) for limit in (1 << 20, 0)
+    )
+    assert len(sent) == len(tiled) == 33
+    for (key, whole), (other, parts) in zip(sent, tiled):
+        assert key == other and parts == pytest.approx(whole)
+
+
+def test_a_long_row_never_stands_in_one_group(spark):
+    n, tile = 6000, 500
+    rnd = np.random.default_rng(6)
+    table = rnd.normal(size=(n, 4))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(table)], "vec_id long, embedding array<double>")
+    df = spark.createDataFrame([(1, list(range(n)), list(range(0, n, 2))), (2, [1, 1, 2], [2])], "row_id long, hyp array<int>, ref array<int>")
+    sent, tiled = ({r["row_id"]: r[3:] for r in with_embedding_prf(df, "hyp", "ref", vectors, limit, tile).collect()} for limit in (1 << 30, 0))
+    assert {k: pytest.approx(v) for k, v in sent.items()} == tiled
+    scored = embedding_prf_by_join(df, "row_id", "hyp", "ref", vectors, tile)
+    groups = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "hyp_tile" in groups and "ref_tile" in groups
+
+
 def test_systems_equal_single_scores(spark):
     rows = random_pairs(5, 40)
     df = frame(spark, rows).withColumn("same", F.col("ref"))
