@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lingweave.operators.joins import pending_rows
+from lingweave.session import path_exists
+from lingweave.sources.corpus import append_answers, read_answers
 
 Translator = Callable[[list[str]], list[str]]
 
@@ -62,6 +65,78 @@ def remote_translator(
     return make
 
 
+def patient_translator(
+    make_translator: Callable[[], Translator], attempts: int = 5, wait: float = 1.0, per_second: float | None = None
+) -> Callable[[], Translator]:
+    """A translator that asks again when a call fails, and that keeps a rate per task.
+
+    A failed call is repeated after ``wait`` seconds, then twice as long each time; the last of
+    ``attempts`` failures is raised, and a translator that could not be opened is opened again. ``per_second``
+    bounds the calls of one task, repeated ones included; a whole job makes at most as many
+    times that as it has task slots.
+    """
+    if attempts < 1:
+        raise ValueError("attempts must be 1 or more")
+
+    def make() -> Translator:
+        translator: Translator | None = None
+        free_at = 0.0
+
+        def answer(texts: list[str]) -> list[str]:
+            nonlocal translator, free_at
+            for attempt in range(attempts):
+                if per_second:
+                    time.sleep(max(0.0, free_at - time.monotonic()))
+                    free_at = time.monotonic() + 1 / per_second
+                try:
+                    translator = translator or make_translator()
+                    return translator(texts)
+                except Exception:
+                    if attempt + 1 == attempts:
+                        raise
+                    time.sleep(wait * 2**attempt)
+            raise AssertionError("unreachable")
+
+        return answer
+
+    return make
+
+
+def translate_slices(
+    df: DataFrame,
+    make_translator: Callable[[], Translator],
+    src: str,
+    path: str,
+    slices: int,
+    row: str = "row_id",
+    batch: int = 32,
+) -> DataFrame:
+    """Translate a table slice by slice into an answer log at ``path``; returns ``row_id, line``.
+
+    A slice is the rows whose hashed ``row`` falls to it, whatever order or files they are in. It
+    counts once its folder is whole, so a job that stops pays for the open slice only: a later call with the same
+    ``path`` and number of slices sends no row of a finished one again. Another number of slices is
+    refused. Rows without a text are not answered; nor are rows that are added to a finished slice
+    (use :func:`translate_pending`). Answers are stored by :func:`~lingweave.sources.corpus.append_answers`.
+    """
+    require_columns(df, row, src)
+    spark = df.sparkSession
+    base = path.rstrip("/")
+    name = lambda k: f"slice-{k}-of-{slices}"
+    if path_exists(spark, base):
+        written = spark._jvm.org.apache.hadoop.fs.Path(base)
+        folders = written.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(written)
+        others = [n for f in folders if (n := str(f.getPath().getName())).startswith("run=slice-") and not n.endswith(f"-of-{slices}")]
+        if others:
+            raise ValueError(f"{path} holds slices of another number: {others[0]}")
+    asked = df.where(F.col(src).isNotNull()).withColumn("_slice", F.pmod(F.xxhash64(F.col(row).cast("string")), F.lit(slices)))
+    for k in range(slices):
+        if not path_exists(spark, f"{base}/run={name(k)}/_SUCCESS"):
+            part = translate(asked.where(F.col("_slice") == k), make_translator, src, "_answer", batch)
+            append_answers(part, base, "_answer", row, run=name(k))
+    return read_answers(spark, base, df.schema[row].dataType.simpleString())
+
+
 def translate_text(text: str, make_translator: Callable[[], Translator]) -> str:
     """Translate one string, as an interactive check."""
     return make_translator()([text])[0]

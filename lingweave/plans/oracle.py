@@ -185,6 +185,7 @@ ORACLE["corpus_roundtrip"] = f"WITH {DOCS}, {KEPT} SELECT doc_id, text, lang, so
 
 REVERSED = show(f"list_reverse({toks('hi_en')})")
 ORACLE["translate_batch"] = f"WITH {PAIRS} SELECT row_id, {REVERSED} AS translations FROM pairs"
+ORACLE["translate_slices"] = f"WITH {PAIRS} SELECT row_id, {REVERSED} AS translations FROM pairs WHERE hi_en IS NOT NULL"
 ORACLE["translate_resume"] = f"WITH {PAIRS} SELECT hi_en AS src, {REVERSED} AS translation FROM pairs"
 ORACLE["response_log"] = (
     f"WITH {PAIRS} SELECT row_id, " + strip("replace(en, chr(10), '')") + " AS line FROM pairs"

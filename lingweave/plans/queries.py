@@ -219,6 +219,26 @@ def translate_resume(spark, sf):
     return infer.source_target(back, "hi_en", "preds")
 
 
+@query
+def translate_slices(spark, sf):
+    """Answers in four slices, by a translator that fails on its first call in every task and is asked again."""
+
+    def make() -> infer.Translator:
+        failed = []
+
+        def answer(texts: list[str]) -> list[str]:
+            if not failed:
+                failed.append(1)
+                raise ConnectionError("try again")
+            return [" ".join(reversed(t.split())) for t in texts]
+
+        return answer
+
+    patient = infer.patient_translator(make, wait=0.01)
+    answers = infer.translate_slices(T.pairs(spark, sf), patient, "hi_en", scratch_path(spark, "slices"), 4)
+    return answers.select("row_id", F.col("line").alias("translations"))
+
+
 # ---- projections and cleaning -------------------------------------------------------
 
 

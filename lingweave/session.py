@@ -68,6 +68,12 @@ def stored(df: DataFrame, name: str = "stage", below: str | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, asked of Spark's own file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a stored table through Spark's own file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -163,6 +163,70 @@ def test_a_filter_does_not_call_the_translator_twice(spark, tmp_path):
     assert len(log.read_text().split()) == 9
 
 
+def test_finished_slices_are_not_sent_again(spark, tmp_path):
+    """A translator that dies half-way, then one that works: rows of finished slices are sent once."""
+    calls, path = tmp_path / "calls", str(tmp_path / "log")
+    rows = [(i, f"t{i}" if i % 10 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, hi_en string").repartition(3)
+
+    def translator(dies: bool):
+        def make():
+            def answer(texts):
+                if dies and "t33" in texts:
+                    raise ConnectionError("gone")
+                with open(calls, "a") as f:
+                    f.writelines(f"{t}\n" for t in texts)
+                return [t.upper() for t in texts]
+
+            return answer
+
+        return make
+
+    with pytest.raises(Exception, match="gone"):
+        infer.translate_slices(df, translator(True), "hi_en", path, 4)
+    finished = {int(str(p.parent).split("slice-")[1].split("-")[0]) for p in (tmp_path / "log").glob("run=*/_SUCCESS")}
+    at = {r["hi_en"]: r["k"] for r in df.select("hi_en", F.pmod(F.xxhash64(F.col("row_id").cast("string")), F.lit(4)).alias("k")).collect()}
+    assert at["t33"] not in finished
+    got = infer.translate_slices(df, translator(False), "hi_en", path, 4)
+    assert sorted(map(tuple, got.collect())) == sorted((i, f"T{i}") for i, t in rows if t)
+    before = Counter(calls.read_text().split())
+    assert all(before[t] == 1 for _, t in rows if t and at[t] in finished)
+    again = infer.translate_slices(df, translator(True), "hi_en", path, 4)
+    assert again.count() == 54 and Counter(calls.read_text().split()) == before
+    with pytest.raises(ValueError, match="another number"):
+        infer.translate_slices(df, translator(False), "hi_en", path, 5)
+
+
+def test_slices_of_an_empty_table(spark, tmp_path):
+    df = spark.createDataFrame([], "row_id long, hi_en string")
+    got = infer.translate_slices(df, lambda: lambda ts: ts, "hi_en", str(tmp_path / "log"), 2)
+    assert got.columns == ["row_id", "line"] and got.count() == 0
+
+
+def test_patient_translator(monkeypatch):
+    slept, failures = [], [1, 1, 1]
+    monkeypatch.setattr(infer.time, "sleep", slept.append)
+
+    def make():
+        if failures:
+            failures.pop()
+            raise ConnectionError("closed")
+        return lambda texts: [t.upper() for t in texts]
+
+    assert infer.patient_translator(make, attempts=4, wait=0.5)()(["a"]) == ["A"]
+    assert slept == [0.5, 1.0, 2.0]
+    failures[:] = [1] * 9
+    with pytest.raises(ConnectionError):
+        infer.patient_translator(make, attempts=2)()(["a"])
+    failures.clear()
+    slept.clear()
+    monkeypatch.setattr(infer.time, "monotonic", lambda: 100.0)
+    limited = infer.patient_translator(make, per_second=4)()
+    assert limited(["a"]) == limited(["a"]) == ["A"] and slept == [0.0, 0.25]
+    with pytest.raises(ValueError):
+        infer.patient_translator(make, attempts=0)
+
+
 def test_grouped_function_on_a_hot_group(table, rows):
     got = groups.apply_by_group(
         table.select("source", "row_id"),
