@@ -117,7 +117,7 @@ def translate_slices(
     counts once its folder is whole, so a job that stops pays for the open slice only: a later call with the same
     ``path`` and number of slices sends no row of a finished one again. Another number of slices is
     refused. Rows without a text are not answered; nor are rows that are added to a finished slice
-    (use :func:`translate_pending`). Answers are stored by :func:`~lingweave.sources.corpus.append_answers`.
+    (use :func:`translate_pending`). Every open slice reads ``df`` again, so pass a stored table. Answers are stored by :func:`~lingweave.sources.corpus.append_answers`.
     """
     require_columns(df, row, src)
     spark = df.sparkSession
