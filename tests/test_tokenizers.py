@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lingweave.functions.tokens import byte_characters
 from lingweave.operators import bpe, encode, vocab
 from lingweave.operators.tokenizers import AppendedTokenizer, build_tokenizer
 from lingweave.plans import tables as T
@@ -146,3 +150,25 @@ def one_by_one(counts, most, least):
         found.append(best[1])
         rows = {tuple(bpe._merge_once(r, best[1], bpe.FIRST_MERGE + len(found) - 1)): f for r, f in rows.items()}
     return found
+
+
+def test_ids_and_texts_pass_in_batches_of_some_megabytes(spark, ready):
+    """40 MB of ids in one partition never stand in a task at once; null rows, unknown ids and cut characters as before."""
+    sizes = F.arrow_udf(_batch_bytes, "long")
+    tokenizer = build_tokenizer(spark, base=ready)
+    text = F.concat(F.lit("naïve ok "), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" né ")), 1000))
+    rows = tokenizer.encoded(spark.range(0, 2000, 1, 1).select("id", text.alias("text")), "text", "ids")
+    assert rows.agg(F.max(sizes("ids"))).first()[0] < 10_000_000
+    back = encode.decode_ids(rows, "ids", tokenizer)
+    assert back.where(F.col("text") != text).count() == 0
+    odd = [(0, [4, 3, 60_000, -7, 4 + ready[0].rank]), (1, None), (2, []), (3, [ready[0].left, 194, 4])]
+    got = tokenizer.decoded(spark.createDataFrame(odd, "i int, ids array<int>").coalesce(1), "ids", "text").orderBy("i").collect()
+    texts = [bytes([b]) for b in range(256)]
+    order = sorted(range(256), key=lambda b: byte_characters()[b])
+    one = lambda ids: b"".join(texts[order[i - 4]] for i in ids if 4 <= i < 260).decode("utf-8", "replace")
+    assert [r.text for r in got] == [None if ids is None else one(ids) for _, ids in odd]
+
+
+def _batch_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([batch.nbytes] * len(batch), pa.int64())
