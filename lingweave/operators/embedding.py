@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lingweave.session import stored
+from lingweave.session import small_batches, stored
 
 # A vector table above this size is joined to the rows instead of sent to tasks.
 BROADCAST_VECTOR_BYTES = 512 << 20
@@ -35,13 +35,27 @@ def _best(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best_a, best_b
 
 
+def _best_known(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_best`, for unit vectors with their ids in order: an id on both sides has its best cosine with itself.
+
+    So only the ids that one side lacks are compared with the whole other side.
+    """
+    own_a, own_b = (np.einsum("ij,ij->i", x, x) for x in (a, b))
+    if not (np.isfinite(own_a).all() and np.isfinite(own_b).all()):
+        return _best(a, b)
+    rest_a, rest_b = (np.flatnonzero(~np.isin(x, y, assume_unique=True)) for x, y in ((a_ids, b_ids), (b_ids, a_ids)))
+    own_a[rest_a] = _best(a[rest_a], b)[0]
+    own_b[rest_b] = _best(b[rest_b], a)[0]
+    return own_a, own_b
+
+
 def _score(hyp: np.ndarray, ref: np.ndarray, vectors: np.ndarray) -> tuple[float, float, float]:
-    """Match distinct tokens only and weigh them by their count."""
+    """Match distinct tokens only and weigh them by their count; ids are places in ``vectors``."""
     if not len(hyp) or not len(ref):
         return 0.0, 0.0, 0.0
     hyp_ids, hyp_n = np.unique(hyp, return_counts=True)
     ref_ids, ref_n = np.unique(ref, return_counts=True)
-    best_hyp, best_ref = _best(vectors[hyp_ids], vectors[ref_ids])
+    best_hyp, best_ref = _best_known(_unit(vectors[hyp_ids].astype(np.float64)), _unit(vectors[ref_ids].astype(np.float64)), hyp_ids, ref_ids)
     p = float(best_hyp @ hyp_n / hyp_n.sum())
     r = float(best_ref @ ref_n / ref_n.sum())
     return p, r, (2 * p * r / (p + r) if p + r else 0.0)
@@ -66,6 +80,7 @@ def with_embedding_prf(
     grow with the corpus. A table up to ``limit`` bytes goes to the tasks, a larger one is
     joined, with equal scores.
     """
+    small_batches(df.sparkSession)
     if vector_bytes(vectors) <= limit:
         scored = df.withColumn("_prf", embedding_prf(F.col(hyp_ids), F.col(ref_ids), vectors))
         return scored.select(*df.columns, "_prf.*")
@@ -85,14 +100,13 @@ def embedding_prf(hyp_ids: Column, ref_ids: Column, vectors: DataFrame) -> Colum
     @F.arrow_udf(PRF_TYPE)
     def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         ids, flat = shared.value
-        table = _unit(flat.astype(np.float64))
 
         def places(wanted: np.ndarray) -> np.ndarray:
             at = np.minimum(np.searchsorted(ids, wanted), max(len(ids) - 1, 0))
             return at[ids[at] == wanted] if len(ids) else at[:0]
 
         for hyp, ref in batches:
-            rows = [_score(places(h), places(r), table) for h, r in zip(_lists(hyp), _lists(ref))]
+            rows = [_score(places(h), places(r), flat) for h, r in zip(_lists(hyp), _lists(ref))]
             p, r, f = (pa.array([row[k] for row in rows], pa.float64()) for k in range(3))
             yield pa.StructArray.from_arrays([p, r, f], ["precision", "recall", "f1"])
 

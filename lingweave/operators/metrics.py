@@ -18,6 +18,7 @@ from lingweave.functions.tokens import tokenize_13a
 from lingweave.functions.whitespace import drop_whitespace
 from lingweave.operators.embedding import with_embedding_prf
 from lingweave.operators.infer import require_columns
+from lingweave.session import small_batches
 
 WORD_ORDER = 4
 CHAR_ORDER = 6
@@ -28,6 +29,7 @@ PRF = ["precision", "recall", "f1"]
 
 
 def _expand(df: DataFrame, stats: Column) -> DataFrame:
+    small_batches(df.sparkSession)
     return df.withColumn("_stats", stats).select(*df.columns, "_stats.*")
 
 
@@ -145,6 +147,7 @@ def compare_systems(df: DataFrame, systems: Sequence[str], ref: str, by: str = "
     A reference is prepared once for all systems; only counts are spread into rows.
     """
     require_columns(df, *systems, ref, by)
+    small_batches(df.sparkSession)
     stats = df.select(by, *[pair_stats(s, ref).alias(s) for s in systems])
     rows = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), F.col(s).alias("_stats")) for s in systems]))
     long = counted(stats.select(by, rows.alias("_row")).select("_row.system", by, "_row._stats.*"))
@@ -168,6 +171,7 @@ def report(
     one; pass the same column twice to score one hypothesis.
     """
     require_columns(df, forced, generated, ref, generated_ids, ref_ids, by)
+    small_batches(df.sparkSession)
     df = with_embedding_prf(df, generated_ids, ref_ids, vectors)
     stats = counted(df.select(by, *PRF, pair_stats(forced, ref).alias("_stats")).select(by, *PRF, "_stats.*"))
     scored = stats.rollup(by).agg(*sums(BLEU), *sums(CHRF), *[F.avg(c).alias(c) for c in PRF])

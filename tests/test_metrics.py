@@ -6,14 +6,16 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lingweave.functions.ngrams import match_counts
 from lingweave.functions.tokens import tokenize_13a
-from lingweave.operators import metrics as M
+from lingweave.operators import embedding, metrics as M
 from lingweave.operators.embedding import embedding_prf_by_join, with_embedding_prf
 
 
@@ -236,3 +238,39 @@ def test_report_has_groups_and_overall(spark, vectors):
     got = {r["source"]: r for r in M.report(df, "forced", "hyp", "ref", "hyp_ids", "ref_ids", vectors).collect()}
     assert set(got) == {"hot", "s1", "s2", None}
     assert got[None]["bleu"] == pytest.approx(100) and got[None]["f1"] == pytest.approx(1)
+
+
+def test_shared_ids_are_not_compared(spark, monkeypatch):
+    """An id on both sides matches itself; zero vectors and texts without a shared id score as before."""
+    rng = np.random.default_rng(5)
+    table = rng.normal(size=(40, 8))
+    table[7] = 0
+    pairs = [(rng.integers(0, 40, n), rng.integers(0, 40, m)) for n, m in ((30, 50), (1, 9), (20, 20))] + [(np.arange(40), np.arange(40)), (np.array([7]), np.array([7, 7, 3])), (np.arange(5), np.arange(9, 20))]
+    seen = []
+
+    def counted(a, b, best=embedding._best):
+        seen.append(len(a) * len(b))
+        return best(a, b)
+
+    monkeypatch.setattr(embedding, "_best", counted)
+    got = [embedding._score(h, r, table) for h, r in pairs]
+    unit = embedding._unit(table)
+    for (h, r), (p, q, _) in zip(pairs, got):
+        cosine = unit[h] @ unit[r].T
+        assert (p, q) == (pytest.approx(cosine.max(axis=1).mean()), pytest.approx(cosine.max(axis=0).mean()))
+    seen.clear()
+    embedding._score(np.arange(40), np.arange(39), table)
+    assert sum(seen) == 39
+
+
+def test_scores_take_texts_in_batches_of_some_megabytes(spark):
+    sizes = F.arrow_udf(_batch_bytes, "long")
+    rows = spark.range(0, 1500, 1, 1).select(F.lit("s").alias("source"), F.repeat(F.lit("some text "), 1000).alias("hyp"), F.repeat(F.lit("some "), 2000).alias("ref"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert M.plain_bleu(rows, "hyp", "ref", "source").count() == 1
+    assert rows.agg(F.max(sizes("hyp"))).first()[0] < 6_000_000
+
+
+def _batch_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([batch.nbytes] * len(batch), pa.int64())
