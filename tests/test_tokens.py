@@ -6,6 +6,7 @@ import json
 import os
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import ByteLevelBPETokenizer, pre_tokenizers
@@ -367,3 +368,15 @@ def test_counts(spark, texts):
     chars = {r[0] for r in vocab.char_vocab(texts, F.col("text")).collect()}
     assert chars == set("".join(SENTENCES))
     assert indexing.split_stats(texts.withColumn("split", F.lit("t"))).first()["batches"] == 1
+
+
+def test_lookup_takes_tokens_in_batches_of_some_megabytes(spark, lookup):
+    @F.arrow_udf("long")
+    def sizes(words: pa.Array) -> pa.Array:
+        return pa.array([words.nbytes] * len(words), pa.int64())
+
+    rows = spark.range(0, 1500, 1, 1).select(F.repeat(F.lit("some words "), 1000).alias("text"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    encoded = lookup.encoded(rows, "text", "ids")
+    assert encoded.agg(F.max(sizes(ws_tokens(F.col("text"))))).first()[0] < 6_000_000
+    assert encoded.agg(F.sum(F.size("ids"))).first()[0] == 3_000_000
