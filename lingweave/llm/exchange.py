@@ -88,10 +88,10 @@ def text_of(column: pa.Array, blank: bool) -> pa.Array:
     return pc.if_else(pc.equal(column, ""), column, pc.binary_join_element_wise(" ", column, ""))
 
 
-def batches_of(rows: pa.RecordBatch, text: str, table: np.ndarray, lower: np.ndarray | None, blank: bool) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
+def batches_of(rows: pa.RecordBatch, text: str, table: np.ndarray, lower: np.ndarray | None, blank: bool, most: int) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
     """Some whole texts at a time, as rows and as a chunk."""
     column = rows.column(rows.schema.get_field_index(text))
-    for first, _, offsets in text_blocks(column, BATCH_BYTES):
+    for first, _, offsets in text_blocks(column, most):
         part = rows.slice(first, len(offsets) - 1)
         yield part, next(chunks(text_of(column.slice(first, len(offsets) - 1), blank), table, lower, 1 << 40))
 
@@ -102,7 +102,7 @@ def tagged(df: DataFrame, text: str, lower: bool, outside: Sequence[int] = WHITE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, low, number = word_table(outside), lower_table() if lower else None, 0
         for batch in batches:
-            for part, chunk in batches_of(batch, text, table, low, blank):
+            for part, chunk in batches_of(batch, text, table, low, blank, BATCH_BYTES):
                 docs = packed(part)
                 key = batch_key(chunk, number)
                 number += 1
@@ -130,7 +130,7 @@ def words_by_owner(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, low, number, hasher = word_table(outside), lower_table() if lower else None, 0, Hasher()
         for batch in batches:
-            for part, chunk in batches_of(batch, text, table, low, blank):
+            for part, chunk in batches_of(batch, text, table, low, blank, BATCH_BYTES):
                 key = batch_key(chunk, number)
                 number += 1
                 chunk = adjust(chunk)
@@ -188,7 +188,7 @@ def answer_rows(table: pa.Table, answers: pa.Table) -> pa.Table:
     """``batch, owner, answer`` for the batches of a range, from one answer per distinct word."""
     asked = table.filter(pc.is_valid(table["batch"])).combine_chunks()
     packs = [packed(answers.take(unpacked(p)["place"])) for p in asked["place"]]
-    return pa.table({"batch": asked["batch"], "owner": asked["owner"], "answer": pa.array(packs, pa.binary())})
+    return pa.table({"batch": asked["batch"], "owner": asked["owner"].cast(pa.int64()), "answer": pa.array(packs, pa.binary())})
 
 
 ANSWER = "batch bigint, owner bigint, answer binary"
@@ -281,9 +281,10 @@ def spans(
 ) -> Iterator[Span]:
     """The spans of a task; ``keep`` holds their rows and the places of words, but no borders, which take more than the texts."""
     table, hasher, number = word_table(outside), Hasher(), 0
+    most = max(1, BATCH_BYTES // 2)  # words are asked for by span, so smaller batches cost no shuffle
     span = Span(number)
     for batch in batches:
-        for part, chunk in batches_of(batch, text, table, None, blank):
+        for part, chunk in batches_of(batch, text, table, None, blank, most):
             span.add(part, chunk, adjust, hasher, keep)
             if span.size >= SPAN_BYTES:
                 yield span

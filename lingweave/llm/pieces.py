@@ -148,6 +148,11 @@ def segment(units: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return best.select("owner", "no", best_path(F.col("best")).alias("path"))
 
 
+def by_owner(rows: DataFrame, count: int) -> DataFrame:
+    """The rows of every ``owner`` from 0 to ``count`` in a partition of their own."""
+    return rows.withColumn("owner", F.col("owner").cast("int")).repartitionById(count, "owner")
+
+
 def path_ids(paths: pa.Array, first_byte: int) -> pa.Array:
     """Piece ids of segmentations; a character without a piece gives its bytes, a blank those of a word mark."""
     ids, offsets = paths.flatten().to_numpy(zero_copy_only=False), paths.offsets.to_numpy()
@@ -216,12 +221,11 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, de
     spelling = spark.sparkContext.broadcast(Speller.spelling(vocabulary)) if decoded else None
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("ids", decoded)])
     count = X.owners(docs) * 4  # a range also holds the lattice of its units, which should not spill
-    tasks = max(spark.sparkContext.defaultParallelism * 2, count * 2)
     sent = X.words_by_span(docs, text, count, outside=outside, adjust=split_at_blanks, blank=True)
     owned = stored(X.owned(sent), "pieces-units")
 
-    # one exchange by owner; the lattice and the grouping of its edges stay in those partitions
-    words = owned.where("batch is null").select("owner", "words").repartition(tasks, "owner")
+    # one exchange, a task for every owner: hashed, some tasks would sort the edges of four; the lattice and the grouping of its edges stay there
+    words = by_owner(owned.where("batch is null").select("owner", "words"), count)
     units = words.select("owner", F.posexplode("words").alias("no", "word"))
     segmented = segment(units.select("owner", "no", F.translate("word", " " + MARK, MARK + " ").alias("unit")), vocabulary)
 
@@ -229,7 +233,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, de
         return X.answer_rows(asked, pa.table({"ids": path_ids(paths.sort_by("no")["path"].combine_chunks(), first_byte)}))
 
     segmented = segmented.select(F.col("owner").alias("_owner"), "no", "path")
-    places = owned.where("batch is not null").select("owner", "batch", "place")
+    places = by_owner(owned.where("batch is not null").select("owner", "batch", "place"), count)
     folder = shared_folder(spark, "pieces-answers")
     X.store_answers(places.groupBy("owner").cogroup(segmented.groupBy("_owner")).applyInArrow(respond, X.ANSWER), folder)
 

@@ -69,6 +69,20 @@ def test_long_and_odd_units(spark, nothing):
     assert pieces.encode(nothing).count() == 0
 
 
+def test_a_task_sorts_the_edges_of_one_owner(spark, monkeypatch):
+    held, segment = [], pieces.segment
+
+    def counted(units, *args):
+        held.extend(r["n"] for r in units.groupBy(F.spark_partition_id()).agg(F.countDistinct("owner").alias("n")).collect())
+        return segment(units, *args)
+
+    monkeypatch.setattr(pieces, "segment", counted)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(40)], "doc_id long, text string")
+    rows = pieces.encode(docs, decoded="decoded").collect()
+    assert len(held) > 8 and set(held) == {1}
+    assert len(rows) == 40 and all(r.decoded == r.text for r in rows)
+
+
 def test_encode_replaces_clashing_columns(edge):
     got = pieces.encode(edge.withColumn("ids", F.lit("old")))
     assert dict(got.dtypes)["ids"] == "array<int>" and set(edge.columns) < set(got.columns)
