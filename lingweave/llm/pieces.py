@@ -30,12 +30,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lingweave.llm import exchange as X
 from lingweave.llm.lattice import MARK, load_pieces
 from lingweave.llm.lines import shared_folder
-from lingweave.llm.text import WHITE, Chunk, add_columns
+from lingweave.llm.text import WHITE, Chunk, add_columns, input_bytes
 from lingweave.session import stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0  # fixed value: a character without a piece scores this much below the lowest piece
 HEAD = 3  # characters that bound how long a piece can go on
+UNIT_BYTES = 1 << 20  # input per hash range, up to MOST_SMALL of them; distinct units grow slower than the text, so larger inputs need no more
+MOST_SMALL = 256
 SHORT = 256  # characters up to which substrings are cut from the string itself
 
 ADDED = "ids array<int>"
@@ -153,6 +155,11 @@ def by_owner(rows: DataFrame, count: int) -> DataFrame:
     return rows.withColumn("owner", F.col("owner").cast("int")).repartitionById(count, "owner")
 
 
+def ranges(docs: DataFrame) -> int:
+    """Number of hash ranges; one also holds the lattice of its units, which should neither spill nor fill the executor."""
+    return max(X.owners(docs) * 4, min(MOST_SMALL, (input_bytes(docs) or 0) // UNIT_BYTES))
+
+
 def path_ids(paths: pa.Array, first_byte: int) -> pa.Array:
     """Piece ids of segmentations; a character without a piece gives its bytes, a blank those of a word mark."""
     ids, offsets = paths.flatten().to_numpy(zero_copy_only=False), paths.offsets.to_numpy()
@@ -220,7 +227,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, de
     added = ADDED + (f", `{decoded}` string" if decoded else "")
     spelling = spark.sparkContext.broadcast(Speller.spelling(vocabulary)) if decoded else None
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("ids", decoded)])
-    count = X.owners(docs) * 4  # a range also holds the lattice of its units, which should not spill
+    count = ranges(docs)
     sent = X.words_by_span(docs, text, count, outside=outside, adjust=split_at_blanks, blank=True)
     owned = stored(X.owned(sent), "pieces-units")
 

@@ -83,6 +83,16 @@ def test_a_task_sorts_the_edges_of_one_owner(spark, monkeypatch):
     assert len(rows) == 40 and all(r.decoded == r.text for r in rows)
 
 
+def test_hash_ranges_grow_before_the_first_gigabyte(edge, monkeypatch):
+    sizes = (1 << 20, 200 << 20, 6 << 30)
+    found = []
+    for size in sizes:
+        monkeypatch.setattr(pieces, "input_bytes", lambda df: size)
+        monkeypatch.setattr(pieces.X, "input_bytes", lambda df: size)
+        found.append(pieces.ranges(edge))
+    assert found == [64, 200, 1536]
+
+
 def test_encode_replaces_clashing_columns(edge):
     got = pieces.encode(edge.withColumn("ids", F.lit("old")))
     assert dict(got.dtypes)["ids"] == "array<int>" and set(edge.columns) < set(got.columns)
