@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import ByteLevelBPETokenizer, Tokenizer
 
 import __spark_entry__ as entry
 from lingweave.functions import arrays as A
+from lingweave.operators import bpe
 from lingweave.operators.bpe import FIRST_BYTE
 from lingweave.plans import queries as Q, tables as T
 
@@ -106,3 +110,22 @@ def test_appended_tokens_equal_the_library(spark, sf):
         own = [i + FIRST_BYTE if i < 50_256 else i - first + mask + 1 for i in ids]
         assert (r.n_tokens, r.n_added) == (len(own), sum(i > mask for i in own))
         assert r.ids == hashlib.md5(",".join(map(str, own)).encode()).hexdigest()
+
+
+def test_words_are_merged_many_at_once(spark, monkeypatch):
+    draw = random.Random(3)
+    merges: list[bpe.Merge] = []
+    for rank in range(60):
+        merges.append(bpe.Merge(rank, *(draw.choice([5, 6, 7, *[m.merged for m in merges]]) for _ in range(2))))
+    ranks = bpe._ranks(merges)
+    words = [[draw.randrange(5, 8) for _ in range(draw.randrange(24))] for _ in range(500)] + [[5] * 7, [6, 6, 6], [], [5, 6] * 200, [7] * 65]
+    expected = [bpe._apply(word, ranks) for word in words]
+    alone = []
+    monkeypatch.setattr(bpe, "_apply", lambda word, ranks, apply=bpe._apply: alone.append(len(word)) or apply(word, ranks))
+    ids, sizes = np.array([x for w in words for x in w], np.int64), np.array(list(map(len, words)))
+    merged, after = bpe.merge_words(ids, sizes, *bpe._rank_table(ranks))
+    assert [w.tolist() for w in np.split(merged, np.cumsum(after)[:-1])] == expected and not alone
+    monkeypatch.undo()
+    rows = [(i, "".join(map(bpe.symbol, w))) for i, w in enumerate(words)] + [(len(words), None)]
+    got = spark.createDataFrame(rows, "i int, symbols string").select("i", bpe.replay(F.col("symbols"), merges, spark).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == ["".join(map(bpe.symbol, w)) for w in expected] + [None]
