@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lingweave.functions import arrays as A
 from lingweave.operators.infer import require_columns
@@ -49,12 +49,29 @@ def encode_windows(
 
     A text without tokens is one window of borders and pads.
     """
-    size = max_length - 2
     whole = tokenizer.encoded(df, text, "_ids").drop(text)
-    last = F.greatest(F.ceil(F.size("_ids") / size) - 1, F.lit(0))
-    rows = whole.withColumn(window, F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    cut = F.slice("_ids", (F.col(window) * size + 1).cast("int"), F.lit(size))
-    return _padded(rows.withColumn("_framed", A.frame(cut)).drop("_ids"), ids, None, max_length, True)
+    return cut_windows(whole, "_ids", ids, window, max_length)
+
+
+def window_count(ids: Column, max_length: int = A.MAX_LENGTH) -> Column:
+    """Windows of a whole text's ids, one at least."""
+    return F.greatest(F.ceil(F.size(ids) / (max_length - 2)), F.lit(1)).cast("long")
+
+
+def cut_windows(
+    df: DataFrame, whole: str, ids: str = "input_ids", window: str = "part", max_length: int = A.MAX_LENGTH
+) -> DataFrame:
+    """Windows of :func:`encode_windows` from the ``whole`` ids of a text, which they replace."""
+    size = max_length - 2
+
+    def cut(part: Column) -> Column:
+        run = F.slice(whole, (part * size + 1).cast("int"), F.lit(size))
+        return F.struct(part.alias(window), run.alias("_cut"))
+
+    # a window carries its own ids only, so a text's cost does not grow with the square of its length
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), window_count(F.col(whole), max_length) - 1), cut)
+    rows = df.select(*[c for c in df.columns if c != whole], F.inline(parts))
+    return _padded(rows.withColumn("_framed", A.frame(F.col("_cut"))).drop("_cut"), ids, None, max_length, True)
 
 
 def encode_pairs(df: DataFrame, src: str, tgt: str, source: Tokenizer, target: Tokenizer) -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from tokenizers import ByteLevelBPETokenizer, pre_tokenizers
 
 from lingweave.functions import arrays as A
+from lingweave.functions.rng import drawn, uniform
 from lingweave.functions.tokens import pretokenize
 from lingweave.functions.whitespace import ws_tokens
 from lingweave.operators import bpe, denoise, encode, indexing, vocab
-from lingweave.plans import tables as T
+from lingweave.plans import queries, tables as T
 from lingweave.session import shared_dir
 
 SENTENCES = [
@@ -352,6 +353,61 @@ def test_mixed_task_is_fixed_per_batch(encoded):
     assert len({r["row_id"] for r in rows}) == 2000
 
 
+def test_mixed_task_equals_the_single_tasks(encoded):
+    for noise in (NOISE, denoise.Noise([0, 1, 2, 3, 99], 99, group_mask=False)):
+        columns = ["row_id", "denoised", "mask", "mask_labels"]
+        single = {
+            "mask": denoise.mask_tokens(encoded, "ids", "row_id", "batch_id", noise),
+            "permute": denoise.permute_tokens(encoded, "ids", "row_id", noise),
+        }
+        expected = {(task, r["row_id"]): r for task, df in single.items() for r in df.select(columns).collect()}
+        for r in denoise.denoise_mixed(encoded, "ids", "row_id", "batch_id", noise).collect():
+            assert all(r[c] == expected[r["task"], r["row_id"]][c] for c in columns)
+
+
+def test_drawn_equals_the_uniform_number(spark):
+    df = spark.range(3000).withColumn("u", uniform(7, "t", F.col("id")))
+    for p in (-1.0, 0.0, 0.15, 1 / 3, 0.5, 1 - 2**-40, 1.0, 2.0):
+        assert df.where(drawn(7, "t", p, F.col("id")) != (F.col("u") < p)).count() == 0
+    edge = df.first()["u"]
+    assert df.where(drawn(7, "t", edge, F.col("id")) != (F.col("u") < edge)).count() == 0
+
+
+def test_noise_input_reads_and_cleans_every_text_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    words = [" ".join(f"w{(i * k) % 41}" for k in range(i)) for i in range(60)]
+    rows = [(i, words[i] or None, "train" if i % 3 else "test") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, split string")
+    monkeypatch.setattr(queries.T, "docs", lambda *_: table.withColumn("text", counted("text")))
+    got, noise = queries._noise_input(spark, "")
+    assert got.count() == sum(max(1, -(-len(w.split()) // 28)) for w in words)
+    assert noise.special_ids[:4] == [0, 1, 2, 3] and noise.mask_id == noise.special_ids[4]
+    assert seen.value == len(rows)
+
+
+def test_noise_windows_of_repeated_and_missing_keys(spark, lookup):
+    """Windows of equal key and part share their places, each with every one; rows without key keep theirs but are not returned."""
+    sizes = [(5, 0), (None, 30), (3, 57), (3, 29), (3, 57), (9, 28), (1, 1)]
+    docs = spark.createDataFrame([(k, " ".join(["kal"] * n)) for k, n in sizes] + [(k, "ki " * 70) for k in range(20, 60)], "doc_id long, text string")
+    rows, _ = queries._noise_windows(docs, lookup)
+    got = Counter((r["doc_id"], r["part"], r["batch_id"], tuple(r["input_ids"])) for r in rows.collect())
+    windows = encode.encode_windows(docs, "text", lookup).collect()
+    places = {}
+    for i, (k, part) in enumerate(sorted((-1 if r["doc_id"] is None else r["doc_id"], r["part"]) for r in windows)):
+        places.setdefault((k, part), []).append(i // 32)
+    expected = Counter(
+        (r["doc_id"], r["part"], b, tuple(r["input_ids"]))
+        for r in windows if r["doc_id"] is not None for b in places[r["doc_id"], r["part"]]
+    )
+    assert got == expected and len({k[2] for k in got}) > 3
+
+
 def test_noise_off(encoded):
     for rows in (
         denoise.mask_tokens(encoded, "ids", "row_id", "batch_id", NOISE, enabled=False),
