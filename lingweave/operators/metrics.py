@@ -51,11 +51,10 @@ def with_chrf_stats(df: DataFrame, hyp: str, ref: str) -> DataFrame:
     return counted(_expand(df, ngram_stats(*bare, CHAR_ORDER, False, "chrf")))
 
 
-def pair_stats(hyp: str, ref: str) -> Column:
-    """Struct of the BLEU and chrF counts of a pair, from one Arrow step; see :func:`counted`."""
-    words = tuple(tokenize_13a(F.col(c)) for c in (hyp, ref))
-    bare = tuple(drop_whitespace(F.col(c)) for c in (hyp, ref))
-    return word_and_character_stats(words, bare, (WORD_ORDER, CHAR_ORDER), ("bleu", "chrf"))
+def pair_stats(hyps: Sequence[str], ref: str) -> Column:
+    """Struct ``h0, h1, ...`` of the BLEU and chrF counts of each hypothesis, from one Arrow step; see :func:`counted`."""
+    first, *others = (F.col(c).cast("string") for c in (ref, *hyps))
+    return word_and_character_stats(first, others, (WORD_ORDER, CHAR_ORDER), ("bleu", "chrf"))
 
 
 def counted(df: DataFrame) -> DataFrame:
@@ -148,8 +147,8 @@ def compare_systems(df: DataFrame, systems: Sequence[str], ref: str, by: str = "
     """
     require_columns(df, *systems, ref, by)
     small_batches(df.sparkSession)
-    stats = df.select(by, *[pair_stats(s, ref).alias(s) for s in systems])
-    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), F.col(s).alias("_stats")) for s in systems]))
+    stats = df.select(by, pair_stats(systems, ref).alias("_all"))
+    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), F.col(f"_all.h{k}").alias("_stats")) for k, s in enumerate(systems)]))
     long = counted(stats.select(by, rows.alias("_row")).select("_row.system", by, "_row._stats.*"))
     scored = long.groupBy("system", by).agg(*sums(BLEU), *sums(CHRF))
     return scored.select("system", by, bleu_score().alias("bleu"), chrf_score().alias("chrf"))
@@ -173,6 +172,6 @@ def report(
     require_columns(df, forced, generated, ref, generated_ids, ref_ids, by)
     small_batches(df.sparkSession)
     df = with_embedding_prf(df, generated_ids, ref_ids, vectors)
-    stats = counted(df.select(by, *PRF, pair_stats(forced, ref).alias("_stats")).select(by, *PRF, "_stats.*"))
+    stats = counted(df.select(by, *PRF, pair_stats([forced], ref).alias("_all")).select(by, *PRF, "_all.h0.*"))
     scored = stats.rollup(by).agg(*sums(BLEU), *sums(CHRF), *[F.avg(c).alias(c) for c in PRF])
     return scored.select(by, bleu_score().alias("bleu"), chrf_score().alias("chrf"), *PRF)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lingweave.functions.ngrams import match_counts
+from lingweave.functions.ngrams import clipped_matches, match_counts, text_counts
 from lingweave.functions.tokens import tokenize_13a
 from lingweave.operators import embedding, metrics as M
 from lingweave.operators.embedding import embedding_prf_by_join, with_embedding_prf
@@ -274,3 +274,51 @@ def test_scores_take_texts_in_batches_of_some_megabytes(spark):
 def _batch_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         yield pa.array([batch.nbytes] * len(batch), pa.int64())
+
+
+def flat(pairs, split, order):
+    return [x for m in counts(pairs, split, order) for x in m]
+
+
+def expected_counts(columns):
+    ref, *hyps = columns
+    bare = lambda t: "".join(t.split())
+    return [[flat([p], words_13a, 4) + flat([p], bare, 6) for p in zip(hyp, ref)] for hyp in hyps]
+
+
+@pytest.mark.parametrize("alphabet", ["a1.,- ", "ab1 .,-/&;<>$\n\té😀", ["a", "<skipped>", "-\n", "&amp;", "&lt;", "quot;", "&", " ", "1", ".", "-"], [chr(c) for c in range(0x4E00, 0x5A00)]])
+def test_counts_of_all_hypotheses_equal_brute_force(alphabet):
+    rnd = random.Random(4)
+    text = lambda: "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 25)))
+    ref = ["", "a", "1..5", "a..5", "1...5,", "2-3--4", "\u3000", *(text() for _ in range(150))]
+    hyps = [["".join(c for c in t if rnd.random() > 0.1) for t in ref], [text() for _ in ref], ref]
+    assert text_counts([ref, *hyps], (4, 6)).tolist() == expected_counts([ref, *hyps])
+
+
+@pytest.mark.parametrize("sides, rows, size, letters, order", [(2, 3, 400, 2, 6), (3, 300, 40, 30_000, 4), (2, 1, 3000, 1 << 31, 3), (5, 2, 5000, 3, 2)])
+def test_matches_of_many_units_and_long_texts(sides, rows, size, letters, order):
+    """Units too many for one number, and texts too long for counts of all sides in one."""
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(0, size, sides * rows)
+    sizes[0] = size
+    codes = np.concatenate([rng.integers(0, min(letters, 200), n) * (letters // min(letters, 200)) for n in sizes])
+    texts = np.split(codes, np.cumsum(sizes)[:-1])
+    got = clipped_matches(codes, sizes, sides, order)
+    for side in range(1, sides):
+        for row in range(rows):
+            a, b = texts[side * rows + row].tolist(), texts[row].tolist()
+            assert got[side - 1, row].tolist() == [sum((grams(a, n) & grams(b, n)).values()) for n in range(1, order + 1)]
+
+
+def test_systems_are_compared_in_one_step(spark):
+    """The reference goes to Python once for all systems, and its words are cut there instead of by regexes."""
+    df = frame(spark, random_pairs(6, 30)).withColumn("same", F.col("ref"))
+    plan = M.compare_systems(df, ["hyp", "same"], "ref")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython [^\n]*", plan.partition("Initial Plan")[0])) == 1 and "regexp_replace" not in plan
+
+
+def test_broken_and_missing_texts_are_compared(spark):
+    texts = ["X'6162FF20632064'", "X'C3A9'", "NULL", "X''"]
+    df = spark.sql(" UNION ALL ".join(f"SELECT 's' AS source, CAST({t} AS STRING) AS ref" for t in texts)).withColumn("none", F.lit(None).cast("string"))
+    got = {r["system"]: r["chrf"] for r in M.compare_systems(df, ["ref", "none"], "ref").collect()}
+    assert got == {"ref": pytest.approx(100), "none": 0}
